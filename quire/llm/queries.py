@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import spotsigs, tagpaths, warc
 from .minhash import near_duplicates
 
 
@@ -25,8 +26,23 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), shingle=4, limit=(4, 5))
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(documents(spark, sf_dir))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(pages(spark, sf_dir))
+
+
+def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpaths.main_text(pages(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_spotsigs": op1_spotsigs,
     "op6_minhash": op6_minhash,
+    "op8_warc": op8_warc,
+    "op10_tag_paths": op10_tag_paths,
 }
 
 ORACLE_SQL: dict[str, str] = {}
