@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import spotsigs, tagpaths, warc
+from . import fertility, spotsigs, tagpaths, warc
 from .minhash import near_duplicates
 
 
@@ -30,6 +30,10 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(documents(spark, sf_dir))
 
 
+def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.quality(documents(spark, sf_dir))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages(spark, sf_dir))
 
@@ -40,6 +44,7 @@ def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
+    "op5_fertility": op5_fertility,
     "op6_minhash": op6_minhash,
     "op8_warc": op8_warc,
     "op10_tag_paths": op10_tag_paths,
