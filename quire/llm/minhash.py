@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, limit: tuple[int, int] =
     reps = own.join(sets.select(F.col("rep").alias("doc_id"), "d1", "d2", "n_shingles"), ["doc_id", "d1", "d2", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "d1", "d2"])
     rows = reps.select(F.explode("bands").alias("key"), "doc_id")
     shared = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least <> most")
-    star = rows.join(shared.select("key", "least"), "key").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    # merge joins: the plan, and what it moves, is the same at every size
+    star = rows.join(shared.select("key", "least").hint("merge"), "key").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     groups = scratch.keep(components(star, scratch, "group"), "groups")
 
     member = groups.join(reps.select(F.col("doc_id").alias("node"), "n_shingles", "sig"), "node")
@@ -204,7 +205,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, limit: tuple[int, int] =
     cut = cut.select("root", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), F.col("node").alias("doc_id"), "sig")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # the smallest row of an id is the one whose signature stands for it
-    texts = texts.join(member.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    texts = texts.join(member.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     work = cut.join(texts, "doc_id").select("root", "p", "q", "side", "doc_id", "sig", "text")
     work = work.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q", "side", "doc_id")
     links = scratch.keep(work.mapInArrow(_confirm(shingle, limit), "a long, b long"), "links")
