@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, spotsigs, tagpaths, warc
+from . import crossparse, fertility, spotsigs, tagpaths, toxicity, warc
 from .minhash import near_duplicates
 
 
@@ -30,6 +30,14 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(documents(spark, sf_dir))
 
 
+def op4_cross_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crossparse.held_out_languages(documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.quality(documents(spark, sf_dir))
 
@@ -44,8 +52,10 @@ def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
+    "op4_cross_parse": op4_cross_parse,
     "op5_fertility": op5_fertility,
     "op6_minhash": op6_minhash,
+    "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
     "op10_tag_paths": op10_tag_paths,
 }
