@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crossparse, fertility, spotsigs, tagpaths, toxicity, warc
+from . import crossparse, fertility, pii, spotsigs, tagpaths, toxicity, warc
 from .minhash import near_duplicates
 
 
@@ -46,6 +46,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(pages(spark, sf_dir))
 
 
+def op9_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(documents(spark, sf_dir))
+
+
 def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagpaths.main_text(pages(spark, sf_dir))
 
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_minhash": op6_minhash,
     "op7_toxicity": op7_toxicity,
     "op8_warc": op8_warc,
+    "op9_disclosure": op9_disclosure,
     "op10_tag_paths": op10_tag_paths,
 }
 
