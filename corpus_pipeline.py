@@ -1,8 +1,59 @@
-"""The corpus pipeline."""
+"""A corpus pipeline of five of the training-data operators.
 
-STAGES = []
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns the documents
+that the stage keeps, in the columns of ``documents``; the last returns the pieces of packed windows.
+``run`` applies them in order, each over what the one before wrote.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.llm import fertility, minhash, packing, pii, toxicity
+from quire.llm.crossparse import fold
+from quire.llm.store import Scratch
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the fertility bands of their language."""
+    return fertility.judged(docs).where("kept").select(*docs.columns)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below 0.5, learned from the labels of the training folds."""
+    scorer = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(5) != 0)
+    return toxicity.scored(docs, scorer, "_score").where("_score < 0.5").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: five-word shingles, similarity of 0.8 or more.
+
+    Only the ids of dropped documents are joined; rows without an id stay.
+    """
+    dropped = minhash.near_duplicates(docs, shingle=5, limit=(4, 5)).where("not kept").select("doc_id").distinct()
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and terms that disclose it generalised in the text."""
+    return pii.sanitised(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of packed windows."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", quality_rules), ("toxicity", toxicity_filter), ("near_dedup", near_dedup), ("pii", sanitise), ("packing", pack)]
+
+#: Learned scores and vocabularies are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows over the documents of ``sf_dir``; each stage is written and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = scratch.keep(stage(spark, docs, sf_dir), f"{k}-{name}")
+    return docs

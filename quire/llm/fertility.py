@@ -13,8 +13,6 @@ independent: repeated rows and ties need no rule, and other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,6 +38,8 @@ BANDS = {
 OTHER_SCRIPT = 0.4
 MEASURES = "tokens_per_word double, chars_per_token double, byte_share double, token_entropy double, other_script boolean"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+_NAMES = [x.split()[0] for x in f"{BASE}, {MEASURES}".split(", ")]
+_TYPES = [pa.int64()] * 5 + [pa.float64()] * 4 + [pa.bool_()]
 _PIECES: dict = {}
 
 
@@ -54,6 +54,12 @@ class Pieces:
         self.starts = np.array([self.model.id_to_piece(i).startswith("\u2581") for i in range(self.model.get_piece_size())])
         self.known: dict[int, tuple[int, int]] = {}
 
+    @classmethod
+    def shared(cls, model: str) -> Pieces:
+        if model not in _PIECES:
+            _PIECES[model] = cls(model)
+        return _PIECES[model]
+
     def counts(self, h: np.ndarray, words: list[bytes]) -> np.ndarray:
         """Pieces and byte pieces of each distinct word; ``h`` are the words' hashes."""
         if len(self.known) > 400_000:
@@ -151,34 +157,37 @@ def measures(b: kernel.Block, w: kernel.Words, chars: np.ndarray, bpe: UnitEncod
 
 
 def measured(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, model: str | None = None) -> DataFrame:
-    """Columns doc_id, lang, the base counts and the measures of each document."""
-    names = [x.split()[0] for x in f"doc_id long, lang string, {BASE}, {MEASURES}".split(", ")]
+    """The documents with the base counts and the measures of each text in more columns."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = UnitEncoder.shared(vocabulary, ranks)
-        pieces = _PIECES.setdefault(model, None) or _PIECES.__setitem__(model, Pieces(model or tokenizer_path("piece_bpe_32k.model"))) or _PIECES[model]
-        for batch in batches:
-            for b in kernel.blocks(batch.column(2)):
-                w, base = base_counts(b)
-                n = len(b.offsets) - 1
-                cols = [pa.array(c.astype(np.int64)) for c in base] + [pa.array(c) for c in measures(b, w, base[1], bpe, pieces)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(b.first, n), batch.column(1).slice(b.first, n), *cols], names)
+    @F.arrow_udf(f"struct<{', '.join(x.replace(' ', ':') for x in f'{BASE}, {MEASURES}'.split(', '))}>")
+    def run(texts: pa.Array) -> pa.Array:
+        bpe, pieces = UnitEncoder.shared(vocabulary, ranks), Pieces.shared(model or tokenizer_path("piece_bpe_32k.model"))
+        parts = []
+        for b in kernel.blocks(texts):
+            w, base = base_counts(b)
+            parts.append([c.astype(np.int64) for c in base] + measures(b, w, base[1], bpe, pieces))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)] if parts else [pa.array([], t) for t in _TYPES], names=_NAMES)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(run, f"doc_id long, lang string, {BASE}, {MEASURES}")
+    return docs.withColumn("_m", run(F.col("text"))).select(*docs.columns, *[F.col(f"_m.{n}").alias(n) for n in _NAMES])
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """Columns doc_id, the base counts, base_failed, kept, and the measures of each document."""
+def judged(docs: DataFrame) -> DataFrame:
+    """The documents with the base counts, the measures, base_failed and kept in more columns."""
     m = measured(docs)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    ok = F.lit(False)
     listed = [k for k in BANDS if k not in ("latin", "other")]
-    other = F.coalesce(~F.col("lang").isin(listed), F.lit(True))
+    unlisted = F.coalesce(~F.col("lang").isin(listed), F.lit(True))
+    ok = F.lit(False)
     for name, bands in BANDS.items():
-        here = (F.col("lang") == name) & ~F.col("other_script") if name in listed else F.col("other_script") if name == "other" else other & ~F.col("other_script")
+        here = F.col("other_script") if name == "other" else ~F.col("other_script") & (unlisted if name == "latin" else F.coalesce(F.col("lang") == name, F.lit(False)))
         inside = F.lit(True)
         for c, (low, high) in bands.items():
             inside &= F.col(c).between(low, high)
-        ok |= F.coalesce(here, F.lit(False)) & inside
-    m = m.withColumn("base_failed", failed)
-    return m.select("doc_id", *[x.split()[0] for x in BASE.split(", ")], "base_failed", (~F.col("base_failed") & ok).alias("kept"), *[x.split()[0] for x in MEASURES.split(", ")][:4])
+        ok |= here & inside
+    return m.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ok)
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """Columns doc_id, the base counts, base_failed, kept, and the measures of each document."""
+    m = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"))
+    return m.select("doc_id", *_NAMES[:5], "base_failed", "kept", *_NAMES[5:9])

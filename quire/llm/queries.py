@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crossparse, fertility, packing, pii, spotsigs, tagpaths, toxicity, warc
+from . import crossparse, fertility, packing, pii, spotsigs, tagpaths, toxicity, unigram, warc
 from .minhash import near_duplicates
 
 
@@ -34,6 +34,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op3_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encoded(documents(spark, sf_dir))
+
+
 def op4_cross_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crossparse.held_out_languages(documents(spark, sf_dir))
 
@@ -61,6 +65,7 @@ def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "op2_packing": op2_packing,
+    "op3_unigram": op3_unigram,
     "op4_cross_parse": op4_cross_parse,
     "op5_fertility": op5_fertility,
     "op6_minhash": op6_minhash,

@@ -272,19 +272,19 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Sc
     return Scorer(words, stems, fit(x, y))
 
 
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """Columns doc_id and score of each document."""
+def scored(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
+    """The documents with the score of each text in one more column."""
     words, stems, weights = scorer.words, scorer.stems, scorer.weights
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(words, stems, weights)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.scores(batch.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
+    @F.arrow_udf("double")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(Scorer(words, stems, weights).scores(texts.to_pylist()), pa.float64())
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.withColumn(name, run(F.col("text")))
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Columns doc_id, held_out, score, predicted: learned from the labelled rows whose fold of 5 is not 0."""
-    out = score(docs, learn(docs, labels, fold(5) != 0))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = scored(own, learn(docs, labels, fold(5) != 0))
     return out.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
