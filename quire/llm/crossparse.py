@@ -123,7 +123,8 @@ class Model:
             c = steps[j, :live]
             now = self.table[state[:, :live].astype(np.int64) * self.width + c]
             broken = now < 0
-            count[:, :live] += broken
+            # a phrase ends where a match that has begun breaks off
+            count[:, :live] += broken & (state[:, :live] != self.start[:, None])
             again = self.table[begin + c]
             lost = again < 0
             # a symbol that the sample lacks is a phrase by itself

@@ -37,9 +37,10 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset"
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 CELLS = {"td", "th", "br", "hr", "img", "wbr"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar", "note"}
-# Words in a class or id that name what is not the article; the second set yields to the third.
+# Words in a class or id that name what is not the article, unless a word of layout stands beside them; the second set yields to words that name the article.
 HARD = {"ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adbox", "adsense", "sponsor", "sponsored", "sponsors", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "sidebar", "sidenav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "comment", "comments", "commentlist", "discussion", "disqus", "replies", "reply", "respond", "related", "recommended", "recommendations", "trending", "popular", "share", "sharing", "social", "login", "menu", "masthead", "topbar", "toolbar", "widget", "copyright", "skip", "hidden"}
 SOFT = {"nav", "header", "footer", "foot", "side", "aside", "rail", "notice", "notices", "notification", "alert", "banner", "search", "legal", "disclaimer", "warning", "tags", "follow", "links"}
+LAYOUT = {"has", "with", "no", "without", "layout", "wrapper", "container", "page", "site", "grid", "columns"}
 MAIN = {"article", "content", "entry", "story", "main", "text", "post", "body"}
 
 #: Width of the smoothing, weights of the fusion, and how far below the mean the threshold lies.
@@ -61,6 +62,8 @@ def _named_out(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
             cls = cls or v.split(" ")[0]
         elif name == "role" and v.lower() in ROLES or name == "hidden" or name == "aria-hidden" and v.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
             return True, ""
+    if words & LAYOUT and tag not in ("section", "p", "ul", "ol"):
+        return False, cls
     if words & HARD and tag not in ("body", "html", "article", "main"):
         return True, ""
     return bool(words & SOFT and not words & MAIN and tag not in ("body", "html", "article", "main")), cls
@@ -75,8 +78,8 @@ class Node:
         self.path, self.elements, self.text, self.linked = path, elements, text, linked
 
 
-def nodes(page: str) -> list[Node]:
-    """The text blocks of a page outside the elements that markup names as no part of the article."""
+def nodes(page: str, named: bool = True) -> list[Node]:
+    """The text blocks of a page outside the elements that markup names as no part of the article; classes and ids count if ``named``."""
     out: list[Node] = []
     stack: list[tuple[str, str, int]] = []  # tag, name in the path, number of the element
     parts: list[str] = []
@@ -157,7 +160,7 @@ def nodes(page: str) -> list[Node]:
                     break
         if (m[3] or m[6] or "").endswith("/") and tag not in CLOSES_P:
             continue
-        out_of, cls = (False, "") if dropped else _named_out(tag, m[3] or m[6] or "", state["main"] > 0)
+        out_of, cls = (False, "") if dropped else _named_out(tag, (m[3] or m[6] or "") if named else "", state["main"] > 0)
         state["number"] += 1
         stack.append((tag, f"{tag}.{cls}" if cls else tag, state["number"]))
         state["main"] += tag in ("article", "main")
@@ -198,7 +201,8 @@ def extract(page: str | None) -> str:
     """The main text of a page: its blocks in page order, joined by a line break."""
     if not page:
         return ""
-    found = nodes(page)
+    # a page whose names rule everything out is read by its tags alone
+    found = nodes(page) or nodes(page, named=False)
     if not found:
         return ""
     chosen = select(found) or found

@@ -54,21 +54,30 @@ class DoubleArray:
         self.value = np.full(size, -1, np.int32)
         used = bytearray(size)
         used[0] = 1
-        place, free, todo = {0: 0}, 1, [0]
+        place, todo = {0: 0}, [0]
+        # where the search begins: it moves on once almost all places behind it are taken
+        begin = 1
         for node in todo:
             own = kids[node]
             if not own:
                 continue
             cs = sorted(own)
-            while used[free]:
-                free += 1
-            at = free
+            at, taken = max(begin, cs[0] + 1) - 1, 0
             # the first place where all children fit
             while True:
+                at += 1
+                if at + 260 > len(used):
+                    used.extend(bytes(len(used)))
+                if used[at]:
+                    taken += 1
+                    continue
                 b = at - cs[0] - 1
-                if b >= 0 and not used[at] and all(not used[b + c + 1] for c in cs):
+                if not any(used[b + c + 1] for c in cs):
                     break
-                at += 1
+            if taken >= 0.9 * (at - max(begin, cs[0] + 1) + 1) and at - begin > 16:
+                begin = at
+            while len(used) > len(self.base):
+                self.base, self.check, self.value = (np.concatenate([v, np.full(len(v), fill, np.int32)]) for v, fill in ((self.base, 0), (self.check, -1), (self.value, -1)))
             s = place[node]
             self.base[s] = b
             for c in cs:
