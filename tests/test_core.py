@@ -41,7 +41,7 @@ def test_assignment_is_optimal(seed):
     m, n = r.integers(1, 6, 2)
     w = np.round(r.random((m, n)) - 0.3, 1)
     pairs = align.assignment(w)
-    best = max(sum(w[i, j] for i, j in (zip(range(m), c) if m <= n else zip(c, range(n)))) for c in itertools.permutations(range(max(m, n)), min(m, n)))
+    best = max(sum(w[i, j] for i, j in (zip(range(m), c) if m <= n else zip(c, range(n)))) for c in itertools.permutations(range(int(max(m, n))), int(min(m, n))))
     assert len(pairs) == min(m, n) and pairs == sorted(pairs)
     assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
     assert math.isclose(sum(w[i, j] for i, j in pairs), best, abs_tol=1e-9)
