@@ -172,9 +172,10 @@ def nodes(page: str, named: bool = True) -> list[Node]:
 
 def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     """Gaussian smoothing along the order of paths, with weights renormalised at the ends."""
-    if len(x) < 3:
+    half = min(2, (len(x) - 1) // 2)
+    if half < 1:
         return x
-    near = np.arange(-2, 3)
+    near = np.arange(-half, half + 1)
     w = np.exp(-(near**2) / (2 * sigma**2))
     return np.convolve(x, w, "same") / np.convolve(np.ones_like(x), w, "same")
 
