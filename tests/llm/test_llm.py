@@ -423,6 +423,10 @@ def test_disclosing_terms_equal_brute_force(spark):
                 want |= {(i, m.start(), m.end()) for i in ids for m in re.finditer(r"[^\W\d_]{3,}", rows[i]) if m.group().lower() == t}
     got = {(r.doc_id, int(a), int(b)) for r in pii.personal_data(table(spark, rows.items())).collect() for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "term"}
     assert got == want and any(rows[i][a:b] == "Zorblax" for i, a, b in want)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(rows), "text": list(rows.values())}))
+    sql = {r[0]: r[-1] for r in con.execute(queries.ORACLE_SQL["op9_disclosure"]).fetchall()}
+    assert sql == {r.doc_id: r.spans for r in pii.personal_data(table(spark, rows.items())).collect()} and any("term:" in s for s in sql.values())
     clean = {r.doc_id: r.text for r in pii.sanitised(table(spark, rows.items())).collect()}
     assert "Zorblax" not in clean[1000] and "[EMAIL]" in clean[1000] and clean[0] == rows[0]
 
