@@ -57,6 +57,21 @@ def active_alignments(active: DataFrame, alignments: DataFrame) -> DataFrame:
     return alignments.join(active.select(*KEY, "node_id").distinct(), [*KEY, "node_id"], "left_semi")
 
 
+def highlighted_text(nodes: DataFrame, ranges: DataFrame, opening: str = "<span data-line-highlight>", closing: str = "</span>") -> DataFrame:
+    """Nodes (with ``content``) whose ranges [start, end), merged where they touch, stand between ``opening`` and ``closing``."""
+    by = [*KEY, "ast_index"]
+    parts = merge_intervals(ranges.select(*by, "start", "end"), by).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_r"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def mark(acc, r):
+        piece = F.concat(acc["out"], F.substring("content", acc["at"] + 1, r["start"] - acc["at"]), F.lit(opening), F.substring("content", r["start"] + 1, r["end"] - r["start"]), F.lit(closing))
+        return F.struct(r["end"].cast("int").alias("at"), piece.alias("out"))
+
+    rest = F.aggregate("_r", zero, mark, lambda acc: F.concat(acc["out"], F.substring("content", acc["at"] + 1, F.length("content"))))
+    joined = nodes.select(*by, "content").join(parts, by, "left")
+    return joined.select(*by, F.when(F.col("_r").isNull(), F.col("content")).otherwise(rest).alias("content"))
+
+
 def highlighted(ranges: DataFrame, start: str = "ast_start", end: str = "ast_end") -> DataFrame:
     """Distinct node indexes of inclusive ranges."""
     return ranges.select(*KEY, F.explode(F.sequence(F.col(start), F.col(end))).alias("ast_index")).distinct()

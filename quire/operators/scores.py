@@ -153,6 +153,14 @@ def even_positions(n: int, k: int = 6) -> list[int]:
     return sorted({round(i * (n - 1) / (k - 1)) for i in range(k)})
 
 
+def curve_stats(df: DataFrame, curve: str, value: str = "score") -> DataFrame:
+    """Rows, mean and population deviation of each curve, and its place: numbers in order, then other names."""
+    stats = df.groupBy(F.col(curve).alias("curve")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    number = F.col("curve").try_cast("double")
+    # one row per curve
+    return stats.withColumn("pos", F.row_number().over(Window.orderBy(number.isNull(), number, "curve")) - 1)
+
+
 def histogram(df: DataFrame, label: str, value: str = "score", bins: int = 20) -> DataFrame:
     """Rows and percent of all rows of each label and bin of [0, 1]; the last bin is closed, values outside count in the total only."""
     total = df.agg(F.count(F.lit(1)).alias("total"))

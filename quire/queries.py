@@ -195,6 +195,29 @@ def noise_coverage(p):
     return scores.covered_tags(p.scored_lines)
 
 
+@query("SELECT curve, n, round(mean, 6) AS mean, round(std, 6) AS std, (row_number() OVER (ORDER BY TRY_CAST(curve AS DOUBLE) NULLS LAST, curve) - 1)::INTEGER AS pos FROM (SELECT curve, count(*) AS n, avg(score) AS mean, stddev_pop(score) AS std FROM (SELECT score, unnest([noise, block_label]) AS curve FROM scored) GROUP BY curve)")
+def curve_stats(p):
+    both = p.scored_lines.select("score", F.explode(F.array("noise", "block_label")).alias("name"))
+    return scores.curve_stats(both, "name").withColumns(r6("mean", "std"))
+
+
+@query("SELECT noise, block_label, count(*) AS n FROM scored WHERE block_label IN ('text', 'table') GROUP BY noise, block_label")
+def label_filter(p):
+    return p.scored_lines.where(F.col("block_label").isin(*sorted(T.label_set("text, table ,,")))).groupBy("noise", "block_label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT n AS page FROM (SELECT unnest([0, 2, 5, 6, 7, 8, 999999999]) AS n) ANTI JOIN pages ON n = doc_id")
+def missing_pages(p):
+    wanted = p.spark.createDataFrame([(n,) for n in T.page_numbers("0,2,5-8,999999999")], "page int")
+    return wanted.join(p.pages.select(F.col("doc_id").alias("page")), "page", "left_anti")
+
+
+@query("SELECT document, doc_id::VARCHAR AS name, (row_number() OVER (PARTITION BY document ORDER BY doc_id) - 1)::INTEGER AS pos FROM pages")
+def page_order(p):
+    name = p.pages.select("document", F.col("doc_id").cast("string").alias("name"))
+    return name.withColumn("pos", F.row_number().over(Window.partitionBy("document").orderBy(F.col("name").cast("long"))) - 1)
+
+
 @query("SELECT document, count(DISTINCT noise) AS tags, count(DISTINCT doc_id) AS pages FROM scored GROUP BY document")
 def distinct_counts(p):
     return p.scored_lines.groupBy("document").agg(F.count_distinct("noise").alias("tags"), F.count_distinct("doc_id").alias("pages"))
@@ -472,17 +495,36 @@ def ast_listing(p):
     return T.parse_pages(p.text, "whitespace").join(p.text, KEY).select("doc_id", "ast_index", "type", T.slice_of("markdown", F.col("start"), F.col("end")).alias("markdown"))
 
 
-@query()
+_IMG = "'![f](fig_' || doc_id || '.png) <img alt=\"x\" src=\"a/b.png\"> ![g](https://e.org/x.png) ![h](/r.png)'"
+
+
+def _images(p):
+    return p.pages.select("doc_id", F.concat(F.lit("![f](fig_"), F.col("doc_id").cast("string"), F.lit('.png) <img alt="x" src="a/b.png"> ![g](https://e.org/x.png) ![h](/r.png)')).alias("md"))
+
+
+# all targets get the base, then those that had an address or a rooted path lose it
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_IMG}, '(!\\[[^\\]]*\\]\\()', '\\1/api/p/0/', 'g'), '(<img\\s[^>]*src=\")', '\\1/api/p/0/', 'g'), '/api/p/0/(https?://|/)', '\\1', 'g') AS markdown FROM pages")
 def image_url_rewrite(p):
-    md = F.concat(F.lit("![f](fig_"), F.col("doc_id").cast("string"), F.lit('.png) <img alt="x" src="a/b.png"> ![g](https://e.org/x.png)'))
-    return p.pages.select("doc_id", T.image_urls(md, "/api/p/0").alias("markdown"))
+    return _images(p).select("doc_id", T.image_urls(F.col("md"), "/api/p/0/").alias("markdown"))
 
 
-@query()
+@query(f"SELECT doc_id, regexp_replace({_IMG}, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', '<img src=\"\\2\" alt=\"\\1\">', 'g') AS markdown FROM pages")
+def raw_image_tags(p):
+    return _images(p).select("doc_id", T.image_tags(F.col("md")).alias("markdown"))
+
+
+@query("SELECT doc_id, regexp_replace('a$x$ b $y ' || document, '([^$\\s\\\\])\\$', '\\1 $', 'g') AS markdown FROM pages")
 def dollar_spacing(p):
     return p.pages.select("doc_id", T.dollar_spacing(F.concat(F.lit("a$x$ b $y "), F.col("document"))).alias("markdown"))
 
 
+@query(", r AS (SELECT doc_id, block_index AS i, c0 AS a, c1 + 1 + line_index % 2 * 2 AS z FROM gold_lines WHERE (doc_id + line_index) % 3 <> 1), f AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY doc_id, i ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM r), g AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, i ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS k FROM f), m AS (SELECT doc_id, i, min(a) AS a, max(z) AS z FROM g GROUP BY doc_id, i, k), c AS (SELECT n.doc_id, ast_index, substr(markdown, s + 1, e - s) AS c FROM nodes n JOIN pages p ON n.doc_id = p.doc_id), h AS (SELECT m.*, c, coalesce(lag(z) OVER (PARTITION BY m.doc_id, i ORDER BY a), 0) AS b FROM m JOIN c ON m.doc_id = c.doc_id AND i = ast_index), o AS (SELECT doc_id, i, string_agg(substr(c, b + 1, a - b) || '<mark>' || substr(c, a + 1, z - a) || '</mark>', '' ORDER BY a) || substr(any_value(c), max(z) + 1) AS t FROM h GROUP BY doc_id, i) SELECT c.doc_id, ast_index, coalesce(t, c) AS content FROM c LEFT JOIN o ON c.doc_id = o.doc_id AND ast_index = i")
+def highlight_markup(p):
+    r = p.gold_lines.where("(doc_id + line_index) % 3 <> 1").select(*KEY, F.col("block_index").alias("ast_index"), F.col("char_start").alias("start"), F.expr("char_end + 1 + line_index % 2 * 2").alias("end"))
+    n = p.nodes.join(p.text, KEY).select(*KEY, "ast_index", T.slice_of("markdown", F.col("start"), F.col("end")).alias("content"))
+    return intervals.highlighted_text(n, r, "<mark>", "</mark>").drop("page_id")
+
+
 @query()
 def sequence_align(p):
     sim = lambda x, y: sum(1.0 for w in y if w == x) - 0.1 * len(y)
@@ -501,6 +543,22 @@ def sequence_align(p):
     return p.pages.select("doc_id", "markdown").mapInPandas(lambda it: map(run, it), "doc_id long, k int, a int, b int")
 
 
+@query()
+def string_align(p):
+    sim = lambda x, y: float(len(x) if x == y else 0)
+
+    def run(pdf):
+        import pandas as pd
+
+        rows = []
+        for d, t in zip(pdf["doc_id"], pdf["markdown"], strict=True):
+            y = t.split()[:32]
+            rows += [(d, k, j) for k, j in enumerate(sequences.match_strings(["absent", *y[::5]], y, sim))]
+        return pd.DataFrame({"doc_id": [r[0] for r in rows], "k": [r[1] for r in rows], "j": pd.array([r[2] for r in rows], "Int32")})
+
+    return p.pages.select("doc_id", "markdown").mapInPandas(lambda it: map(run, it), "doc_id long, k int, j int")
+
+
 @query()
 def block_alignment(p):
     text = p.lines.groupBy(*KEY, F.concat(F.lit("block_"), F.col("block_index").cast("string")).alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_index", "content"))).getField("content"), "\n").alias("t"))
@@ -531,6 +589,46 @@ def alignment_json_roundtrip(p):
     return back.select("doc_id", "node_id", "ast_start", "ast_end", F.round("score", 6).alias("score"))
 
 
+@query("SELECT doc_id, node_id, to_json({'node_id': node_id, 'level_index': level_index, 'parent_id': parent_id, 'x0': x0, 'label': label})::VARCHAR AS js FROM tree WHERE level_name = 'block'")
+def tree_json(p):
+    fields = F.struct("node_id", "level_index", "parent_id", "x0", "label")
+    return layout.at_level(p.tree, "block").select("doc_id", "node_id", F.to_json(fields, {"ignoreNullFields": "false"}).alias("js"))
+
+
+def _ocr(p):
+    """The derived lines and words in the shape of a text recogniser's output: parallel arrays, words nested by line, boxes in fractions."""
+    box = F.array(*[F.col(c) + F.lit(0.7) for c in ("x0", "y0", "x1", "y1")])
+    each = p.words.groupBy(*KEY, "line_index").agg(F.sort_array(F.collect_list(F.struct("k", box.alias("b"), F.col("content").alias("t")))).alias("w"))
+    rows = p.lines.select(*KEY, "line_index", box.alias("b"), "content").join(each, [*KEY, "line_index"], "left")
+    none = F.array().cast("array<struct<k:int,b:array<double>,t:string>>")
+    line = F.struct("line_index", "b", "content", F.coalesce("w", none).alias("w"))
+    page = rows.groupBy(*KEY).agg(F.sort_array(F.collect_list(line)).alias("l"))
+    return page.select(*KEY, F.col("l.b").alias("boxes"), F.col("l.content").alias("texts"), F.transform("l", lambda _: F.lit(0.9)).alias("scores"), F.transform("l", lambda x: x["w"]["b"]).alias("word_boxes"), F.transform("l", lambda x: x["w"]["t"]).alias("words"))
+
+
+@query("SELECT doc_id, line_index AS line_pos, x0, y0, x1, y1, content AS text FROM lines")
+def ocr_lines(p):
+    from .sources import pages as S
+
+    return S.tokens_from_ocr(_ocr(p))[0].drop("page_id", "score")
+
+
+@query("SELECT doc_id, line_index::BIGINT AS line_index, k, x0, y0, x1, y1, content AS text FROM words")
+def ocr_words(p):
+    from .sources import pages as S
+
+    return S.tokens_from_ocr(_ocr(p))[1].drop("page_id")
+
+
+@query("SELECT doc_id, 'block_' || block_index AS index, x0, y0, x1, y1, label FROM blocks")
+def layout_boxes(p):
+    from .sources import pages as S
+
+    box = F.struct(F.array(*[F.col(c) + F.lit(0.9) for c in ("x0", "y0", "x1", "y1")]).alias("box"), "label", F.lit(0.5).alias("score"))
+    page = p.blocks.groupBy(*KEY).agg(F.transform(F.sort_array(F.collect_list(F.struct("block_index", box.alias("b")))), lambda x: x["b"]).alias("boxes"))
+    return S.parsed_boxes(page, "block").drop("page_id", "score")
+
+
 @query("SELECT DISTINCT document FROM pages")
 def doc_list(p):
     return p.pages.select("document").distinct().orderBy("document")

@@ -6,6 +6,7 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire import queries as Q
 from quire.functions import text as T
@@ -94,6 +95,23 @@ def test_intervals(spark):
     assert sorted((x.ast_index, x.start, x.end) for x in intervals.char_ranges(r, nodes).collect()) == [(1, 5, 10), (2, 0, 10), (3, 0, 3)]
 
 
+def test_highlights_and_images(spark):
+    nodes = spark.createDataFrame([("d", 0, 0, "abcdefgh"), ("d", 0, 1, "plain"), ("d", 0, 2, "")], "doc_id string, page_id int, ast_index int, content string")
+    ranges = spark.createDataFrame([("d", 0, 0, 4, 6), ("d", 0, 0, 1, 2), ("d", 0, 0, 2, 3), ("d", 0, 0, 5, 99)], "doc_id string, page_id int, ast_index int, start int, end int")
+    got = {r.ast_index: r.content for r in intervals.highlighted_text(nodes, ranges, "<", ">").collect()}
+    assert got == {0: "a<bc>d<efgh>", 1: "plain", 2: ""}
+    row = spark.createDataFrame([("![a](b.png) ![c](http://x/y) ![r](/r) <IMG alt='q' SRC='z.png'>",)], "t string")
+    out = row.select(T.image_urls(F.col("t"), "/p$1/").alias("u"), T.image_tags(F.col("t")).alias("g")).first()
+    assert out.u == "![a](/p$1/b.png) ![c](http://x/y) ![r](/r) <IMG alt='q' SRC='/p$1/z.png'>"
+    assert out.g.startswith('<img src="b.png" alt="a"> <img src="http://x/y" alt="c">')
+
+
+def test_curve_order(spark):
+    rows = spark.createDataFrame([("0.2", 1.0), ("0.05", 0.0), ("0.05", 1.0), ("b", 0.5), ("a", 0.5), ("10", 0.1)], "noise string, score double")
+    got = [(r.curve, r.n, r.mean, r.std) for r in scores.curve_stats(rows, "noise").orderBy("pos").collect()]
+    assert [g[0] for g in got] == ["0.05", "0.2", "10", "a", "b"] and got[0] == ("0.05", 2, 0.5, 0.5)
+
+
 def test_parameters():
     assert T.noise_levels("1,2,5") == [0.02, 0.05, 1.0] and T.noise_levels("0.05,5") == [0.05]
     with pytest.raises(ValueError):
@@ -158,10 +176,10 @@ def plain(v):
     return "None" if v is None else f"{float(v):.6f}" if not isinstance(v, (bool, str, int)) else str(v)
 
 
-@pytest.mark.parametrize("name", ["line_score_by_label", "overlap_parent_regions", "precision_recall", "cross_group_std", "noise_pivot", "word_ranges", "char_ranges", "first_selection_hit", "corrupt_counts", "alignment_json_roundtrip", "matching_total_tiny", "merge_intervals"])
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "events"):
+    for t in ("documents", "embeddings", "benchmark", "events", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     df = Q.QUERIES[name](spark, D)
     cur = con.execute(Q.ORACLE_SQL[name])
