@@ -14,7 +14,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import crossparse, fertility, minhash, packing, pii, queries, spotsigs, tagpaths, toxicity, unigram, warc
+from quire.llm import components, crossparse, fertility, minhash, packing, pii, queries, spotsigs, tagpaths, toxicity, unigram, warc
+from quire.llm.store import Scratch
 from quire.llm.tokens import UnitEncoder
 
 D = "/root/testdata/sf0.001"
@@ -377,6 +378,27 @@ def valid(kind, m):
     return kind == "email" or 8 <= len(d) <= 15
 
 
+@pytest.mark.parametrize("busy", [1, 4, 10**6])
+def test_components_equal_union_find(spark, monkeypatch, busy):
+    monkeypatch.setattr(components, "BUSY", busy)
+    rng = np.random.default_rng(busy)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 200, (120, 2))] + [(900, k) for k in range(901, 960)] + [(k, k + 1) for k in range(300, 340)] + [(5, 5), (500, 500), (6, 7), (6, 7)]
+    root = {v: v for e in edges for v in e}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    met = {v for a, b in edges if a != b for v in (a, b)}
+    got = components.components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test"), "c").collect()
+    assert {r.node: r.root for r in got} == {v: find(v) for v in met} and len(got) == len(met)
+    assert components.components(spark.createDataFrame([(1, 1)], "a long, b long"), Scratch(spark, "test"), "d").count() == 0
+
+
 def base_of(t):
     return [(k, m.start(), m.end()) for k, p in PATTERNS.items() for m in re.finditer(p, t) if valid(k, m.group())]
 
