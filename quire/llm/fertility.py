@@ -62,7 +62,7 @@ class Pieces:
 
     def counts(self, h: np.ndarray, words: list[bytes]) -> np.ndarray:
         """Pieces and byte pieces of each distinct word; ``h`` are the words' hashes."""
-        if len(self.known) > 400_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         keys = h.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.known]
