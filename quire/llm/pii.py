@@ -1,7 +1,7 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that reveal them.
 
 Base spans are e-mail addresses, IP addresses, payment cards and telephone numbers.  Each distinct
-value is a protected entity unless more than one document in 64 holds it.  A term that occurs beside
+value is a protected entity, however many documents hold it; documents of one text count once.  A term that occurs beside
 an entity discloses, of the entity's information log2(1 / p(e)), the share log2(p(e|t) / p(e)).  A
 term that discloses at least ``DISCLOSED`` of an entity, in at least ``CONTEXTS`` different contexts
 (the words before and after, so copies of one passage count once), is a span wherever it stands in a
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .store import Scratch
 
-#: Share of an entity's information, and contexts, from which a term is sanitised; rarest documents-per-entity that is not protected.
+#: Share of an entity's information, and contexts, from which a term is sanitised; documents per entity in the SQL twin, which protects only rarer ones.
 DISCLOSED, CONTEXTS, COMMON = 0.8, 3, 64
+#: Texts with copies up to which their hashes are broadcast; more are joined by sorting.
+COPIED = 1_000_000
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns, and a test that a text must pass to hold a match at all.
 PATTERNS = {
@@ -92,30 +94,35 @@ def entity(span: Column) -> Column:
 
 
 def disclosing_terms(hits: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Columns entity, term, disclosed: terms that disclose a protected entity.
+    """Columns entity, term, disclosed: terms that disclose an entity; documents of one text count once.
 
     ``hits``: doc_id, h, text and entities of the documents that hold entities.
     """
-    # two rows of one aggregate each; joined as scalars
-    total = docs.agg(F.count(F.lit(1)).alias("docs"))
-    holds = hits.select(F.explode("entities").alias("entity"), "doc_id", "h")
-    freq = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("held")).join(F.broadcast(total), F.lit(True)).where((F.col("held") > 1) & (F.col("held") * COMMON <= F.col("docs")))
-    freq = scratch.keep(freq, "freq")
-    pairs = holds.join(freq.select("entity"), "entity", "left_semi")
-    words = F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))
-    near = hits.join(pairs.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_semi").select("doc_id", "h", words.alias("w"))
-    near = near.where(F.size("w") > 0).select("doc_id", "h", F.expr("inline(transform(sequence(1, size(w)), i -> struct(get(w, i - 1) as term, xxhash64(coalesce(get(w, i - 2), ''), coalesce(get(w, i), '')) as ctx)))"))
-    seen = near.join(pairs, ["doc_id", "h"])
+    terms_of = lambda t: F.regexp_extract_all(F.lower(t), F.lit(TERM), F.lit(0))
+    hashed = docs.select("text", F.xxhash64("text").alias("h"))
+    texts = scratch.keep(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copied")
+    # one row of one aggregate each; joined as scalars
+    total = docs.agg(F.count(F.lit(1)).alias("rows")).join(F.broadcast(texts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"))), F.lit(True)).select((F.col("rows") - F.col("extra")).alias("docs"))
+    once = hits.dropDuplicates(["h"]).select("h", "text", "entities")
+    pairs = once.select(F.explode("entities").alias("entity"), "h")
+    freq = scratch.keep(pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("held")).join(F.broadcast(total), F.lit(True)), "freq")
+    near = once.select("h", "entities", terms_of("text").alias("w")).where(F.size("w") > 0)
+    near = near.select("h", "entities", F.expr("inline(transform(sequence(1, size(w)), i -> struct(get(w, i - 1) as term, xxhash64(coalesce(get(w, i - 2), ''), coalesce(get(w, i), '')) as ctx)))"))
+    seen = near.select(F.explode("entities").alias("entity"), "term", "ctx", "h")
     by_context = seen.select("entity", "term", "ctx").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= CONTEXTS)
-    by_doc = seen.select("entity", "term", "doc_id", "h").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
-    both = scratch.keep(by_doc.join(by_context, ["entity", "term"]), "together")
-    # how many documents of the whole corpus hold each candidate term
-    every = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    by_text = seen.select("entity", "term", "h").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
+    both = scratch.keep(by_text.join(by_context, ["entity", "term"]), "together")
+    # how many texts of the whole corpus hold each candidate term: all rows, less the copies
+    every = docs.select(F.explode(F.array_distinct(terms_of("text"))).alias("term"))
     # counted before the join, so that what moves is a task's distinct terms, at every size
-    spread = every.groupBy("term").agg(F.count(F.lit(1)).alias("spread")).join(both.select("term").distinct().hint("merge"), "term", "left_semi")
+    spread = every.groupBy("term").agg(F.count(F.lit(1)).alias("rows")).join(both.select("term").distinct().hint("merge"), "term", "left_semi")
+    few = texts.count() <= COPIED
+    again = hashed.join(F.broadcast(texts) if few else texts.hint("merge"), "h").select("h", "n", F.explode(F.array_distinct(terms_of("text"))).alias("term")).distinct()
+    spread = spread.join(again.groupBy("term").agg(F.sum(F.col("n") - 1).alias("extra")), "term", "left").select("term", (F.col("rows") - F.coalesce("extra", F.lit(0))).alias("spread"))
     p_e = F.col("held") / F.col("docs")
     p_et = F.col("together") / F.col("spread")
-    out = both.join(spread, "term").join(freq, "entity").withColumn("disclosed", F.log2(p_et / p_e) / F.log2(1 / p_e))
+    # an entity of all texts has no information to disclose
+    out = both.join(spread, "term").join(freq.where("held < docs"), "entity").withColumn("disclosed", F.log2(p_et / p_e) / F.log2(1 / p_e))
     return scratch.keep(out.where(F.col("disclosed") >= DISCLOSED).select("entity", "term", "disclosed"), "terms")
 
 

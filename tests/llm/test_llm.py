@@ -453,6 +453,40 @@ def test_disclosing_terms_equal_brute_force(spark):
     assert "Zorblax" not in clean[1000] and "[EMAIL]" in clean[1000] and clean[0] == rows[0]
 
 
+def test_every_entity_is_protected_on_distinct_texts(spark):
+    rng = np.random.default_rng(9)
+    vocab = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    rows = {k: " ".join(rng.choice(vocab, 30)) for k in range(300)}
+    for k in range(150):  # a third of the rows, with one address
+        rows[1000 + k] = " ".join([*rng.choice(vocab, 6), "Hotname", *rng.choice(vocab, 3), "mail hot@corp.example.com", *rng.choice(vocab, 3)])
+    lone = " ".join(x for k in range(4) for x in [*rng.choice(vocab, 3), "Lonename"]) + " lone@corp.example.com"
+    copied = " ".join(x for k in range(4) for x in [*rng.choice(vocab, 3), "Copyname"]) + " copy@corp.example.com"
+    rows |= {2000: lone} | {3000 + k: copied for k in range(60)}
+    one = {t: i for i, t in rows.items()}
+    n, words = len(one), {t: re.findall(r"[^\W\d_]{3,}", t.lower()) for t in one}
+    held = defaultdict(set)
+    for t in one:
+        for k, a, b in base_of(t):
+            held[f"{k}:{t[a:b]}"].add(t)
+    want = set()
+    for ts in held.values():
+        ctx, together, pe = defaultdict(set), Counter(), len(ts) / n
+        for t in ts:
+            w = [None, *words[t], None]
+            for j in range(1, len(w) - 1):
+                ctx[w[j]].add((w[j - 1], w[j + 1]))
+            together.update(set(words[t]))
+        for x in ctx:
+            if len(ctx[x]) >= pii.CONTEXTS and math.log2(together[x] / sum(x in w for w in words.values()) / pe) / math.log2(1 / pe) >= pii.DISCLOSED:
+                want |= {(i, m.start(), m.end()) for i, t in rows.items() if t in ts for m in re.finditer(r"[^\W\d_]{3,}", t) if m.group().lower() == x}
+    d = table(spark, rows.items())
+    got = {(r.doc_id, int(a), int(b)) for r in pii.personal_data(d).collect() for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "term"}
+    assert got == want and {"Hotname", "Lonename", "Copyname"} <= {rows[i][a:b] for i, a, b in got}
+    assert not any(x in r.text for r in pii.sanitised(d).collect() for x in ("Hotname", "Lonename", "Copyname"))
+    everywhere = pii.personal_data(table(spark, [(k, f"{w} ann@corp.example.com") for k, w in enumerate(vocab)])).collect()
+    assert len(everywhere) == len(vocab) and not any("term:" in r.spans for r in everywhere)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "é" * 200
     rows = [(5, "http://a", big), (3, "http://b", big), (9, None, None), (7, "http://c", "small"), (8, "http://d", "small"), (3, "http://b", big), (None, "u", "x" * 200), (None, "u", big)]
