@@ -4,9 +4,9 @@ A page is read as a sequence of text nodes, each with the path of block tags fro
 For every path the characters and the punctuation of all its nodes are summed and divided by the
 number of its nodes; both series are smoothed along the order in which paths first appear, fused by
 a weighted product with the share of text outside links, and paths above a threshold (the mean less
-a part of the standard deviation) are content.  The smallest element that holds the selected nodes,
-an ``article`` or ``main`` above them if there is one, gives the text; what the markup itself names
-as menu, header, footer, sidebar, notice, advert, form, comment, script or style is left out first.
+a part of the standard deviation) are content.  The outermost ``article`` and ``main``
+elements with selected nodes, if together they hold most of the selected text, give the text in page
+order, or else the smallest element that holds it all; what the markup itself names as menu, header, footer, sidebar, notice, advert, form, comment, script or style is left out first.
 
 Null or empty html, and pages without text, give an empty string.  Broken markup (unclosed or stray
 tags, cut pages, tags inside scripts) never fails.  Rows are independent: repeated rows and ties
@@ -207,17 +207,21 @@ def extract(page: str | None) -> str:
     if not found:
         return ""
     chosen = select(found) or found
-    # the element that holds most of the chosen text and is an article or main, else the smallest one that holds all of it
-    weight: dict[int, int] = {}
+    # the outermost articles and mains that hold chosen text, if together they hold most of it, else the smallest element that holds all of it
+    held, bare, mixed, articles = 0, set(), set(), set()
     for n in chosen:
-        for name, e in zip(n.path, n.elements, strict=True):
-            if name.split(".")[0] in ("article", "main"):
-                weight[e] = weight.get(e, 0) + len(n.text)
-    whole = sum(len(n.text) for n in chosen)
-    roots = {e for e, w in weight.items() if 2 * w >= whole}
-    if roots:
-        root = max(roots)
-        return "\n".join(n.text for n in found if root in n.elements)
+        within = [(name.split(".")[0], e) for name, e in zip(n.path, n.elements, strict=True)]
+        top = next((e for name, e in within if name in ("article", "main")), None)
+        if top is not None:
+            own = {e for name, e in within if name == "article"}
+            held += len(n.text)
+            articles |= own
+            (mixed if own else bare).add(top)
+    if 2 * held >= sum(len(n.text) for n in chosen):
+        # beside the articles of a main, what is not chosen is content only where it is no list of links
+        whole, roots, picked = articles | (bare - mixed), bare | mixed, {id(n) for n in chosen}
+        inside = [n for n in found if not roots.isdisjoint(n.elements)]
+        return "\n".join(n.text for n in inside if not whole.isdisjoint(n.elements) or id(n) in picked or 2 * n.linked < len(n.text))
     common = set(chosen[0].elements).intersection(*(n.elements for n in chosen[1:]))
     if common and len({n.path for n in chosen}) == 1 or not common:
         keep = {n.path for n in chosen}

@@ -558,6 +558,15 @@ def test_main_text_of_pages(spark):
     assert [r.text for r in tagpaths.main_text(odd).collect()] == ["", "", ""] and tagpaths.main_text(odd.limit(0)).count() == 0
 
 
+def test_every_article_of_a_page_is_kept():
+    x = "A plain sentence, with words enough to count as text here. "
+    page = f"<main><p>The standfirst.</p><article><p>{x * 6}</p></article><div><a href=b>More</a></div><article><h2>Part two</h2><p>{x * 4}</p></article></main><p>Outside</p>"
+    assert tagpaths.extract(page) == "\n".join(["The standfirst.", (x * 6).strip(), "Part two", (x * 4).strip()])
+    equal = f"<div><article><p>{x * 3}first</p></article><article><p>{x * 3}second</p></article></div>"
+    assert tagpaths.extract(equal) == f"{x * 3}first\n{x * 3}second"
+    assert tagpaths.extract(f"<main><p>{x}</p><p>Short</p></main>") == f"{x.strip()}\nShort"
+
+
 def test_pipeline_equals_its_stages(spark, docs, texts):
     d = docs
     for name, stage in corpus_pipeline.STAGES:
