@@ -525,18 +525,26 @@ def highlight_markup(p):
     return intervals.highlighted_text(n, r, "<mark>", "</mark>").drop("page_id")
 
 
+def _coded(text: str):
+    """The words of a text as codes, and the words by code."""
+    import numpy as np
+
+    code: dict[str, int] = {}
+    y = np.array([code.setdefault(w, len(code)) for w in text.split()], int)
+    return y, list(code)
+
+
 @query()
 def sequence_align(p):
-    sim = lambda x, y: sum(1.0 for w in y if w == x) - 0.1 * len(y)
+    sim = sequences.WordCount()
 
     def run(pdf):
         import pandas as pd
 
         rows = []
         for d, t in zip(pdf["doc_id"], pdf["markdown"], strict=True):
-            y = t.split()[:24]
-            x = y[::6]
-            for k, (a, b) in enumerate(sequences.hybrid(x, y, sim)):
+            y, _ = _coded(t)
+            for k, (a, b) in enumerate(sequences.hybrid(y[::6], y, sim)):
                 rows.append((d, k, a, b))
         return pd.DataFrame(rows, columns=["doc_id", "k", "a", "b"])
 
@@ -545,15 +553,16 @@ def sequence_align(p):
 
 @query()
 def string_align(p):
-    sim = lambda x, y: float(len(x) if x == y else 0)
-
     def run(pdf):
         import pandas as pd
 
         rows = []
         for d, t in zip(pdf["doc_id"], pdf["markdown"], strict=True):
-            y = t.split()[:32]
-            rows += [(d, k, j) for k, j in enumerate(sequences.match_strings(["absent", *y[::5]], y, sim))]
+            y, words = _coded(t)
+            # one code more for a pattern that no text has
+            sim = sequences.EqualWords([*map(len, words), len("absent")])
+            none = words.index("absent") if "absent" in words else len(words)
+            rows += [(d, k, j) for k, j in enumerate(sequences.match_strings([none, *y[::5]], y, sim))]
         return pd.DataFrame({"doc_id": [r[0] for r in rows], "k": [r[1] for r in rows], "j": pd.array([r[2] for r in rows], "Int32")})
 
     return p.pages.select("doc_id", "markdown").mapInPandas(lambda it: map(run, it), "doc_id long, k int, j int")

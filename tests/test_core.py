@@ -146,6 +146,34 @@ def test_sequences():
     assert sequences.match_strings(["a", "z", "b"], ["a", "q", "b"], lambda x, y: float(x == y)) == [0, None, 2]
 
 
+def test_sequences_by_arrays():
+    r = np.random.default_rng(3)
+    words = lambda x, y: sum(1.0 for w in y if w == x) - 0.1 * len(y)
+    for _ in range(60):
+        y = r.integers(0, 5, r.integers(0, 20))
+        for f in (sequences.greedy, sequences.optimal):
+            assert f(y[::3], y, sequences.WordCount()) == f(list(y[::3]), list(y), words)
+        x = [5, *y[::2]]
+        got = sequences.match_strings(x, y, sequences.EqualWords([1, 1, 2, 3, 4, 6]))
+        # the longest common subsequence by words' lengths
+        best = np.zeros((len(x) + 1, len(y) + 1))
+        for i, j in itertools.product(range(len(x)), range(len(y))):
+            best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + [1, 1, 2, 3, 4, 6][x[i]] * (x[i] == y[j]))
+        found = [(i, j) for i, j in enumerate(got) if j is not None]
+        assert [j for _, j in found] == sorted({j for _, j in found}) and all(x[i] == y[j] for i, j in found)
+        assert sum([1, 1, 2, 3, 4, 6][x[i]] for i, _ in found) == best[-1, -1]
+
+
+def test_whole_texts_are_aligned(spark):
+    words = {r.doc_id: len(r.text.split()) for r in spark.read.parquet(f"{D}/documents.parquet").where("text is not null").collect()}
+    assert max(words.values()) > 100
+    ends = {r.doc_id: (r.k, r.b) for r in Q.QUERIES["sequence_align"](spark, D).groupBy("doc_id").agg(F.max("k").alias("k"), F.max("b").alias("b")).collect()}
+    assert ends == {d: ((n - 1) // 6, n) for d, n in words.items() if n}
+    rows = {r.doc_id: (r.n, r.j) for r in Q.QUERIES["string_align"](spark, D).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("j").alias("j")).collect()}
+    assert rows.keys() == words.keys() and all(rows[d][0] == 1 + -(-n // 5) for d, n in words.items())
+    assert all(rows[d][1] >= (n - 1) // 5 * 5 for d, n in words.items() if n)
+
+
 def test_page_store(spark, tmp_path):
     at = tmp_path / "doc a" / "3"
     (at / "markdown").mkdir(parents=True)
