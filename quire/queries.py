@@ -350,6 +350,13 @@ def embedding_topk(p):
     return align.top_k(pairs, "a", "b", "score", 3).withColumns(r6("score"))
 
 
+# embedding_topk ranks the pairs of its SQL only: one label, larger ids
+@query()
+def embedding_search(p):
+    """The three nearest of all other vectors for each vec_id divisible by 100."""
+    return align.nearest(_vectors(p), F.col("vec_id") % 100 == 0, 3).withColumns(r6("score"))
+
+
 @query("WITH g AS (SELECT item_id, substr(text, i, 3) AS t, count(*) AS n FROM (SELECT item_id, text, unnest(range(1, length(text) - 1)) AS i FROM benchmark) GROUP BY 1, 2), s AS (SELECT item_id, sqrt(sum(n * n)) AS z FROM g GROUP BY 1) SELECT a.item_id AS a, b.item_id AS b, round(sum(a.n * b.n) / (max(x.z) * max(y.z)), 6) AS score FROM g a JOIN g b ON a.t = b.t AND a.item_id < b.item_id JOIN s x ON x.item_id = a.item_id JOIN s y ON y.item_id = b.item_id GROUP BY 1, 2", model=False)
 def trigram_cosine(p):
     b = p.spark.read.parquet(f"{p.sf_dir}/benchmark.parquet").where("length(text) >= 3")

@@ -174,6 +174,22 @@ def test_whole_texts_are_aligned(spark):
     assert all(rows[d][1] >= (n - 1) // 5 * 5 for d, n in words.items() if n)
 
 
+def test_search_meets_every_vector(spark):
+    rows = spark.read.parquet(f"{D}/embeddings.parquet").collect()
+    ids, label = np.array([r.vec_id for r in rows]), {r.vec_id: r.label for r in rows}
+    e = np.array([r.embedding for r in rows], float)
+    e /= np.linalg.norm(e, axis=1, keepdims=True)
+    want = set()
+    for a, v in zip(ids, e, strict=True):
+        if a % 100 == 0:
+            order = sorted((-s, b) for b, s in zip(ids, np.round(e @ v, 9), strict=True) if b != a)[:3]
+            want |= {(int(a), int(b), k + 1) for k, (_, b) in enumerate(order)}
+    got = {(r.a, r.b, r.rank) for r in Q.QUERIES["embedding_search"](spark, D).collect()}
+    assert got == want and any(b < a for a, b, _ in got) and any(label[a] != label[b] for a, b, _ in got)
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None)], "vec_id long, embedding array<float>")
+    assert [(r.a, r.b, r.rank) for r in align.nearest(few.repartition(3), F.col("vec_id") == 2, 3, 1).collect()] == [(2, 0, 1), (2, 1, 2)]
+
+
 def test_page_store(spark, tmp_path):
     at = tmp_path / "doc a" / "3"
     (at / "markdown").mkdir(parents=True)
