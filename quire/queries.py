@@ -525,6 +525,29 @@ def dollar_spacing(p):
     return p.pages.select("doc_id", T.dollar_spacing(F.concat(F.lit("a$x$ b $y "), F.col("document"))).alias("markdown"))
 
 
+# the rewrites over whole texts, each with cases of its own behind; RE2 has no look-around
+_CASES = '\n![f](fig.png) <img alt="x" src=\'a/b.png\'> ![g](https://e.org/x.png) ![h](/r.png) a$x$ b $y \\$z'
+
+
+def _with_cases(p):
+    return p.pages.select("doc_id", F.concat("markdown", F.lit(_CASES)).alias("md"))
+
+
+@query()
+def page_image_urls(p):
+    return _with_cases(p).select("doc_id", T.image_urls(F.col("md"), "/api/p/0/").alias("markdown"))
+
+
+@query()
+def page_image_tags(p):
+    return _with_cases(p).select("doc_id", T.image_tags(F.col("md")).alias("markdown"))
+
+
+@query()
+def page_dollar_spacing(p):
+    return _with_cases(p).select("doc_id", T.dollar_spacing(F.col("md")).alias("markdown"))
+
+
 @query(", r AS (SELECT doc_id, block_index AS i, c0 AS a, c1 + 1 + line_index % 2 * 2 AS z FROM gold_lines WHERE (doc_id + line_index) % 3 <> 1), f AS (SELECT *, CASE WHEN a <= max(z) OVER (PARTITION BY doc_id, i ORDER BY a, z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS n FROM r), g AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, i ORDER BY a, z ROWS UNBOUNDED PRECEDING) AS k FROM f), m AS (SELECT doc_id, i, min(a) AS a, max(z) AS z FROM g GROUP BY doc_id, i, k), c AS (SELECT n.doc_id, ast_index, substr(markdown, s + 1, e - s) AS c FROM nodes n JOIN pages p ON n.doc_id = p.doc_id), h AS (SELECT m.*, c, coalesce(lag(z) OVER (PARTITION BY m.doc_id, i ORDER BY a), 0) AS b FROM m JOIN c ON m.doc_id = c.doc_id AND i = ast_index), o AS (SELECT doc_id, i, string_agg(substr(c, b + 1, a - b) || '<mark>' || substr(c, a + 1, z - a) || '</mark>', '' ORDER BY a) || substr(any_value(c), max(z) + 1) AS t FROM h GROUP BY doc_id, i) SELECT c.doc_id, ast_index, coalesce(t, c) AS content FROM c LEFT JOIN o ON c.doc_id = o.doc_id AND ast_index = i")
 def highlight_markup(p):
     r = p.gold_lines.where("(doc_id + line_index) % 3 <> 1").select(*KEY, F.col("block_index").alias("ast_index"), F.col("char_start").alias("start"), F.expr("char_end + 1 + line_index % 2 * 2").alias("end"))

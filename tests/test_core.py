@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 
 import duckdb
 import numpy as np
@@ -190,6 +191,25 @@ def test_search_meets_every_vector(spark):
     assert [(r.a, r.b, r.rank) for r in align.nearest(few.repartition(3), F.col("vec_id") == 2, 3, 1).collect()] == [(2, 0, 1), (2, 1, 2)]
 
 
+def test_rewrites_read_whole_texts(spark):
+    texts = {r.doc_id: r.text + Q._CASES for r in spark.read.parquet(f"{D}/documents.parquet").where("text is not null").collect()}
+    image = r"!\[([^\]]*)\]\(([^)]+)\)"
+
+    def urls(t):
+        t = re.sub(r"!\[([^\]]*)\]\((?!https?://|/)([^)]+)\)", r"![\1](/api/p/0/\2)", t)
+        return re.sub(r"""(?i)(<img\s[^>]*src=)(["'])(?!https?://|/)([^"']+)\2""", r"\1\2/api/p/0/\3\2", t)
+
+    want = {
+        "page_image_urls": urls,
+        "page_image_tags": lambda t: re.sub(image, r'<img src="\2" alt="\1">', t),
+        "page_dollar_spacing": lambda t: "".join(" $" if c == "$" and k and t[k - 1] not in "$\\ \t\n\x0b\f\r" else c for k, c in enumerate(t)),
+    }
+    for name, f in want.items():
+        got = {r.doc_id: r.markdown for r in Q.QUERIES[name](spark, D).collect()}
+        assert got == {d: f(t) for d, t in texts.items()}, name
+    assert any("$" in t.removesuffix(Q._CASES) for t in texts.values())
+
+
 def test_page_store(spark, tmp_path):
     at = tmp_path / "doc a" / "3"
     (at / "markdown").mkdir(parents=True)
