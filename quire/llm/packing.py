@@ -9,8 +9,12 @@ other.  The neighbour that crosses the window's end is cut there, and its rest i
 a shard cannot fill begins the next one; what a task cannot fill is cut into windows of powers of two,
 which need no padding.
 
-Null and empty texts are the single id 1.  Repeated rows are packed each.  An empty table gives no
-rows.  Sequence ids are unique, not consecutive: the number of the task in the high bits.
+Ids are those of the vocabulary file as it stands: the string of a special token in a text is that
+token.  Null and empty texts are the single id 1.  Repeated rows are packed each.  Equal scores keep the
+order of the route, equal routes that of doc_id and a hash of the ids.  A very long text fills whole
+windows and may be a shard by itself.  An empty table gives no rows.  Columns other than doc_id and text
+are ignored, whatever their names.  Sequence ids are unique, not consecutive: the number of the task in
+the high bits.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from .tokens import UnitEncoder
 
 #: Ids in a window, id at the end of a document, ids in a shard, size of the vocabulary.
 WINDOW, END, SHARD, VOCABULARY = 2048, 1, 1 << 20, 50_257
+#: Shards in a task; the number of tasks grows with the corpus.
+TASK_SHARDS = 16
 K1, B = 1.2, 0.75
 #: Ids in the runs whose smallest hash is the route.
 ROUTE = 8
@@ -55,8 +61,8 @@ def tokenised(docs: DataFrame, vocabulary: str | None = None, ranks: str | None
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary, n long, route long")
 
 
-def frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
-    """How many documents hold each id, the number of documents, and their mean length.
+def frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
+    """How many documents hold each id, the number of documents, and the number of all their ids.
 
     The driver gets one row for each id of the vocabulary at most.
     """
@@ -72,8 +78,8 @@ def frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, float]:
     df = np.zeros(VOCABULARY, np.int64)
     for r in tokens.select("ids").mapInArrow(run, "id int, df long").groupBy("id").agg(F.sum("df").alias("df")).collect():
         df[r.id] = r.df
-    n, mean = tokens.agg(F.count(F.lit(1)), F.avg("n")).first()
-    return df, n, float(mean or 1.0)
+    n, total = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return df, n, total
 
 
 class Index:
@@ -88,7 +94,7 @@ class Index:
             self.terms.append(t)
             tf.append(c * (K1 + 1) / (c + K1 * (1 - B + B * len(ids) / mean)) * idf[t])
             at.append(np.full(len(t), d, np.int64))
-        term = np.concatenate(self.terms) if docs else np.zeros(0, np.uint16)
+        term = np.concatenate(self.terms)
         order = np.argsort(term, kind="stable")
         self.weight, self.doc = np.concatenate(tf)[order], np.concatenate(at)[order]
         self.begin = np.searchsorted(term[order], np.arange(VOCABULARY + 1))
@@ -125,7 +131,9 @@ class Packer:
         return start + take
 
     def shard(self, docs: list[tuple]) -> None:
-        """Packs a shard; the last window may stay open."""
+        """Packs a shard; the last window may stay open.  A shard of no documents changes nothing."""
+        if not docs:
+            return
         index = Index([ids for _, ids in docs], self.idf, self.mean)
         unused = np.ones(len(docs), bool)
         seed, start, oldest = -1, 0, 0
@@ -206,9 +214,10 @@ def pack(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
     tokens = scratch.keep(tokenised(docs), "tokens")
-    df, n, mean = frequencies(tokens)
+    df, n, ids_in_all = frequencies(tokens)
+    mean = ids_in_all / max(n, 1)
     idf = np.log((n - df + 0.5) / (df + 0.5)).astype(np.float64)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ids_in_all // (TASK_SHARDS * SHARD)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(idf, mean, TaskContext.get().partitionId() << 32)
@@ -227,5 +236,7 @@ def pack(docs: DataFrame, with_ids: bool = False) -> DataFrame:
         packer.close()
         yield batch_of(packer.out, with_ids)
 
-    ordered = tokens.repartitionByRange(parts, "route", "doc_id").sortWithinPartitions("route", "doc_id").select("doc_id", "ids")
+    # rows of one id and route are ordered by their ids, so a task that is run again packs alike
+    order = ("route", "doc_id", F.xxhash64("ids"))
+    ordered = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     return ordered.mapInArrow(run, PIECE + (", ids array<int>" if with_ids else ""))

@@ -4,8 +4,8 @@ The split pattern of the vocabulary never joins text across the white space befo
 as no two white-space characters meet.  Such a text is a sequence of units, each a word with the
 white-space character before it (and the one after the last word), and its ids are the ids of its
 units in order.  Units are found and hashed by array operations, the distinct ones of a block are
-looked up in a cache, and only new ones are encoded.  Texts with adjacent white space, or with white
-space that is not ASCII, are encoded whole by the `tokenizers` library.
+looked up in a cache, and only new ones are encoded.  Texts with adjacent white space, with white space
+that is not ASCII, or with the string of a special token, are encoded whole by the `tokenizers` library.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ class UnitEncoder:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.whole = Tokenizer.from_file(vocabulary)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.length = np.array([len(k) for k, _ in sorted(table.items(), key=lambda kv: kv[1])], np.int64)
         self.clear()
 
@@ -116,6 +116,13 @@ class UnitEncoder:
         start, end = w.start.copy(), w.end.copy()
         slow = odd(data, off, blank)
         slow |= (w.first[1:] == w.first[:-1]) & (off[1:] > off[:-1])
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                # a find that crosses a document's end costs that document only time
+                slow[np.searchsorted(off, at, "right") - 1] = True
+                at = raw.find(token, at + 1)
         if len(start):
             doc = np.repeat(np.arange(docs), np.diff(w.first))
             start -= (start > off[:-1][doc]) & blank[np.maximum(start - 1, 0)]
@@ -123,7 +130,7 @@ class UnitEncoder:
             end[last] += end[last] < off[1:][doc[last]]
             h = kernel.hashes(data, start, end)
             _, at, inv = np.unique(h, return_index=True, return_inverse=True)
-            every, to = self.spread(self.slots(h[at], data.tobytes(), start[at], end[at])[inv])
+            every, to = self.spread(self.slots(h[at], raw, start[at], end[at])[inv])
             cut = to[w.first]
         else:
             every, cut = np.zeros(0, np.uint16), np.zeros(docs + 1, np.int64)

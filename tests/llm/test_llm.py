@@ -155,15 +155,24 @@ def test_spotsig_pairs_equal_brute_force(docs):
 def test_ids_equal_the_library():
     e = UnitEncoder.shared()
     odd = ["", " ", "\n", "a  b", "a \n b", "a\x1cb c", "it's  we'll", "end \n", " lead", "\ttab x", "e　f", "<|endoftext|> x", "a b", "x​ y", "  z", "日本 語", LONG[:5000], "a" * 3000]
+    odd += ["x<|endoftext|>", "<|endoftext|", "|> <|endoftext|><|endoftext|> the", "a <|endo", "ftext|> b"]
     got = [x.tolist() for _, p in e.encode(pa.array(odd)) for x in p]
-    assert got == [x.ids for x in e.whole.encode_batch(odd, add_special_tokens=False)]
+    fresh = plain_encoder()
+    assert got == [x.ids for x in fresh.encode_batch(odd, add_special_tokens=False)]
+    assert got[odd.index("<|endoftext|> x")] == [50256, 2124]
 
 
-def test_packing_round_trip(docs, texts):
-    out = packing.pack(docs, with_ids=True).toPandas()
-    e = UnitEncoder.shared()
+def plain_encoder():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def assert_packed(out, texts):
+    e = plain_encoder()
     for i, g in out.groupby("doc_id"):
-        ids = [*e.whole.encode(texts[i], add_special_tokens=False).ids, 1]
+        ids = [*e.encode(texts[i], add_special_tokens=False).ids, 1]
         g = g.sort_values("start")
         assert [x for part in g.ids for x in part] == ids and set(g.doc_tokens) == {len(ids)}
         assert all(zlib.crc32(np.array(p, "<u4").tobytes()) == c for p, c in zip(g.ids, g.ids_crc32, strict=True))
@@ -174,6 +183,77 @@ def test_packing_round_trip(docs, texts):
     assert out.doc_id.nunique() == len(texts)
 
 
+def test_packing_round_trip(spark, docs, texts):
+    assert_packed(packing.pack(docs, with_ids=True).toPandas(), texts)
+    special = {1: "<|endoftext|> x", 2: "one <|endoftext|> two", 3: "", 4: None}
+    assert_packed(packing.pack(table(spark, special.items()), with_ids=True).toPandas(), {k: v or "" for k, v in special.items()})
+
+
+@pytest.mark.parametrize("rows", [{1: " a b" * 600_000}, {1: " a b" * 600_000, 2: "short one"}, {1: " a" * ((1 << 20) - 1)}, {1: " a" * ((1 << 19) - 1), 2: " b" * ((1 << 19) - 1), 3: "c"}])
+def test_packing_of_documents_that_end_a_shard(spark, rows):
+    out = packing.pack(table(spark, rows.items())).toPandas()
+    assert out.groupby("doc_id").length.sum().to_dict() == out.groupby("doc_id").doc_tokens.first().to_dict()
+    assert set(out.doc_id) == set(rows) and max(out.doc_tokens) >= 1 << 19
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]]
+
+
+def test_a_shard_of_nothing_changes_nothing():
+    packer = packing.Packer(np.ones(packing.VOCABULARY), 1.0, 7)
+    packer.shard([])
+    packer.close()
+    assert not packer.out and packer.sequence == 7
+
+
+def brute_packing(docs, idf, mean):
+    """Windows as lists of (document, start, length): greedy by BM25 of every unused document, computed term by term."""
+    count = [Counter(d.tolist()) for d in docs]
+
+    def score(q, d):
+        return sum(idf[t] * count[d][t] * 2.2 / (count[d][t] + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean)) for t in count[q] if idf[t] > 0 and count[d][t])
+
+    unused, out, room = list(range(len(docs))), [], 0
+    seed, start = None, 0
+    while unused or seed is not None:
+        if seed is None:
+            seed, start = unused.pop(0), 0
+        while start < len(docs[seed]):
+            if not room:
+                out.append([])
+                room = packing.WINDOW
+            take = min(room, len(docs[seed]) - start)
+            out[-1].append((seed, start, take))
+            start, room = start + take, room - take
+        query, seed = seed, None
+        for d in sorted(unused, key=lambda d: (-round(score(query, d), 9), d)) if room else []:
+            unused.remove(d)
+            take = min(room, len(docs[d]))
+            out[-1].append((d, 0, take))
+            room -= take
+            if take < len(docs[d]):
+                seed, start = d, take
+            if not room:
+                break
+    return out
+
+
+def test_packing_equals_brute_force():
+    rng = np.random.default_rng(3)
+    docs = [rng.integers(10, 60 if k % 3 else 400, rng.integers(1, 700)).astype(np.uint16) for k in range(120)]
+    docs[40] = docs[41] = docs[42]
+    df = np.zeros(packing.VOCABULARY)
+    for d in docs:
+        df[np.unique(d)] += 1
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    idf = np.log((n * 4 - df + 0.5) / (df + 0.5))
+    packer = packing.Packer(idf, mean, 0)
+    packer.shard([(k, d) for k, d in enumerate(docs)])
+    got = defaultdict(list)
+    for d, start, ids, _, seq, _ in packer.out + packer.open:
+        got[seq].append((d, start, len(ids)))
+    assert list(got.values()) == brute_packing(docs, idf, mean)
+
+
 def test_bm25_scores():
     docs = [np.array(x, np.uint16) for x in ([5, 6, 7], [5, 5, 8], [9, 10, 11], [6, 9, 9, 9])]
     df = np.zeros(packing.VOCABULARY)
