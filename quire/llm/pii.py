@@ -1,18 +1,24 @@
 """Personal data: patterns, and information-theoretic sanitisation of the terms that reveal them.
 
 Base spans are e-mail addresses, IP addresses, payment cards and telephone numbers.  Each distinct
-value is a protected entity, however many documents hold it; documents of one text count once.  A term that occurs beside
-an entity discloses, of the entity's information log2(1 / p(e)), the share log2(p(e|t) / p(e)).  A
-term that discloses at least ``DISCLOSED`` of an entity, in at least ``CONTEXTS`` different contexts
-(the words before and after, so copies of one passage count once), is a span wherever it stands in a
-document that holds the entity, and is generalised like the base spans.
+value is a protected entity, however many texts hold it; documents of one text count once.  A term
+that occurs beside an entity discloses, of the entity's information log2(1 / p(e)), the share
+log2(p(e|t) / p(e)).  A term that discloses at least ``DISCLOSED`` of an entity, in at least
+``CONTEXTS`` different contexts (the words before and after, so copies of one passage count once), is
+a span wherever it stands in a text that holds the entity, and is generalised like the base spans.
+
+Entities that the same texts hold have the same statistics, so words are counted beside such classes
+of entities: a text with a thousand addresses of its own counts its words once.
 
 Everything is DataFrame expressions.  The patterns find what the plain ones do, written so that they
 run in linear time and constant stack: a match begins at the start of a run of its characters or
 where the last one ended, and repetition never gives back.
 
-Null texts are empty: no spans.  Documents are known by doc_id and a hash of their text, so repeated
-rows and repeated or null ids each keep their own result.  Offsets are code points, ends exclusive.
+Null and empty texts have no spans; an empty table gives no rows.  Very long texts are read whole.
+Documents are known by doc_id and a hash of their text, so repeated rows and repeated or null ids each
+keep their own result.  Ties: a term exactly at a limit counts.  Offsets are code points, ends
+exclusive.  Other columns are passed through or ignored, whatever their names; names that begin with
+``__pii`` are reserved.
 """
 
 from __future__ import annotations
@@ -22,10 +28,12 @@ from pyspark.sql import functions as F
 
 from .store import Scratch
 
-#: Share of an entity's information, and contexts, from which a term is sanitised; documents per entity in the SQL twin, which protects only rarer ones.
-DISCLOSED, CONTEXTS, COMMON = 0.8, 3, 64
-#: Texts with copies up to which their hashes are broadcast; more are joined by sorting.
+#: Share of an entity's information, and contexts, from which a term is sanitised.
+DISCLOSED, CONTEXTS = 0.8, 3
+#: Texts with copies up to which their hashes (16 bytes each) are broadcast; more are joined by sorting.
 COPIED = 1_000_000
+#: Parts into which the documents of one text are dealt when its spans are joined.
+SALT = 16
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns, and a test that a text must pass to hold a match at all.
 PATTERNS = {
@@ -70,8 +78,8 @@ def _spans(kind: str, text: Column, found: Column, pattern: str) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """Columns doc_id, h (a hash of the text), text (null: empty), spans in the order of KINDS and places."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """Columns doc_id, h (a hash of the text), given (whether there is a text), text (null: empty), spans in the order of KINDS and places."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").isNotNull().alias("given"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.withColumn("h", F.xxhash64("text"))
     none = F.array().cast("array<string>")
     for kind, (pattern, holds) in PATTERNS.items():
@@ -84,7 +92,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     d = d.withColumn("m_card", F.when(long_run, F.col("m_card")).otherwise(none))
     for kind, (pattern, _) in PATTERNS.items():
         d = d.withColumn(f"s_{kind}", _spans(kind, F.col("text"), F.col(f"m_{kind}"), pattern))
-    return d.select("doc_id", "h", "text", F.concat(*[F.col(f"s_{k}") for k in KINDS]).alias("spans"))
+    return d.select("doc_id", "h", "given", "text", F.concat(*[F.col(f"s_{k}") for k in KINDS]).alias("spans"))
 
 
 def entity(span: Column) -> Column:
@@ -93,57 +101,83 @@ def entity(span: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), F.regexp_replace(value, "[^0-9]", "")).otherwise(F.lower(value)))
 
 
-def disclosing_terms(hits: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Columns entity, term, disclosed: terms that disclose an entity; documents of one text count once.
+def terms_of(text: Column) -> Column:
+    """The words of a text, in lower case, in order."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+
+
+CLASS = ["held", "x1", "x2"]
 
-    ``hits``: doc_id, h, text and entities of the documents that hold entities.
+
+def entity_classes(once: DataFrame) -> DataFrame:
+    """Columns h and CLASS: the classes of each text's entities; ``once`` has a row (h, entities) for each text that holds any.
+
+    A class is known by the number of texts that hold it and two combined hashes of them.
     """
-    terms_of = lambda t: F.regexp_extract_all(F.lower(t), F.lit(TERM), F.lit(0))
-    hashed = docs.select("text", F.xxhash64("text").alias("h"))
-    texts = scratch.keep(hashed.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "copied")
-    # one row of one aggregate each; joined as scalars
-    total = docs.agg(F.count(F.lit(1)).alias("rows")).join(F.broadcast(texts.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"))), F.lit(True)).select((F.col("rows") - F.col("extra")).alias("docs"))
-    once = hits.dropDuplicates(["h"]).select("h", "text", "entities")
-    pairs = once.select(F.explode("entities").alias("entity"), "h")
-    freq = scratch.keep(pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("held")).join(F.broadcast(total), F.lit(True)), "freq")
-    near = once.select("h", "entities", terms_of("text").alias("w")).where(F.size("w") > 0)
-    near = near.select("h", "entities", F.expr("inline(transform(sequence(1, size(w)), i -> struct(get(w, i - 1) as term, xxhash64(coalesce(get(w, i - 2), ''), coalesce(get(w, i), '')) as ctx)))"))
-    seen = near.select(F.explode("entities").alias("entity"), "term", "ctx", "h")
-    by_context = seen.select("entity", "term", "ctx").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= CONTEXTS)
-    by_text = seen.select("entity", "term", "h").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
-    both = scratch.keep(by_text.join(by_context, ["entity", "term"]), "together")
-    # how many texts of the whole corpus hold each candidate term: all rows, less the copies
-    every = docs.select(F.explode(F.array_distinct(terms_of("text"))).alias("term"))
+    holds = once.select("h", F.explode("entities").alias("entity"))
+    by_entity = holds.groupBy("entity").agg(F.count(F.lit(1)).alias("held"), F.bit_xor("h").alias("x1"), F.bit_xor(F.xxhash64("h", F.lit(7))).alias("x2"))
+    return holds.join(by_entity, "entity").select("h", *CLASS).distinct()
+
+
+def disclosing_terms(once: DataFrame, classes: DataFrame, base: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Columns CLASS, term: terms that disclose the entities of a class; documents of one text count once.
+
+    ``once`` has h and text of each text with entities, ``base`` h and given of all documents.
+    """
+    by_hash = base.where("given").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    texts, many = by_hash.agg(F.count(F.lit(1)), F.count_if(F.col("n") > 1)).first()
+    copies = by_hash.where("n > 1")
+    own = once.join(classes.groupBy("h").agg(F.collect_list(F.struct(*CLASS)).alias("classes")), "h")
+    # outer generators: of an inner one Spark tests the size first, by working out the words again
+    own = own.select("h", "classes", terms_of(F.col("text")).alias("w"))
+    in_context = F.expr("transform(sequence(1, greatest(size(w), 1)), i -> struct(get(w, i - 1) as term, xxhash64(coalesce(get(w, i - 2), ''), coalesce(get(w, i), '')) as ctx))")
+    seen = own.select(F.explode_outer("classes").alias("c"), in_context.alias("w")).select("c.*", F.inline_outer("w"))
+    by_context = seen.distinct().groupBy(*CLASS, "term").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= CONTEXTS)
+    beside = own.select(F.explode_outer("classes").alias("c"), F.array_distinct("w").alias("w")).select("c.*", F.explode_outer("w").alias("term"))
+    by_text = beside.groupBy(*CLASS, "term").agg(F.count(F.lit(1)).alias("together"))
+    both = scratch.keep(by_text.join(by_context, [*CLASS, "term"], "left_semi"), "together")
+    # how many texts of the whole corpus hold each candidate term: rows of a text with n copies count one nth each
+    every = docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.array_distinct(terms_of(F.col("text"))).alias("w"))
+    every = every.join(F.broadcast(copies) if many <= COPIED else copies.hint("merge"), "h", "left").select(F.coalesce("n", F.lit(1)).alias("n"), F.explode_outer("w").alias("term"))
     # counted before the join, so that what moves is a task's distinct terms, at every size
-    spread = every.groupBy("term").agg(F.count(F.lit(1)).alias("rows")).join(both.select("term").distinct().hint("merge"), "term", "left_semi")
-    few = texts.count() <= COPIED
-    again = hashed.join(F.broadcast(texts) if few else texts.hint("merge"), "h").select("h", "n", F.explode(F.array_distinct(terms_of("text"))).alias("term")).distinct()
-    spread = spread.join(again.groupBy("term").agg(F.sum(F.col("n") - 1).alias("extra")), "term", "left").select("term", (F.col("rows") - F.coalesce("extra", F.lit(0))).alias("spread"))
-    p_e = F.col("held") / F.col("docs")
+    spread = every.groupBy("term", "n").agg(F.count(F.lit(1)).alias("rows")).join(both.select("term").distinct().hint("merge"), "term", "left_semi")
+    spread = spread.groupBy("term").agg(F.sum(F.expr("rows div n")).alias("spread"))
+    p_e = F.col("held") / F.lit(texts)
     p_et = F.col("together") / F.col("spread")
-    # an entity of all texts has no information to disclose
-    out = both.join(spread, "term").join(freq.where("held < docs"), "entity").withColumn("disclosed", F.log2(p_et / p_e) / F.log2(1 / p_e))
-    return scratch.keep(out.where(F.col("disclosed") >= DISCLOSED).select("entity", "term", "disclosed"), "terms")
+    # entities of all texts have no information to disclose
+    out = both.where(F.col("held") < texts).join(spread, "term").where(F.log2(p_et / p_e) / F.log2(1 / p_e) >= DISCLOSED)
+    return out.select(*CLASS, "term")
+
+
+def term_spans(once: DataFrame, named: DataFrame) -> DataFrame:
+    """Columns h, terms (spans in order): where the terms that ``named`` (h, term) gives stand in the texts of ``once`` (h, text)."""
+    marked = once.join(named.groupBy("h").agg(F.collect_set("term").alias("named")), "h")
+    words, gaps = F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.split("text", TERM, -1)
+    marked = marked.select("h", "named", F.arrays_zip(words.alias("word"), F.slice(gaps, 1, F.size(gaps) - 1).alias("gap")).alias("z"))
+    # of each word only its length moves on, and the word itself where it is named
+    steps = F.expr("transform(z, x -> struct(length(x.gap) + length(x.word) as step, if(array_contains(named, lower(x.word)), x.word, null) as value))")
+    cut = marked.select("h", F.posexplode_outer(steps).alias("pos", "x")).select("h", "pos", "x.*")
+    # a word ends at the sum of all gaps and words up to it
+    cut = cut.withColumn("end", F.expr("sum(step) over (partition by h order by pos)").cast("int")).where("value is not null")
+    span = F.struct((F.col("end") - F.length("value")).alias("start"), "end", "value")
+    found = cut.groupBy("h").agg(F.sort_array(F.collect_list(span)).alias("l"))
+    return found.select("h", F.transform("l", lambda x: F.struct(F.lit("term").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))).cast(SPAN).alias("terms"))
 
 
 def find(docs: DataFrame) -> DataFrame:
     """Columns doc_id, h, base (spans of the patterns), terms (spans of disclosing terms)."""
     scratch = Scratch(docs.sparkSession, "pii")
     base = base_spans(docs)
-    base = scratch.keep(base.select("doc_id", "h", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "base")
-    hits = base.where("text is not null").select("doc_id", "h", "text", F.array_distinct(F.transform("spans", entity)).alias("entities")).dropDuplicates(["doc_id", "h"])
-    terms = disclosing_terms(hits, docs.where("text is not null"), scratch)
-    named = hits.select("doc_id", "h", F.explode("entities").alias("entity")).join(terms, "entity").select("doc_id", "h", "term").distinct()
-    marked = hits.join(named.groupBy("doc_id", "h").agg(F.collect_set("term").alias("terms")), ["doc_id", "h"])
-    gaps = F.split("text", TERM, -1)
-    cut = marked.select("doc_id", "h", "terms", F.posexplode(F.arrays_zip(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)).alias("word"), F.slice(gaps, 1, F.size(gaps) - 1).alias("gap"))).alias("pos", "x"))
-    # a word ends at the sum of all gaps and words up to it
-    cut = cut.select("doc_id", "h", "terms", F.col("x.word").alias("value"), F.expr("sum(length(x.gap) + length(x.word)) over (partition by doc_id, h order by pos)").cast("int").alias("end"))
-    cut = cut.where(F.array_contains("terms", F.lower("value")))
-    span = F.struct(F.lit("term").alias("kind"), (F.col("end") - F.length("value")).alias("start"), "end", "value")
-    found = cut.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct((F.col("end") - F.length("value")).alias("o"), span.alias("s")))).alias("l"))
-    found = found.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), F.transform("l", lambda x: x["s"]).cast(SPAN).alias("terms"))
-    out = base.join(found, base.doc_id.eqNullSafe(found.i) & (base.h == found.g), "left")
+    base = scratch.keep(base.select("doc_id", "h", "given", "spans", F.when(F.size("spans") > 0, F.col("text")).alias("text")), "base")
+    once = base.where("text is not null").select("h", "text", F.array_distinct(F.transform("spans", entity)).alias("entities")).dropDuplicates(["h"])
+    once = scratch.keep(once, "once")
+    classes = entity_classes(once)
+    terms = disclosing_terms(once.select("h", "text"), classes, base.select("h", "given"), docs, scratch)
+    named = classes.join(terms, CLASS).select("h", "term").distinct()
+    found = term_spans(once.select("h", "text"), named)
+    # the documents of one text are dealt to SALT tasks, each of which gets the text's spans
+    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    out = base.select("doc_id", "h", "spans", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int").alias("salt")).join(found, ["h", "salt"], "left")
     return out.select("doc_id", "h", F.col("spans").alias("base"), F.coalesce("terms", F.array().cast(SPAN)).alias("terms"))
 
 
@@ -175,9 +209,10 @@ def generalise(text: Column, spans: Column) -> Column:
 def sanitised(docs: DataFrame) -> DataFrame:
     """The documents with personal data and disclosing terms generalised; n_chars follows the text."""
     found = find(docs).where((F.size("base") > 0) | (F.size("terms") > 0)).dropDuplicates(["doc_id", "h"])
-    found = found.select(F.col("doc_id").alias("i"), F.col("h").alias("g"), F.concat("base", "terms").alias("spans"))
-    keyed = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = keyed.join(found, keyed.doc_id.cast("long").eqNullSafe(found.i) & (keyed.h == found.g), "left")
-    text = F.when(F.col("spans").isNotNull(), generalise(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")) if "n_chars" in docs.columns else F.length("text").cast("long")).select(*docs.columns)
+    found = found.select(F.col("doc_id").alias("__pii_i"), F.col("h").alias("__pii_g"), F.concat("base", "terms").alias("__pii_spans"))
+    keyed = docs.withColumns({"__pii_id": F.col("doc_id").cast("long"), "__pii_h": F.xxhash64(F.coalesce("text", F.lit("")))})
+    out = keyed.join(found, F.col("__pii_id").eqNullSafe(F.col("__pii_i")) & (F.col("__pii_h") == F.col("__pii_g")), "left")
+    out = out.withColumn("text", F.when(F.col("__pii_spans").isNotNull(), generalise(F.col("text"), F.col("__pii_spans"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
+    return out.select(*docs.columns)

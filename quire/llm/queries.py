@@ -93,7 +93,7 @@ f AS (SELECT payload_digest, min(page_id) AS f FROM d WHERE payload_bytes >= 100
 SELECT d.page_id, d.payload_bytes, d.payload_digest, CASE WHEN f IS NULL OR f = d.page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN f <> d.page_id THEN f END AS refers_to
 FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest AND d.payload_bytes >= 100""",
     "op9_disclosure": r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT min(doc_id) AS doc_id, coalesce(text, '') AS t FROM documents GROUP BY t),
 pat AS (SELECT * FROM (VALUES (1, 'email'), (2, 'ip'), (3, 'card'), (4, 'phone')) p(k, kind)),
 m AS (
   SELECT doc_id, 1 AS k, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS f, regexp_split_to_array(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS g FROM d
@@ -108,9 +108,9 @@ base AS (SELECT y.doc_id, k, kind, v, y.z - length(v) AS a, y.z, kind || ':' ||
   FROM y JOIN pat USING (k) LEFT JOIN luhn ON k = 3 AND luhn.doc_id = y.doc_id AND luhn.z = y.z
   WHERE k = 1 OR k = 3 AND luhn.ok OR k = 4 AND length(n) BETWEEN 8 AND 15
     OR k = 2 AND len(list_filter(string_split(v, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || right(p, 3) AS INTEGER) > 255)) = 0),
-total AS (SELECT count(*) AS docs FROM documents WHERE text IS NOT NULL),
+total AS (SELECT count(DISTINCT text) AS docs FROM documents),
 holds AS (SELECT DISTINCT doc_id, entity FROM base),
-freq AS (SELECT entity, held, docs FROM (SELECT entity, count(*) AS held FROM holds GROUP BY entity), total WHERE held > 1 AND held * 64 <= docs),
+freq AS (SELECT entity, held, docs FROM (SELECT entity, count(*) AS held FROM holds GROUP BY entity), total WHERE held < docs),
 kept AS (SELECT doc_id, entity FROM holds SEMI JOIN freq USING (entity)),
 w AS (SELECT doc_id, regexp_extract_all(lower(t), '\p{L}{3,}') AS w FROM d),
 near AS (SELECT doc_id, w[i] AS term, coalesce(w[nullif(i - 1, 0)], '') AS before, coalesce(w[i + 1], '') AS after FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w SEMI JOIN kept USING (doc_id))),
@@ -124,6 +124,6 @@ found AS (SELECT doc_id, v, sum(length(gap) + length(v)) OVER (PARTITION BY doc_
 spans AS (SELECT doc_id, k, kind, a, z FROM base UNION ALL SELECT doc_id, 5, 'term', z - length(v), z FROM found SEMI JOIN named ON named.doc_id = found.doc_id AND named.term = lower(v)),
 rows AS (SELECT doc_id, count(*) FILTER (k = 1) AS n_email, count(*) FILTER (k = 2) AS n_ip, count(*) FILTER (k = 3) AS n_card, count(*) FILTER (k = 4) AS n_phone,
   string_agg(kind || ':' || a || ':' || z, ',' ORDER BY k, a) FILTER (k < 5) AS b, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY k, a) AS s FROM spans GROUP BY doc_id)
-SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
-FROM documents LEFT JOIN rows USING (doc_id)""",
+SELECT x.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
+FROM documents x JOIN d ON coalesce(x.text, '') = d.t LEFT JOIN rows ON rows.doc_id = d.doc_id""",
 }
