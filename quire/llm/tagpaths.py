@@ -1,16 +1,20 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read as a sequence of text nodes, each with the path of block tags from the root to it.
-For every path the characters and the punctuation of all its nodes are summed and divided by the
-number of its nodes; both series are smoothed along the order in which paths first appear, fused by
-a weighted product with the share of text outside links, and paths above a threshold (the mean less
-a part of the standard deviation) are content.  The outermost ``article`` and ``main``
-elements with selected nodes, if together they hold most of the selected text, give the text in page
-order, or else the smallest element that holds it all; what the markup itself names as menu, header, footer, sidebar, notice, advert, form, comment, script or style is left out first.
-
-Null or empty html, and pages without text, give an empty string.  Broken markup (unclosed or stray
-tags, cut pages, tags inside scripts) never fails.  Rows are independent: repeated rows and ties
-need no rule, and other columns are ignored.
+A page is read as a sequence of text nodes, each with the path of block tags (and first classes) from
+the root to it.  For every path the characters and the punctuation of all its nodes are summed and
+divided by the number of its nodes.  Both ratios are smoothed along the order in which paths first
+appear, with weights that fall with the distance and grow with the share of the path two of them have
+in common; own and smoothed ratios are fused by a weighted product with the share of text outside links
+and a prior.  The prior lowers paths below elements that markup names as menu, header, footer, sidebar,
+notice, advert, form or comment, and, where articles and mains hold most of the text, paths outside them; it raises headings.
+Paths whose fused ratio reaches the threshold are content: a part of the standard deviation below the
+mean, of logarithms, or ``SPREAD`` times less than the best path's, whichever is lower.  The nodes of the
+chosen paths, in page order, are the text.
+
+Null or empty html, and pages without text, give an empty string; an empty table gives no rows.  Broken
+markup (unclosed or stray tags, cut pages, tags inside scripts) never fails.  Very long pages are read
+whole.  Rows are independent: repeated rows need no rule; a path exactly at the threshold is content;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,9 +36,11 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"b", "i", "em", "strong", "span", "u", "s", "small", "big", "sub", "sup", "mark", "code", "kbd", "samp", "var", "cite", "q", "abbr", "time", "font", "tt", "del", "ins", "dfn", "label", "bdi", "bdo", "data", "ruby", "rt", "rp", "strike", "center"}
-OUT = {"nav", "footer", "aside", "form", "button", "select", "svg", "math", "dialog", "menu", "object", "canvas", "audio", "video", "fieldset", "head", *RAW}
+UNREAD = {"svg", "math", "object", "canvas", "audio", "video", "head", *RAW}
+OUT = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CELLS = {"td", "th", "br", "hr", "img", "wbr"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "form", "toolbar", "note"}
 # Words in a class or id that name what is not the article, unless a word of layout stands beside them; the second set yields to words that name the article.
@@ -43,53 +49,58 @@ SOFT = {"nav", "header", "footer", "foot", "side", "aside", "rail", "notice", "n
 LAYOUT = {"has", "with", "no", "without", "layout", "wrapper", "container", "page", "site", "grid", "columns"}
 MAIN = {"article", "content", "entry", "story", "main", "text", "post", "body"}
 
-#: Width of the smoothing, weights of the fusion, and how far below the mean the threshold lies.
-SIGMA, TEXT_WEIGHT, PUNCT_WEIGHT, LAMBDA = 1.0, 1.0, 0.5, 0.6
+#: Width of the smoothing and its reach in paths, weights of the fusion, and least punctuation.
+SIGMA, REACH, TEXT_WEIGHT, PUNCT_WEIGHT, LEAST_PUNCT = 2.0, 4, 1.0, 1.0, 0.2
+#: How far below the mean the threshold lies, and the part of the best path's ratio that is always content, on pages without and with articles and mains that hold most of the text.
+LAMBDA, SPREAD = 0.05, (12.0, 1000.0)
+#: Priors of paths below an element that its markup names as no part of the article, of paths outside those articles and mains, and of headings; share of linked text that counts against a path inside them.
+NAMED, OUTSIDE, HEADING, LINKED = 1e-5, 1e-4, 8.0, 0.9999
 PUNCT = re.compile(r"[.,;:!?…。、，؛؟।]")
 
 
-def _named_out(tag: str, attrs: str, inside: bool) -> tuple[bool, str]:
-    """Whether markup names the element as no part of the article, and its class for the path."""
-    if tag in OUT or (tag == "header" and not inside):
-        return True, ""
+def _named(tag: str, attrs: str, inside: bool) -> tuple[str, str]:
+    """``hidden``, ``tag``, ``name`` or nothing: whether the element is not shown, or its tag or names speak against it; and its class for the path."""
+    if tag in UNREAD:
+        return "hidden", ""
+    by_tag = "tag" if tag in OUT or (tag == "header" and not inside) else ""
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False, ""
+        return by_tag, ""
     words, cls = set(), ""
     for name, *value in ATTR.findall(attrs):
         name, v = name.lower(), "".join(value)
         if name in ("class", "id"):
             words |= {w.lower() for w in WORD.findall(v)}
             cls = cls or v.split(" ")[0]
-        elif name == "role" and v.lower() in ROLES or name == "hidden" or name == "aria-hidden" and v.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
-            return True, ""
-    if words & LAYOUT and tag not in ("section", "p", "ul", "ol"):
-        return False, cls
-    if words & HARD and tag not in ("body", "html", "article", "main"):
-        return True, ""
-    return bool(words & SOFT and not words & MAIN and tag not in ("body", "html", "article", "main")), cls
+        elif name == "hidden" or name == "aria-hidden" and v.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I):
+            return "hidden", ""
+        elif name == "role" and v.lower() in ROLES:
+            by_tag = "tag"
+    if by_tag or tag in ("body", "html", "article", "main") or words & LAYOUT and tag not in ("section", "p", "ul", "ol"):
+        return by_tag, cls
+    return "name" if words & HARD or words & SOFT and not words & MAIN else "", cls
 
 
 class Node:
-    """A block of text: its path and elements, its text, and how much of it is in links."""
+    """A block of text: its path, its text, how much of it is in links, whether it is in an article or main, and whether tags or names speak against it."""
 
-    __slots__ = ("elements", "linked", "path", "text")
+    __slots__ = ("against", "inside", "linked", "path", "text")
 
-    def __init__(self, path: tuple, elements: tuple, text: str, linked: int):
-        self.path, self.elements, self.text, self.linked = path, elements, text, linked
+    def __init__(self, path: tuple, text: str, linked: int, inside: bool, against: str):
+        self.path, self.text, self.linked, self.inside, self.against = path, text, linked, inside, against
 
 
-def nodes(page: str, named: bool = True) -> list[Node]:
-    """The text blocks of a page outside the elements that markup names as no part of the article; classes and ids count if ``named``."""
+def nodes(page: str) -> list[Node]:
+    """The text blocks of a page that a reader sees, in page order."""
     out: list[Node] = []
-    stack: list[tuple[str, str, int]] = []  # tag, name in the path, number of the element
+    stack: list[tuple[str, str, str]] = []  # tag, name in the path, what speaks against it or an element around it
     parts: list[str] = []
-    state = {"linked": 0, "link": 0, "number": 0, "main": 0}
+    state = {"linked": 0, "link": 0, "main": 0}
     dropped = 0  # depth of the stack at which an element is left out, 0 for none
 
     def end_block() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Node(tuple(s[1] for s in stack), tuple(s[2] for s in stack), text, state["linked"]))
+            out.append(Node(tuple(s[1] for s in stack), text, state["linked"], state["main"] > 0, stack[-1][2] if stack else ""))
         parts.clear()
         state["linked"] = 0
 
@@ -160,78 +171,77 @@ def nodes(page: str, named: bool = True) -> list[Node]:
                     break
         if (m[3] or m[6] or "").endswith("/") and tag not in CLOSES_P:
             continue
-        out_of, cls = (False, "") if dropped else _named_out(tag, (m[3] or m[6] or "") if named else "", state["main"] > 0)
-        state["number"] += 1
-        stack.append((tag, f"{tag}.{cls}" if cls else tag, state["number"]))
+        against, cls = ("", "") if dropped else _named(tag, m[3] or m[6] or "", state["main"] > 0)
+        around = stack[-1][2] if stack else ""
+        # a tag says more than a name
+        stack.append((tag, f"{tag}.{cls}" if cls else tag, max(around, against)))
         state["main"] += tag in ("article", "main")
-        if out_of:
+        if against == "hidden":
             dropped = len(stack)
     end_block()
     return out
 
 
-def smooth(x: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """Gaussian smoothing along the order of paths, with weights renormalised at the ends."""
-    half = min(2, (len(x) - 1) // 2)
-    if half < 1:
-        return x
-    near = np.arange(-half, half + 1)
-    w = np.exp(-(near**2) / (2 * sigma**2))
-    return np.convolve(x, w, "same") / np.convolve(np.ones_like(x), w, "same")
+def common(p: tuple, q: tuple) -> float:
+    """The share of the longer path that two paths have in common from the root."""
+    n = next((k for k, (a, b) in enumerate(zip(p, q)) if a != b), min(len(p), len(q)))
+    return (n + 1) / (max(len(p), len(q)) + 1)
+
+
+def smooth(paths: list[tuple], x: np.ndarray) -> np.ndarray:
+    """Each path's ratios (columns of ``x``) as the mean over the paths near it in order, weighted by a Gaussian and the square of what they have in common."""
+    near = np.exp(-(np.arange(REACH + 1) ** 2) / (2 * SIGMA**2))
+    total, weight = x.copy(), np.ones(len(x))
+    for d in range(1, min(REACH, len(paths) - 1) + 1):
+        w = near[d] * np.array([common(p, q) for p, q in zip(paths, paths[d:])]) ** 2
+        total[:-d] += w[:, None] * x[d:]
+        total[d:] += w[:, None] * x[:-d]
+        weight[:-d] += w
+        weight[d:] += w
+    return total / weight[:, None]
 
 
-def select(found: list[Node]) -> list[Node]:
-    """The nodes whose tag paths have a high fused ratio, in page order."""
-    paths: dict[tuple, list[float]] = {}
+def ratios(found: list[Node], named: bool = True) -> tuple[list[tuple], np.ndarray, float]:
+    """The paths of the nodes in order of appearance, their fused ratios, and the threshold; a path is told apart by what speaks against it, names too if ``named``."""
+    speaks = (lambda n: n.against) if named else (lambda n: n.against if n.against == "tag" else "")
+    sums: dict[tuple, list[float]] = {}
     for n in found:
-        p = paths.setdefault(n.path, [0.0, 0.0, 0.0, 0.0])
+        p = sums.setdefault((n.path, n.inside, speaks(n)), [0.0, 0.0, 0.0, 0.0])
         p[0] += 1
         p[1] += len(n.text)
         p[2] += len(PUNCT.findall(n.text))
         p[3] += min(n.linked, len(n.text))
-    v = np.array(list(paths.values()))
-    text, punct, free = v[:, 1] / v[:, 0], v[:, 2] / v[:, 0], 1 - v[:, 3] / v[:, 1]
+    keys, v = list(sums), np.array(list(sums.values()))
+    own = v[:, 1:3] / v[:, :1]
     # a path's own ratio counts as much as its smoothed one, so that a long node beside short ones stands out
-    fused = ((text + smooth(text)) / 2) ** TEXT_WEIGHT * (1 + (punct + smooth(punct)) / 2) ** PUNCT_WEIGHT * free
-    least = max(fused.mean() - LAMBDA * fused.std(), 0.0)
-    chosen = {p for p, f in zip(paths, fused, strict=True) if f >= least and f > 0}
-    return [n for n in found if n.path in chosen]
+    text, punct = ((own + smooth([k[0] for k in keys], own)) / 2).T
+    inside = np.array([k[1] for k in keys])
+    prior = np.array([NAMED if k[2] else 1.0 for k in keys])
+    articles = 2 * (v[:, 1] * prior)[inside].sum() >= (v[:, 1] * prior).sum()
+    if articles:
+        prior *= np.where(inside, 1.0, OUTSIDE)
+    prior *= [HEADING if k[0] and k[0][-1][:2] in HEADINGS else 1.0 for k in keys]
+    free = 1 - np.where(inside, LINKED, 1.0) * v[:, 3] / v[:, 1]
+    fused = text**TEXT_WEIGHT * (LEAST_PUNCT + punct) ** PUNCT_WEIGHT * free * prior
+    x = np.log1p(fused)
+    return keys, fused, min(float(np.expm1(x.mean() - LAMBDA * x.std())), float(fused.max()) / SPREAD[int(articles)])
+
+
+def select(found: list[Node], named: bool = True) -> list[Node]:
+    """The nodes whose tag paths have a fused ratio at or above the threshold, in page order."""
+    keys, fused, least = ratios(found, named)
+    chosen = {k for k, f in zip(keys, fused, strict=True) if f >= least and f > 0}
+    return [n for n in found if (n.path, n.inside, n.against if named or n.against == "tag" else "") in chosen]
 
 
 def extract(page: str | None) -> str:
-    """The main text of a page: its blocks in page order, joined by a line break."""
-    if not page:
-        return ""
-    # a page whose names rule everything out is read by its tags alone
-    found = nodes(page) or nodes(page, named=False)
-    if not found:
+    """The main text of a page: its content blocks in page order, joined by a line break."""
+    found = nodes(page) if page else []
+    # a page whose names rule everything out is judged by its tags, one whose tags do has no article
+    named = any(not n.against for n in found)
+    if not named and not any(n.against != "tag" for n in found):
         return ""
-    chosen = select(found) or found
-    # the outermost articles and mains that hold chosen text, if together they hold most of it, else the smallest element that holds all of it
-    held, bare, mixed, articles = 0, set(), set(), set()
-    for n in chosen:
-        within = [(name.split(".")[0], e) for name, e in zip(n.path, n.elements, strict=True)]
-        top = next((e for name, e in within if name in ("article", "main")), None)
-        if top is not None:
-            own = {e for name, e in within if name == "article"}
-            held += len(n.text)
-            articles |= own
-            (mixed if own else bare).add(top)
-    if 2 * held >= sum(len(n.text) for n in chosen):
-        # beside the articles of a main, what is not chosen is content only where it is no list of links
-        whole, roots, picked = articles | (bare - mixed), bare | mixed, {id(n) for n in chosen}
-        inside = [n for n in found if not roots.isdisjoint(n.elements)]
-        return "\n".join(n.text for n in inside if not whole.isdisjoint(n.elements) or id(n) in picked or 2 * n.linked < len(n.text))
-    common = set(chosen[0].elements).intersection(*(n.elements for n in chosen[1:]))
-    if common and len({n.path for n in chosen}) == 1 or not common:
-        keep = {n.path for n in chosen}
-        inside = [n for n in found if not common or max(common) in n.elements]
-        heads = [n for n in inside if n.path in keep or n.path and re.match(r"h[1-6]\b", n.path[-1])]
-        return "\n".join(n.text for n in heads)
-    root = max(common)
-    inside = [n for n in found if root in n.elements]
-    # in the whole body, what stands outside the chosen paths is content only where it is no list of links
-    return "\n".join(n.text for n in inside if n in chosen or 2 * n.linked < len(n.text))
+    return "\n".join(n.text for n in select(found, named))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -637,6 +637,81 @@ def test_main_text_of_pages(spark):
     assert [r.text for r in tagpaths.main_text(odd).collect()] == ["", "", ""] and tagpaths.main_text(odd.limit(0)).count() == 0
 
 
+def brute_ratios(page):
+    """Fused ratio of each path and the threshold, worked out path by path."""
+    rows = [(n.path, n.inside, n.against, n.text, min(n.linked, len(n.text))) for n in tagpaths.nodes(page)]
+    keys = list(dict.fromkeys(r[:3] for r in rows))
+    own = {k: [r for r in rows if r[:3] == k] for k in keys}
+    text = {k: sum(len(r[3]) for r in g) / len(g) for k, g in own.items()}
+    punct = {k: sum(len(re.findall(r"[.,;:!?…。、，؛؟।]", r[3])) for r in g) / len(g) for k, g in own.items()}
+    prior = {k: 1e-5 if k[2] else 1.0 for k in keys}
+    weight = {inside: sum(len(r[3]) * prior[k] for k, g in own.items() if k[1] == inside for r in g) for inside in (True, False)}
+    out = {}
+    for i, k in enumerate(keys):
+        total = [0.0, 0.0, 0.0]
+        for j, q in enumerate(keys):
+            if abs(i - j) <= 4:
+                shared = 0
+                while shared < min(len(k[0]), len(q[0])) and k[0][shared] == q[0][shared]:
+                    shared += 1
+                w = 1.0 if i == j else math.exp(-((i - j) ** 2) / 8) * ((shared + 1) / (max(len(k[0]), len(q[0])) + 1)) ** 2
+                total = [total[0] + w, total[1] + w * text[q], total[2] + w * punct[q]]
+        t, u = (text[k] + total[1] / total[0]) / 2, (punct[k] + total[2] / total[0]) / 2
+        linked = sum(r[4] for r in own[k]) / sum(len(r[3]) for r in own[k])
+        outside = 1e-4 if not k[1] and weight[True] >= weight[False] else 1.0
+        heading = 8 if re.match(r"h[1-6]\b", k[0][-1]) else 1
+        out[k] = t * (0.2 + u) * (1 - (0.9999 if k[1] else 1.0) * linked) * prior[k] * outside * heading
+    logs = [math.log(1 + x) for x in out.values()]
+    mean = sum(logs) / len(logs)
+    return out, min(math.exp(mean - 0.05 * math.sqrt(sum((x - mean) ** 2 for x in logs) / len(logs))) - 1, max(out.values()) / (1000 if weight[True] >= weight[False] else 12))
+
+
+def test_ratios_equal_brute_force(spark):
+    sources = [r.html for r in spark.read.parquet(f"{D}/pages.parquet").limit(40).collect()] + [PAGE, PLAIN]
+    for source in sources:
+        want, least = brute_ratios(source)
+        keys, got, cut = tagpaths.ratios(tagpaths.nodes(source))
+        assert keys == list(want) and np.allclose(got, list(want.values())) and math.isclose(cut, least, rel_tol=1e-9)
+        assert tagpaths.extract(source) == "\n".join(n.text for n in tagpaths.nodes(source) if want[(n.path, n.inside, n.against)] >= least)
+
+
+SENTENCE = "A plain sentence, with words enough to count as text here. "
+#: No article, and no class or id that says what a part is.
+PLAIN = f"""<html><body><table><tr><td><a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a></td></tr></table>
+<div><h1>The title of it</h1>{"".join(f"<p>{SENTENCE * k}</p>" for k in (4, 2, 6, 1, 5))}<ul><li>{SENTENCE}</li><li>{SENTENCE * 2}</li></ul></div>
+<div><div><a href=/x>Another page</a></div><div><a href=/y>And one more</a></div></div><div><span>Copyright 2024</span></div></body></html>"""
+
+
+def test_pages_without_article_or_names():
+    want = ["The title of it", *[(SENTENCE * k).strip() for k in (4, 2, 6, 1, 5, 1, 2)]]
+    assert tagpaths.extract(PLAIN).split("\n") == want
+    layouts = [
+        f"<div><div>Menu</div><div>Search</div></div><div>{{}}</div><div>Imprint</div>",
+        f"<table><tr><td><ul><li><a href=a>One</a><li><a href=b>Two</a></ul></td><td>{{}}</td></tr></table>",
+        f"<section><section>{{}}</section></section><section><form><label>Your mail</label><input></form></section>",
+    ]
+    for layout in layouts:
+        body = "".join(f"<p>{SENTENCE * k}</p>" for k in (3, 1, 4))
+        assert tagpaths.extract(f"<body>{layout.format(body)}</body>") == "\n".join((SENTENCE * k).strip() for k in (3, 1, 4))
+
+
+def test_the_ratios_decide(spark):
+    pages = [r.html for r in spark.read.parquet(f"{D}/pages.parquet").collect()]
+    without = sum("\n".join(n.text for n in tagpaths.nodes(h)) != tagpaths.extract(h) for h in pages)
+    assert without > 0.9 * len(pages)
+
+
+def test_parts_that_markup_names_are_left_out():
+    long = SENTENCE * 3
+    for part in (f"<div class='comments'><p>{long}</p><p>{long}</p></div>", f"<aside><p>{long}</p></aside>", f"<div role=banner>{long}</div>", f"<div class='cookie-notice'><p>{long}</p></div>", f"<form><p>{long}</p></form>", f"<div hidden><p>{long}</p></div>", f"<footer><p>{long}</p></footer>", f"<div id=sidebar><div><p>{long}</p></div></div>", f"<div class='ad'>{long}</div>"):
+        for page in (f"<article><h1>T</h1><p>{long}</p><p>{long}</p>{part}</article>", f"<body>{part}<div><h1>T</h1><p>{long}</p><p>{long}</p></div></body>"):
+            assert tagpaths.extract(page) == f"T\n{long.strip()}\n{long.strip()}", page
+    assert tagpaths.extract(f"<body><h1>T</h1><p>{SENTENCE * 30}</p></body>") == f"T\n{(SENTENCE * 30).strip()}"
+    assert tagpaths.extract(f"<article><h1>T</h1><p>{SENTENCE * 30}</p><ul><li>a</li><li>b</li></ul><blockquote>Short</blockquote></article>") == f"T\n{(SENTENCE * 30).strip()}\na\nb\nShort"
+    assert tagpaths.extract(f"<div class=widget><p>{long}</p><nav>{long}</nav></div>") == long.strip()
+    assert tagpaths.extract(f"<nav>{long}</nav><footer>{long}</footer>") == ""
+
+
 def test_every_article_of_a_page_is_kept():
     x = "A plain sentence, with words enough to count as text here. "
     page = f"<main><p>The standfirst.</p><article><p>{x * 6}</p></article><div><a href=b>More</a></div><article><h2>Part two</h2><p>{x * 4}</p></article></main><p>Outside</p>"
