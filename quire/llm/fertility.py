@@ -1,14 +1,16 @@
 """Quality rules on tokeniser fertility.
 
 Public vocabularies measure each document: characters per token and tokens per word under a 50k
-byte-level BPE, the share of byte-fallback pieces under a 32k vocabulary with byte fallback, and the
-entropy of the document's tokens, of order infinity (minus the logarithm of the most frequent
-token's share), which does not grow with length as Shannon's does.  Each word is encoded by itself,
-after a space.  A document is kept if it passes the base rules and every measure lies in the band of
-its language or, for other and unknown languages, of its script.
-
-Null and empty texts have no words and fail the base rules; their measures are 0.  Rows are
-independent: repeated rows and ties need no rule, and other columns are ignored.
+byte-level BPE, the share of byte-fallback pieces under a 32k vocabulary with byte fallback, the entropy
+of the document's tokens (Shannon's, in bits), and their peak entropy (of order infinity: minus the
+logarithm of the most frequent token's share), which does not grow with length.  Each word is encoded by
+itself, after a space.  A document is kept if it passes the base rules and every measure lies in the band
+of its language or, for other and unknown languages, of its script; a measure at a band's edge is inside.
+
+Null and empty texts have no words and fail the base rules; their measures are 0.  Very long texts are
+read whole.  An empty table gives no rows.  Rows are independent: repeated rows and ties need no rule.
+Other columns are passed through or ignored, whatever their names; results come in one struct column,
+whose name the caller picks and the table must not have.
 """
 
 from __future__ import annotations
@@ -25,21 +27,22 @@ from .tokens import UnitEncoder, tokenizer_path
 SYMBOLS = kernel.table(b"#*$%&|<>")
 LEAST_WORDS = 50
 #: Bands (lowest, highest) of a language or script.  Prose has 2 to 3.5 tokens a word in the languages
-#: listed; words dressed with symbols have more.  No token of prose takes over a seventh of the whole.
+#: listed; words dressed with symbols have more.  No token of prose takes over an eighth of the whole, and
+#: fifty words of it have more than 16 tokens' worth of entropy.
 BANDS = {
-    "en": {"tokens_per_word": (1.0, 3.15), "chars_per_token": (1.5, 8.0), "byte_share": (0.0, 0.15), "token_entropy": (3.05, 64.0)},
-    "de": {"tokens_per_word": (1.0, 3.6), "chars_per_token": (1.4, 8.0), "byte_share": (0.0, 0.15), "token_entropy": (3.05, 64.0)},
-    "fr": {"tokens_per_word": (1.0, 3.45), "chars_per_token": (1.3, 8.0), "byte_share": (0.0, 0.15), "token_entropy": (3.05, 64.0)},
-    "es": {"tokens_per_word": (1.0, 3.9), "chars_per_token": (1.3, 8.0), "byte_share": (0.0, 0.15), "token_entropy": (3.05, 64.0)},
-    "latin": {"tokens_per_word": (1.0, 3.9), "chars_per_token": (1.2, 8.0), "byte_share": (0.0, 0.2), "token_entropy": (3.05, 64.0)},
-    "other": {"tokens_per_word": (1.0, 1e9), "chars_per_token": (0.2, 8.0), "byte_share": (0.0, 0.95), "token_entropy": (1.5, 64.0)},
+    "en": {"tokens_per_word": (1.0, 3.15), "chars_per_token": (1.5, 8.0), "byte_share": (0.0, 0.15), "token_entropy": (4.0, 64.0), "peak_entropy": (3.05, 64.0)},
+    "de": {"tokens_per_word": (1.0, 3.6), "chars_per_token": (1.4, 8.0), "byte_share": (0.0, 0.15), "token_entropy": (4.0, 64.0), "peak_entropy": (3.05, 64.0)},
+    "fr": {"tokens_per_word": (1.0, 3.45), "chars_per_token": (1.3, 8.0), "byte_share": (0.0, 0.15), "token_entropy": (4.0, 64.0), "peak_entropy": (3.05, 64.0)},
+    "es": {"tokens_per_word": (1.0, 3.9), "chars_per_token": (1.3, 8.0), "byte_share": (0.0, 0.15), "token_entropy": (4.0, 64.0), "peak_entropy": (3.05, 64.0)},
+    "latin": {"tokens_per_word": (1.0, 3.9), "chars_per_token": (1.2, 8.0), "byte_share": (0.0, 0.2), "token_entropy": (4.0, 64.0), "peak_entropy": (3.05, 64.0)},
+    "other": {"tokens_per_word": (1.0, 1e9), "chars_per_token": (0.2, 8.0), "byte_share": (0.0, 0.95), "token_entropy": (2.0, 64.0), "peak_entropy": (1.5, 64.0)},
 }
 #: Share of non-ASCII bytes above which a document's script is not Latin.
 OTHER_SCRIPT = 0.4
-MEASURES = "tokens_per_word double, chars_per_token double, byte_share double, token_entropy double, other_script boolean"
+MEASURES = "tokens_per_word double, chars_per_token double, byte_share double, token_entropy double, peak_entropy double, other_script boolean"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _NAMES = [x.split()[0] for x in f"{BASE}, {MEASURES}".split(", ")]
-_TYPES = [pa.int64()] * 5 + [pa.float64()] * 4 + [pa.bool_()]
+_TYPES = [pa.int64()] * 5 + [pa.float64()] * 5 + [pa.bool_()]
 _PIECES: dict = {}
 
 
@@ -130,7 +133,7 @@ def measures(b: kernel.Block, w: kernel.Words, chars: np.ndarray, bpe: UnitEncod
     wide = _per_doc((data >= 0x80).astype(np.int64), b.offsets)
     other = wide > OTHER_SCRIPT * np.maximum(np.diff(b.offsets), 1)
     if not len(w.start):
-        return [zero, zero, zero, zero, other]
+        return [zero, zero, zero, zero, zero, other]
     h = kernel.hashes(data, w.start, w.end)
     _, at, inv = np.unique(h, return_index=True, return_inverse=True)
     raw = data.tobytes()
@@ -139,11 +142,13 @@ def measures(b: kernel.Block, w: kernel.Words, chars: np.ndarray, bpe: UnitEncod
     own = kernel.mix(h[at] ^ np.uint64(0xA24BAED4963EE407))
     every, to = bpe.spread(bpe.slots(own, raw, w.start[at], w.end[at], b" ")[inv])
     tokens = to[w.first[1:]] - to[w.first[:-1]]
-    # the most frequent token of each document
+    # how often each document has each of its tokens
     key = np.sort((np.repeat(np.arange(n), tokens) << 17) | every)
     edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    times, of = np.diff(edge), key[edge[:-1]] >> 17
     top = np.zeros(n, np.int64)
-    np.maximum.at(top, key[edge[:-1]] >> 17, np.diff(edge))
+    np.maximum.at(top, of, times)
+    spread = np.bincount(of, times * np.log2(times), n)
     two = pieces.counts(h[at], distinct)[inv]
     made, byte = _per_doc(two[:, 0], w.first), _per_doc(two[:, 1], w.first)
     some = np.maximum(tokens, 1)
@@ -151,13 +156,16 @@ def measures(b: kernel.Block, w: kernel.Words, chars: np.ndarray, bpe: UnitEncod
         tokens / np.maximum(count, 1),
         (chars + count) / some * (count > 0),
         byte / np.maximum(made, 1),
+        np.maximum(np.log2(some) - spread / some, 0.0) * (count > 0),
         -np.log2(np.maximum(top, 1) / some) * (count > 0),
         other,
     ]
 
 
-def measured(docs: DataFrame, vocabulary: str | None = None, ranks: str | None = None, model: str | None = None) -> DataFrame:
-    """The documents with the base counts and the measures of each text in more columns."""
+def measured(docs: DataFrame, name: str, vocabulary: str | None = None, ranks: str | None = None, model: str | None = None) -> DataFrame:
+    """The documents with the base counts and the measures of each text as the struct column ``name``."""
+    if name in docs.columns:
+        raise ValueError(f"the table has a column {name}")
 
     @F.arrow_udf(f"struct<{', '.join(x.replace(' ', ':') for x in f'{BASE}, {MEASURES}'.split(', '))}>")
     def run(texts: pa.Array) -> pa.Array:
@@ -168,26 +176,27 @@ def measured(docs: DataFrame, vocabulary: str | None = None, ranks: str | None =
             parts.append([c.astype(np.int64) for c in base] + measures(b, w, base[1], bpe, pieces))
         return pa.StructArray.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)] if parts else [pa.array([], t) for t in _TYPES], names=_NAMES)
 
-    return docs.withColumn("_m", run(F.col("text"))).select(*docs.columns, *[F.col(f"_m.{n}").alias(n) for n in _NAMES])
+    return docs.withColumn(name, run(F.col("text")))
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """The documents with the base counts, the measures, base_failed and kept in more columns."""
-    m = measured(docs)
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def judged(docs: DataFrame, name: str = "quality") -> DataFrame:
+    """The documents with one more struct column ``name``: the base counts, the measures, base_failed and kept."""
+    out = measured(docs, name)
+    m = {c: F.col(name)[c] for c in _NAMES}
+    failed = (m["n_words"] < LEAST_WORDS) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     listed = [k for k in BANDS if k not in ("latin", "other")]
     unlisted = F.coalesce(~F.col("lang").isin(listed), F.lit(True))
     ok = F.lit(False)
-    for name, bands in BANDS.items():
-        here = F.col("other_script") if name == "other" else ~F.col("other_script") & (unlisted if name == "latin" else F.coalesce(F.col("lang") == name, F.lit(False)))
+    for band, limits in BANDS.items():
+        here = m["other_script"] if band == "other" else ~m["other_script"] & (unlisted if band == "latin" else F.coalesce(F.col("lang") == band, F.lit(False)))
         inside = F.lit(True)
-        for c, (low, high) in bands.items():
-            inside &= F.col(c).between(low, high)
+        for c, (low, high) in limits.items():
+            inside &= m[c].between(low, high)
         ok |= here & inside
-    return m.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ok)
+    return out.withColumn(name, F.struct(*[x.alias(c) for c, x in m.items()], failed.alias("base_failed"), (~failed & ok).alias("kept")))
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """Columns doc_id, the base counts, base_failed, kept, and the measures of each document."""
-    m = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"))
-    return m.select("doc_id", *_NAMES[:5], "base_failed", "kept", *_NAMES[5:9])
+    m = judged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"), "q")
+    return m.select("doc_id", *[f"q.{c}" for c in (*_NAMES[:5], "base_failed", "kept", *_NAMES[5:10])])

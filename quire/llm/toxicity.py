@@ -273,7 +273,9 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Sc
 
 
 def scored(docs: DataFrame, scorer: Scorer, name: str = "score") -> DataFrame:
-    """The documents with the score of each text in one more column."""
+    """The documents with the score of each text in one more column, whose name the table must not have."""
+    if name in docs.columns:
+        raise ValueError(f"the table has a column {name}")
     words, stems, weights = scorer.words, scorer.stems, scorer.weights
 
     @F.arrow_udf("double")

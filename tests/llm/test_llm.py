@@ -393,10 +393,34 @@ def test_quality_measures(spark):
     e, sp = UnitEncoder.shared(), sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
     ids = [i for w in WORD.findall(t) for i in e.fast.encode_ordinary(" " + w)]
     pieces = [i for w in WORD.findall(t) for i in sp.encode(w)]
-    assert math.isclose(r.tokens_per_word, len(ids) / 9) and math.isclose(r.token_entropy, -math.log2(Counter(ids).most_common(1)[0][1] / len(ids)))
+    assert math.isclose(r.tokens_per_word, len(ids) / 9) and math.isclose(r.peak_entropy, -math.log2(Counter(ids).most_common(1)[0][1] / len(ids)))
+    assert math.isclose(r.token_entropy, -sum(c / len(ids) * math.log2(c / len(ids)) for c in Counter(ids).values()))
+    assert math.isclose(r.chars_per_token, (len("".join(WORD.findall(t))) + 9) / len(ids))
     assert math.isclose(r.byte_share, sum(map(sp.is_byte, pieces)) / len(pieces))
 
 
+def test_quality_verdicts_equal_brute_force(spark, docs):
+    """Each verdict, from texts encoded by the libraries word by word."""
+    import sentencepiece
+
+    from quire.llm.tokens import tokenizer_path
+
+    e, sp = UnitEncoder.shared(), sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    got = {r.doc_id: r for r in fertility.quality(docs).collect()}
+    for d in docs.limit(120).collect():
+        w = WORD.findall(d.text or "")
+        r = got[d.doc_id]
+        if r.base_failed:
+            continue
+        ids = [i for x in w for i in e.fast.encode_ordinary(" " + x)]
+        pieces = [i for x in w for i in sp.encode(x)]
+        share = [c / len(ids) for c in Counter(ids).values()]
+        found = {"tokens_per_word": len(ids) / len(w), "chars_per_token": (sum(map(len, w)) + len(w)) / len(ids), "byte_share": sum(map(sp.is_byte, pieces)) / len(pieces), "token_entropy": -sum(p * math.log2(p) for p in share), "peak_entropy": -math.log2(max(share))}
+        raw = (d.text or "").encode()
+        band = "other" if sum(c >= 128 for c in raw) > 0.4 * len(raw) else d.lang if d.lang in fertility.BANDS else "latin"
+        assert r.kept == all(low <= found[c] <= high for c, (low, high) in fertility.BANDS[band].items()), (d.doc_id, found)
+
+
 def test_quality_labels(spark):
     d = "/root/testdata/sf0.01"
     rows = fertility.quality(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
