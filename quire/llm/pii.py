@@ -215,4 +215,4 @@ def sanitised(docs: DataFrame) -> DataFrame:
     out = out.withColumn("text", F.when(F.col("__pii_spans").isNotNull(), generalise(F.col("text"), F.col("__pii_spans"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.drop("__pii_id", "__pii_h", "__pii_i", "__pii_g", "__pii_spans")

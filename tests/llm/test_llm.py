@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quire.llm import components, crossparse, fertility, minhash, packing, pii, queries, spotsigs, tagpaths, toxicity, unigram, warc
+from quire.llm import components, crossparse, fertility, minhash, packing, pii, queries, spotsigs, store, tagpaths, toxicity, unigram, warc
 from quire.llm.store import Scratch
 from quire.llm.tokens import UnitEncoder
 
@@ -762,6 +762,24 @@ def test_pipeline_equals_its_stages(spark, docs, texts):
     assert corpus_pipeline.run(spark, D).count() == d.count()
 
 
+def test_pipeline_passes_clashing_columns(spark, docs):
+    names = ["h", "i", "g", "spans", "n_words", "kept", "base_failed", "_m", "_score", "score", "q", "quality", "root", "component_id", "n", "salt", "terms", "held", "term", "p.dotted"]
+    wide = docs.limit(80).unionByName(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in EDGE], "doc_id long, text string, lang string, source string, n_chars long").select(*docs.columns))
+    plain, wide = wide, wide.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, want = stage(spark, wide, D), stage(spark, plain, D)
+        assert out.columns == wide.columns
+        assert sorted(str(tuple(r)[: len(plain.columns)]) for r in out.collect()) == sorted(str(tuple(r)) for r in want.collect())
+        assert all(r[n] == n + ("" if r.doc_id is None else str(r.doc_id)) for r in out.collect() for n in names)
+    assert corpus_pipeline.pack(spark, wide, D).count() == corpus_pipeline.pack(spark, plain, D).count()
+
+
+def test_run_leaves_only_its_result(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_dir", lambda _: f"file://{tmp_path}")
+    out = corpus_pipeline.run(spark, D)
+    assert out.count() and [x.name for x in tmp_path.glob("*/*") if x.is_dir()] == ["4-packing"]
+
+
 def test_pipeline_edge_rows(spark):
     rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in EDGE], "doc_id long, text string, lang string, source string, n_chars long")
     for part in (rows, rows.limit(0)):
