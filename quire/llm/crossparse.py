@@ -1,13 +1,18 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built of a bounded sample of its labelled text.  A text is
+For each language a suffix automaton is built of a bounded sample of its labelled texts.  A text is
 parsed against each automaton: from left to right, the longest match that the sample holds is one
 phrase.  Phrases are normalised by the text's length and the logarithm of the sample's; the language
-that needs least wins.  Texts are read whole, as chunks that are parsed side by side in arrays; a
-chunk's end costs every language the same part of a phrase.
+that needs least wins.  Letters count, in lower case; whatever stands between them is one gap.
+
+Texts are parsed whole, in chunks side by side: each chunk is first parsed as if a phrase began with it,
+then the phrase that crosses into it is carried on until a phrase begins where the chunk's own parse
+begins one, from where both agree.  The few that never meet within a chunk are parsed from end to end.
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text when nothing is
-learned (no labelled row).  Ties go to the language first by name.  Repeated rows are scored each.
+learned (no labelled row); an empty table gives no rows.  Ties go to the language first by name.
+Repeated rows are scored each.  Columns other than doc_id, text and, to learn, lang are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -20,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-#: The bounded sample: labelled documents of a language, characters of each, characters of the language.
-SAMPLE_DOCS, SAMPLE_DOC_CHARS, SAMPLE_CHARS = 400, 400, 30_000
-#: Characters of a chunk, and of the chunks that are parsed side by side.
+#: The bounded sample: labelled rows of a language that are looked at, and characters of the whole texts taken of them.
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 30_000
+#: Characters of a chunk, and of the texts that are parsed side by side.
 CHUNK, SIDE = 256, 1 << 20
 _ALPHA: list[np.ndarray] = []
 _MODELS: dict = {}
@@ -83,8 +89,8 @@ class Model:
         tables, start, base = [], [], 0
         self.cost = []
         for lang in self.langs:
-            s = self.symbol[code_points(samples[lang])]
-            made = suffix_automaton(self.squeeze(s).tolist())
+            s = self.squeeze(self.symbol[code_points(samples[lang])])
+            made = suffix_automaton(s.tolist())
             t = np.full((len(made), self.width), -1, np.int32)
             for state, steps in enumerate(made):
                 for c, q in steps.items():
@@ -111,26 +117,72 @@ class Model:
             _MODELS[key] = cls(samples)
         return _MODELS[key]
 
-    def phrases(self, chunks: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Phrases of each chunk under each language: chunks is (chunks, CHUNK) symbols, size their lengths, descending."""
-        n, langs = len(chunks), len(self.langs)
-        state = np.repeat(self.start, n).reshape(langs, n)
-        count = np.zeros((langs, n), np.int32)
-        begin = self.start[:, None].astype(np.int64) * self.width
-        steps = np.ascontiguousarray(chunks.T)
-        for j in range(int(size[0]) if n else 0):
-            live = int(np.searchsorted(-size, -j, "left"))  # chunks longer than j
-            c = steps[j, :live]
-            now = self.table[state[:, :live].astype(np.int64) * self.width + c]
-            broken = now < 0
-            # a phrase ends where a match that has begun breaks off
-            count[:, :live] += broken & (state[:, :live] != self.start[:, None])
-            again = self.table[begin + c]
-            lost = again < 0
-            # a symbol that the sample lacks is a phrase by itself
-            count[:, :live] += broken & lost
-            state[:, :live] = np.where(broken, np.where(lost, self.start[:, None], again), now)
-        return count + 1
+    def _step(self, state: np.ndarray, start: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a phrase begins with each symbol, and the states after it."""
+        now = self.table[state.astype(np.int64) * self.width + c]
+        broken = now < 0
+        again = self.table[start.astype(np.int64) * self.width + c]
+        # a symbol that the sample lacks is a phrase by itself
+        return broken | (state == start), np.where(broken, np.where(again < 0, start, again), now)
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """The number of phrases of each text (symbols, none empty) under each language: rows of languages."""
+        langs, docs = len(self.langs), len(texts)
+        size = np.array([len(s) for s in texts])
+        flat = np.concatenate(texts)
+        first = np.concatenate([[0], np.cumsum(size)])
+        # a lane is a chunk of a text; the longest come first
+        many = -(-size // CHUNK)
+        doc = np.repeat(np.arange(docs), many)
+        at = np.repeat(first[:-1], many) + CHUNK * (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many))
+        end = np.minimum(at + CHUNK, first[1:][doc])
+        order = np.argsort(at - end, kind="stable")
+        begins = np.zeros((langs, len(flat)), bool)
+        state = np.repeat(self.start, len(doc)).reshape(langs, -1)
+        ranked, length = at[order], (end - at)[order]
+        for j in range(int(length[0])):
+            live = int(np.searchsorted(-length, -j, "left"))
+            pos = ranked[:live] + j
+            begins[:, pos], state[:, :live] = self._step(state[:, :live], self.start[:, None], flat[pos])
+        last = np.empty_like(state)
+        last[:, order] = state
+        # the phrase that is open at a chunk's end goes on in the next one
+        crosses = np.flatnonzero(doc[1:] == doc[:-1])
+        meet = np.tile(at, (langs, 1))
+        more = np.zeros((langs, docs), np.int64)
+        never: set[tuple[int, int]] = set()
+        lang, lane = np.repeat(np.arange(langs), len(crosses)), np.tile(crosses + 1, langs)
+        now, pos = last[lang, lane - 1], at[lane]
+        while len(lane):
+            fresh, now = self._step(now, self.start[lang], flat[pos])
+            met = fresh & begins[lang, pos]
+            meet[lang[met], lane[met]] = pos[met]
+            np.add.at(more, (lang[fresh & ~met], doc[lane[fresh & ~met]]), 1)
+            pos = pos + 1
+            out = ~met & (pos == end[lane])
+            meet[lang[out], lane[out]] = end[lane[out]]
+            open_end = out & (end[lane] < first[1:][doc[lane]])
+            never |= set(zip(lang[open_end].tolist(), doc[lane[open_end]].tolist(), strict=True))
+            on = ~met & ~out
+            lang, lane, now, pos = lang[on], lane[on], now[on], pos[on]
+        for k in range(langs):
+            total = np.concatenate([[0], np.cumsum(begins[k], dtype=np.int64)])
+            more[k] += np.bincount(doc, total[end] - total[meet[k]], docs).astype(np.int64)
+        for k, d in never:
+            more[k, d] = self._parse(k, texts[d])
+        return more
+
+    def _parse(self, lang: int, symbols: np.ndarray) -> int:
+        """The number of phrases of a text, symbol by symbol."""
+        table, width, start = memoryview(self.table), self.width, int(self.start[lang])
+        state, count = start, 0
+        for c in symbols.tolist():
+            now = table[state * width + c]
+            if now < 0 or state == start:
+                count += 1
+                now = table[start * width + c]
+            state = start if now < 0 else now
+        return count
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text."""
@@ -153,20 +205,10 @@ class Model:
         return langs, scores
 
     def _settle(self, held: list[tuple[int, np.ndarray]], langs: list[str], scores: list[float]) -> None:
-        pieces = [(k, s[a : a + CHUNK]) for k, (_, s) in enumerate(held) for a in range(0, len(s), CHUNK)]
-        # long documents come in parts, so that the table of chunks stays small
-        need = np.zeros((len(self.langs), len(held)))
-        for at in range(0, len(pieces), SIDE // CHUNK * 2):
-            part = sorted(pieces[at : at + SIDE // CHUNK * 2], key=lambda p: -len(p[1]))
-            size = np.array([len(p[1]) for p in part])
-            table = np.zeros((len(part), CHUNK), np.uint16)
-            for row, (_, s) in zip(table, part, strict=True):
-                row[: len(s)] = s
-            count = self.phrases(table, size)
-            for lang in range(len(self.langs)):
-                need[lang] += np.bincount([p[0] for p in part], count[lang], len(held))
-        length = np.array([len(s) for _, s in held])
-        rate = need * self.cost[:, None] / np.maximum(length, 1)
+        if not held:
+            return
+        need = self.phrases([s for _, s in held])
+        rate = need * self.cost[:, None] / np.array([len(s) for _, s in held])
         for k, (i, _) in enumerate(held):
             order = np.argsort(rate[:, k], kind="stable")
             langs[i] = self.langs[order[0]]
@@ -179,23 +221,26 @@ def fold(modulus: int) -> Column:
 
 
 def samples(docs: DataFrame, train: Column) -> dict[str, str]:
-    """The bounded sample of each language: of the rows that ``train`` allows, those with the smallest hash of the id.
+    """The bounded sample of each language, from the rows that ``train`` allows.
 
-    The number of a language's rows sets a bound on the hash that keeps about twice SAMPLE_DOCS of
-    them, so a language that holds most rows makes no task larger; the driver takes the first parts of those.
+    The number of a language's rows sets a bound on the hash of the id that keeps about SAMPLE_ROWS of
+    them, so a language that holds most rows makes no task larger.  Of these, whole texts are taken in the
+    order of the hash, a repeated one once, as long as they have SAMPLE_CHARS characters in all; of a
+    language that has none as short, the shortest.
     """
-    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("h"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
-    bound = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, 2 * SAMPLE_DOCS / n) * (1 << 30))))])
-    taken = rows.where(F.col("h") < bound[F.col("lang")]).select("lang", "h", F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text")).collect()
-    out: dict[str, str] = {}
-    for r in sorted(taken, key=lambda r: (r.lang, r.h, r.text)):
-        have = out.setdefault(r.lang, "")
-        if len(have) < SAMPLE_CHARS:
-            out[r.lang] = (have + " " + r.text.lower())[:SAMPLE_CHARS]
-    return out
+    bound = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, SAMPLE_ROWS / n) * (1 << 30))))])
+    near = rows.where((F.col("h") < bound[F.col("lang")]) & (F.trim("text") != "")).groupBy("lang", "text").agg(F.min("h").alias("h")).withColumn("n", F.length("text"))
+    short = F.col("n") <= SAMPLE_CHARS
+    order = Window.partitionBy("lang").orderBy(F.when(short, -1).otherwise(F.col("n")), "h", "text")
+    taken = near.withColumns({"total": F.sum("n").over(order), "rank": F.row_number().over(order)}).where((F.col("total") <= SAMPLE_CHARS) | (F.col("rank") == 1))
+    out: dict[str, list[str]] = {}
+    for r in taken.select("lang", "text", "rank").orderBy("lang", "rank").collect():
+        out.setdefault(r.lang, []).append(r.text.lower())
+    return {lang: " ".join(texts) for lang, texts in out.items()}
 
 
 def identify(docs: DataFrame, learned: dict[str, str]) -> DataFrame:

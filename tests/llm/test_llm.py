@@ -347,18 +347,51 @@ def test_double_array():
     assert t.step(np.zeros(1, np.int64), np.array([ord("q")]))[0] == -1
 
 
-def test_cross_parsing():
-    sample = "the cat sat on the mat"
-    model = crossparse.Model({"en": sample})
-    s = model.squeeze(model.symbol[crossparse.code_points("the mat sat xx")])
+def brute_phrases(text, sample):
     phrases, at = 0, 0
-    text = "the mat sat xx"
     while at < len(text):
         n = max((n for n in range(len(text) - at + 1) if text[at : at + n] in sample), default=0)
         phrases, at = phrases + 1, at + max(n, 1)
-    chunk = np.zeros((1, crossparse.CHUNK), np.uint16)
-    chunk[0, : len(s)] = s
-    assert abs(int(model.phrases(chunk, np.array([len(s)]))[0, 0]) - phrases) <= 1
+    return phrases
+
+
+@pytest.mark.parametrize("chunk", [3, 8, 256])
+def test_cross_parsing_equals_brute_force(monkeypatch, chunk):
+    monkeypatch.setattr(crossparse, "CHUNK", chunk)
+    rng = np.random.default_rng(chunk)
+    samples = {"en": "the cat sat on the mat and the dog ate that hat", "xx": "ab" * 9 + "ba b" + "abba" * 3, "yy": "zzz"}
+    model = crossparse.Model(samples)
+    texts = ["the mat sat xx", "a", "the cat sat on the mat and the dog ate that hat" * 3, "ab" * 40, "abb" * 30, "zzzz" * 20, "q" * 30, "that hat ate the mat " * 8]
+    texts += ["".join(rng.choice(list("abehtz "), n)).strip() or "b" for n in rng.integers(1, 120, 80)]
+    texts = [" ".join(t.split()) for t in texts]
+    got = model.phrases([model.squeeze(model.symbol[crossparse.code_points(t)]) for t in texts])
+    for k, lang in enumerate(model.langs):
+        assert got[k].tolist() == [brute_phrases(t, samples[lang]) for t in texts], lang
+
+
+def test_predictions_equal_brute_force(monkeypatch):
+    samples = {"en": "the cat sat on the mat", "de": "die katze lag auf der matte"}
+    texts = ["The mat, 12 of the cats!", "der katze auf", "mat matte " * 400, "", None, "77", "the"]
+    langs, scores = crossparse.Model(samples).predict(texts)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        t = re.sub(r"[^a-zäöüß]+", " ", (text or "").lower())
+        if not t.strip():
+            assert (lang, score) == ("und", 0.0)
+            continue
+        rate = {k: brute_phrases(t, s) * math.log2(len(s)) for k, s in samples.items()}
+        best, other = sorted(rate, key=lambda k: (rate[k], k))
+        assert lang == best and math.isclose(score, 1 - rate[best] / rate[other])
+
+
+def test_sample_takes_whole_texts(spark):
+    rows = [(k, f"text {k} " * 900, "en") for k in range(40)] + [(100 + k, "copy " * 300, "en") for k in range(40)] + [(200, "lang " * 9000, "zz"), (201, "kurz " * 8000, "zz"), (300, None, "nn")]
+    got = crossparse.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert got["zz"] == "kurz " * 8000 and set(got) == {"en", "zz"}
+    whole = {t.lower() for _, t, lang in rows if lang == "en"}
+    rest = got["en"]
+    for t in whole:
+        rest = rest.replace(t, "", 1)
+    assert not rest.strip() and 20_000 < len(got["en"]) <= crossparse.SAMPLE_CHARS + 40 and got["en"].count("copy") <= 300
 
 
 def test_languages_held_out(spark):
