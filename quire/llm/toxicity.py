@@ -9,8 +9,11 @@ characters tells quotation (quotation marks on both sides, or a word of reportin
 (a second person nearby).  A logistic model over the counts, fitted on the same sample toward prior
 weights, gives the score.
 
-Null and empty texts score as texts without hits.  Without a labelled row of each kind nothing is
-learned and every score is the prior's.  Repeated rows are scored each.
+Null and empty texts score as texts without hits; very long texts are searched whole; an empty table
+gives no rows.  Without a labelled row of each kind nothing is learned and every score is the prior's.
+Repeated rows are scored each; a document labelled more than once is toxic if any label says so; of equal
+evidence the term first by name comes first.  Other columns are passed through or ignored, whatever their
+names; the score's column has the name that the caller picks, which the table must not have.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .crossparse import alphabetic, code_points, fold
+from .store import Scratch
 
-#: Labelled rows in the sample, and terms in the lexicon.
-SAMPLE_ROWS, TERMS = 12_000, 400
-#: Prefix lengths that can be stems, shortest term with misspellings, most of a term's contexts that may be clean.
+#: Labelled rows in the sample.
+SAMPLE_ROWS = 12_000
+#: Lengths of the prefixes that can be stems (words have any length), shortest term with misspellings, most of a term's contexts that may be clean.
 STEM, FUZZY, IMPURE = (3, 12), 5, 0.1
 #: Characters of text that are searched at once, and of the window on either side of a hit.
 SIDE, WINDOW = 1 << 20, 48
@@ -205,14 +209,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def learn_terms(sample: DataFrame) -> tuple[list[str], list[str]]:
+def learn_terms(sample: DataFrame, scratch: Scratch) -> tuple[list[str], list[str]]:
     """Words and stems whose contexts in a labelled sample (text, toxic) are toxic too often for chance."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    each = sample.select("toxic", words.alias("w")).select("toxic", F.expr("inline(transform(sequence(1, greatest(size(w), 1)), i -> struct(get(w, i - 1) as word, xxhash64(get(w, i - 2), get(w, i)) as ctx)))"))
-    each = each.where(F.length("word").between(3, 30)).groupBy("word", "ctx").agg(F.min("toxic").alias("toxic"))
-    by_word = each.groupBy("word").agg(F.sum("toxic").cast("long").alias("k"), F.count(F.lit(1)).alias("n"))
+    each = sample.select("toxic", words.alias("w")).select("toxic", F.expr("inline_outer(transform(sequence(1, greatest(size(w), 1)), i -> struct(get(w, i - 1) as word, xxhash64(get(w, i - 2), get(w, i)) as ctx)))"))
+    each = each.where("word is not null").groupBy("word", "ctx").agg(F.min("toxic").alias("toxic"))
+    by_word = scratch.keep(each.groupBy("word").agg(F.sum("toxic").cast("long").alias("k"), F.count(F.lit(1)).alias("n")), "words")
     stems = F.expr(f"transform(sequence(least({STEM[0]}, length(word)), least({STEM[1]}, length(word))), i -> substring(word, 1, i))")
-    by_stem = by_word.select(F.explode(F.array_distinct(stems)).alias("stem"), "word", "k", "n").groupBy("stem").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "n", "word")).alias("top"))
+    by_stem = by_word.select(F.explode(stems).alias("stem"), "word", "k", "n").groupBy("stem").agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.max(F.struct("k", "n", "word")).alias("top"))
     whole = by_word.agg(F.sum("k").alias("k"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("terms")).first()
     if not whole.n or not whole.k or whole.k == whole.n:
         return [], []
@@ -221,20 +225,26 @@ def learn_terms(sample: DataFrame) -> tuple[list[str], list[str]]:
     need = math.log(10.0 * whole.terms)
     k, n = F.col("k"), F.col("n")
     gain = k * F.log(k / n / rate) + F.when(n > k, (n - k) * F.log((n - k) / n / (1 - rate))).otherwise(0.0)
-    rows = by_stem.withColumn("gain", gain).where((k >= 4) & (n - k <= IMPURE * n) & (F.col("gain") >= need)).orderBy(F.desc("gain"), "stem").limit(50 * TERMS).collect()
-    out_words: dict[str, int] = {}
-    out_stems: dict[str, int] = {}
+    # what passes is a part of the bounded sample's words
+    rows = by_stem.withColumn("gain", gain).where((k >= 4) & (n - k <= IMPURE * n) & (F.col("gain") >= need)).orderBy(F.desc("gain"), "stem").collect()
+    out_words: set[str] = set()
+    out_stems: set[str] = set()
+    begins: set[str] = set()  # what words and stems begin with
     # by evidence: a stem yields to a longer one, and to a word that makes most of it, only where those say more
     for r in rows:
-        if any(r.stem.startswith(s) or s.startswith(r.stem) for s in out_stems) or any(w.startswith(r.stem) for w in out_words):
+        if r.stem in begins or any(r.stem[:i] in out_stems for i in range(1, len(r.stem) + 1)):
             continue
         if r.top.k >= 0.8 * r.k:
-            if not any(r.top.word.startswith(s) for s in out_stems):
-                out_words[r.top.word] = r.top.k
+            if any(r.top.word[:i] in out_stems for i in range(1, STEM[1] + 1)):
+                continue
+            term = r.top.word
+            out_words.add(term)
         elif len(r.stem) >= STEM[0]:
-            out_stems[r.stem] = r.k
-        if len(out_words) + len(out_stems) >= TERMS:
-            break
+            term = r.stem
+            out_stems.add(term)
+        else:
+            continue
+        begins |= {term[:i] for i in range(1, STEM[1] + 1)}
     return sorted(out_words), sorted(out_stems)
 
 
@@ -255,9 +265,12 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Sc
     ids = ids if train is None else ids.where(train)
     ids = ids.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     # at most SAMPLE_ROWS rows of 12 bytes
+    scratch = Scratch(docs.sparkSession, "toxicity")
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(ids), "doc_id")
-    words, stems = learn_terms(sample)
+    sample = scratch.keep(sample.select("toxic", "text"), "sample")
+    words, stems = learn_terms(sample, scratch)
     if not words and not stems:
+        scratch.drop("")
         return Scorer([], [], PRIOR.copy())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +278,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Sc
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(features(lex, batch.column(1).to_pylist())), pa.list_(pa.float64()))], ["toxic", "x"])
 
-    rows = sample.select("toxic", "text").mapInArrow(count, "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = sample.mapInArrow(count, "toxic int, x array<double>").groupBy("toxic", "x").agg(F.count(F.lit(1)).alias("n")).collect()
+    scratch.drop("")
     rows = sorted(rows, key=lambda r: (r.toxic, tuple(r.x)))
     x = np.repeat(np.array([r.x for r in rows]), [r.n for r in rows], axis=0)
     y = np.repeat(np.array([float(r.toxic) for r in rows]), [r.n for r in rows])

@@ -495,6 +495,53 @@ def test_quotation_and_abuse():
     assert toxicity.context("you idiot go", 4, 9) == (False, True)
 
 
+def test_learned_terms_equal_brute_force(spark):
+    """Terms of a sample by a direct count of contexts; long words and many terms are learned like others."""
+    rng = np.random.default_rng(6)
+    vocab = [f"{a}{b}{c}{d}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst" for d in ("o", "i")]
+    bad = [f"x{a}{b}{c}q" for a in "aeiou" for b in "kptvz" for c in "bcdfghjklmnprstw"] + ["z" * 40 + "y"]
+    rows = [(0, " ".join(rng.choice(vocab, 30))) for _ in range(1500)]
+    rows += [(1, " ".join(x for w in rng.choice(bad, 25) for x in (rng.choice(vocab), w))) for _ in range(200)]
+    rows += [(1, " ".join([rng.choice(vocab), bad[-1], rng.choice(vocab)])) for _ in range(40)]
+    words, stems = toxicity.learn_terms(spark.createDataFrame(rows, "toxic int, text string"), Scratch(spark, "test"))
+    contexts = {}
+    for toxic, t in rows:
+        w = [None, *t.split(), None]
+        for a, b, c in zip(w, w[1:], w[2:]):
+            contexts[b, a, c] = min(toxic, contexts.get((b, a, c), 1))
+    count = defaultdict(lambda: [0, 0])
+    for (w, _, _), toxic in contexts.items():
+        count[w] = [count[w][0] + toxic, count[w][1] + 1]
+    rate = sum(k for k, _ in count.values()) / sum(n for _, n in count.values())
+    for w, (k, n) in count.items():
+        gain = k * math.log(max(k, 1e-9) / n / rate) + ((n - k) * math.log((n - k) / n / (1 - rate)) if n > k else 0)
+        says = k >= 4 and n - k <= toxicity.IMPURE * n and gain >= math.log(10 * len(count))
+        assert not says or w in words or any(w.startswith(s) for s in stems), w
+    assert bad[-1] in words and len(words) + sum(w.startswith(tuple(stems)) for w in bad) > 380
+    assert not any(w.startswith(tuple(stems)) or w in words for w in vocab)
+    lex = toxicity.Lexicon(words, stems)
+    assert lex.hits(toxicity.code_points("so " + bad[-1]))[2].tolist() == [1] and lex.hits(toxicity.code_points(bad[3] + " belo"))[2].tolist() == [1]
+
+
+def test_scores_equal_brute_force():
+    """A score from edit distances and windows, hit by hit."""
+    scorer = toxicity.Scorer(["idiot", "loser"], ["vequa"], np.array([2.0, 0.7, 0.3, 0.1, 0.5, -2.0]))
+    texts = ["you idiot", 'he said "idiot" and left', "an idoit? a loser, losers; vequating", "", None, "clean words only", "you loser! you loser! idiots"]
+    for text, got in zip(texts, scorer.scores(texts), strict=True):
+        t = (text or "").lower()
+        count = [0.0] * 5
+        for m in re.finditer(r"[^\W_]+", t):
+            w = m.group()
+            exact = w in ("idiot", "loser") or w.startswith("vequa")
+            if not exact and not any(distance_one(w, x) for x in ("idiot", "loser")) and not any(distance_one(w[:n], "vequa") for n in range(len(w) + 1)):
+                continue
+            quoted, addressed = toxicity.context(t, m.start(), m.end())
+            count[(not exact) + 2 * quoted] += 1
+            count[4] += addressed and not quoted
+        z = sum(w * 1.5 * math.log1p(c) for w, c in zip(scorer.weights, count)) + scorer.weights[-1]
+        assert math.isclose(got, 1 / (1 + math.exp(-z)), rel_tol=1e-9), text
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     lab = spark.read.parquet(f"{d}/labels.parquet")
