@@ -113,6 +113,40 @@ def test_minhash_blocks(spark, monkeypatch):
     assert {r.component_id for r in minhash.near_duplicates(table(spark, every.items()), 4).collect()} == {1}
 
 
+def test_percolating_buckets_move_no_text(spark):
+    """A chain of texts of similarity 0.4: many share buckets, none is a candidate."""
+    every = {k: " ".join(f"w{j}" for j in range(20 * k, 20 * k + 50)) for k in range(1, 700)}
+    scratch = Scratch(spark, "test")
+    sig = scratch.keep(minhash.signatures(table(spark, every.items()), 4), "sig")
+    shared = sig.select(F.explode("bands").alias("key"), "doc_id").groupBy("key").count().where("count > 1").count()
+    assert shared > 80 and minhash.candidates(sig, (4, 5), scratch).count() == 0
+    assert {r.component_id for r in minhash.near_duplicates(table(spark, every.items()), 4).collect()} == set(every)
+
+
+@pytest.mark.parametrize("r", [1, 2])
+def test_minhash_with_mixed_buckets(spark, monkeypatch, r):
+    """Bands so narrow that buckets mix families, whose links must be found beside pairs that are ruled out."""
+    monkeypatch.setattr(minhash, "R", r)
+    monkeypatch.setattr(minhash, "BLOCK_DOCS", 5)
+    rng = np.random.default_rng(r)
+    every = {}
+    for family in range(8):
+        base = [f"w{k}" for k in rng.integers(0, 40, 60)]
+        for k in range(12):
+            w = list(base)
+            for p in rng.choice(60, rng.integers(0, 4), replace=False):
+                w[p] = f"x{rng.integers(10**6)}"
+            every[family * 100 + k + 1] = " ".join(w)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(table(spark, every.items()), 4).collect()}
+    assert got == groups(every, 4)
+
+
+def test_minhash_of_one_id_with_different_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
+    got = minhash.near_duplicates(table(spark, [(5, a), (5, b), (7, a + " end"), (9, b + " end"), (9, b + " end"), (11, "other words are here now")]), 4).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (7, 5), (9, 5), (11, 11)} and len(got) == 6
+
+
 def test_minhash_estimates():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
