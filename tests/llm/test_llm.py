@@ -745,6 +745,44 @@ def test_warc_plain_gzip(spark, tmp_path):
     assert [r.record_id for r in rows] == ["<r>", "<s>"] and all(r.payload == b"z" * 5000 for r in rows)
 
 
+def test_warc_of_others(spark, tmp_path):
+    import base64
+    import gzip
+
+    warc.register(spark)
+    body = [b"z" * 5000, b"q" * 70]
+    digest = ["sha1:" + base64.b32encode(hashlib.sha1(body[0]).digest()).decode(), "md5:" + hashlib.md5(body[1]).hexdigest()]
+    rec = lambda k: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <r{k}>\r\nWARC-Payload-Digest: {digest[k]}\r\nContent-Length: {len(body[k])}\r\n\r\n".encode() + body[k] + b"\r\n\r\n"
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "a.warc").write_bytes(rec(0) + rec(1))
+    (tmp_path / "deep" / "er" / "b.warc.gz").write_bytes(gzip.compress(rec(0)) + gzip.compress(rec(1)))
+    read = spark.read.format("warc").option("verify", "true").option("maxPartitionBytes", "64")
+    rows = read.load(str(tmp_path)).collect()
+    assert sorted((r.record_id, bytes(r.payload)) for r in rows) == sorted([("<r0>", body[0]), ("<r1>", body[1])] * 2)
+    assert [r.record_id for r in read.load(str(tmp_path)).where("payload_bytes < 100").collect()] == ["<r1>"] * 2
+    (tmp_path / "deep" / "a.warc").write_bytes(rec(0).replace(b"zz", b"zy", 1))
+    with pytest.raises(Exception, match="differs from its digest"):
+        read.load(str(tmp_path)).collect()
+
+
+def test_warc_inside_a_warc(spark, tmp_path):
+    """A payload that is an archive, stored as it is, has member headers that are not the file's."""
+    warc.register(spark)
+    schema = "page_id long, url string, html string"
+    inner = b"".join(warc.record({"record_id": "<inner>", "warc_type": "response", "payload": np.random.default_rng(k).bytes(9000)}, b"another!") for k in range(30))
+    mark = b"thisfile"
+    outer = b"".join(warc.record({"record_id": f"<o{k}>", "warc_type": "response", "payload": inner if k % 2 else b"plain"}, mark) for k in range(6))
+    assert warc.MARK + b"another!" in outer
+    (tmp_path / "x.warc.gz").write_bytes(outer)
+    rows = spark.read.format("warc").option("maxPartitionBytes", "5000").load(str(tmp_path)).collect()
+    assert [r.record_id for r in sorted(rows, key=lambda r: r.record_id)] == [f"<o{k}>" for k in range(6)] and bytes(rows[1].payload) in (inner, b"plain")
+    warc.page_records(spark.createDataFrame([(1, "u", "x" * 200), (2, "u", "x" * 200)], schema)).write.format("warc").mode("append").save(str(tmp_path / "own"))
+    import gzip
+
+    text = b"".join(gzip.open(p).read() for p in (tmp_path / "own").glob("*.gz"))
+    assert text.count(b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest") == 1
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><a href="/">Home</a></header><nav><ul><li><a href="/a">A</a></li></ul></nav><div class="cookie-notice">We use cookies.</div>
 <article><h1>Title &amp; more</h1><p><b>First   para,<br> with &eacute;.<p>Second para; longer than most of them are, it is.</p><div class="ad">Buy now!</div><ul><li>item one<li>item two</ul>
