@@ -30,6 +30,11 @@ def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(documents(spark, sf_dir))
 
 
+def spotsigs_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity join of op1's fingerprints: classes of equal ones and their links."""
+    return spotsigs.near_classes(documents(spark, sf_dir))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -64,6 +69,7 @@ def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
+    "spotsigs_classes": spotsigs_classes,
     "op2_packing": op2_packing,
     "op3_unigram": op3_unigram,
     "op4_cross_parse": op4_cross_parse,

@@ -7,8 +7,9 @@ limit, through an inverted index over the prefix of each set that any partner mu
 
 A text whose words never give a signature (no anchor followed by a content word) has its whole word
 sequence as its one signature; a text without words, empty or null, has the empty set.  Equal sets,
-two empty ones too, have likeness 1.  Repeated rows are fingerprinted each; ties in the order of
-documents (equal or null ids, which come last) are broken by a hash of the text.
+two empty ones too, have likeness 1.  Very long texts are read whole; an empty table gives no rows.
+Repeated rows are fingerprinted each; ties in the order of documents (equal or null ids, which come last)
+are broken by a hash of the text.  Columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import kernel
+from .store import Scratch
 
 # Common words of English, German, French and Spanish.
 ANCHORS = (
@@ -109,24 +111,43 @@ def near_pairs(prints: DataFrame, limit: float = 0.8) -> DataFrame:
 
     ``prints`` is what ``fingerprints`` returns.  Equal fingerprints fold first.  Sets are dealt to
     partitions by length, each spanning a factor of 1 / limit, so partners are in the same partition
-    or the next; a set's first ``n - ceil(limit * n) + 1`` signatures, in hash order, hold one that any
-    partner's have too.
+    or the next.  Of a set's signatures, rarest first, the first ``n - ceil(limit * n) + 1`` hold one that
+    any partner's have too; a pair is proposed by the first signature that both prefixes share, once, if
+    what follows in both can still reach the limit.
     """
     reps = prints.where("n_signatures > 0 and doc_id is not null").groupBy("fingerprint").agg(F.min_by(F.struct("doc_id", "n_signatures", "signatures"), "doc_id").alias("r")).select("r.*")
-    part = F.floor(F.log(F.col("n_signatures").cast("double")) / F.log(F.lit(1 / limit)) + F.lit(1e-9)).cast("int")
-    prefix = (F.col("n_signatures") - F.ceil(F.col("n_signatures") * limit - 1e-9) + 1).cast("int")
-    index = reps.select("doc_id", F.col("n_signatures").alias("n"), part.alias("part"), F.explode(F.slice("signatures", 1, prefix)).alias("sig"))
-    left = index.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
-    right = index.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "sig", "part")
-    # the shorter set, or of equal ones the smaller id, is on the left; the bound on lengths prunes
-    fits = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    pairs = left.join(right, ["part", "sig"]).where(fits & (F.col("na") >= limit * F.col("nb") - 1e-9)).select("a", "b").distinct()
+    each = reps.select("doc_id", F.col("n_signatures").alias("n"), F.explode("signatures").alias("sig"))
+    often = each.groupBy("sig").agg(F.count(F.lit(1)).alias("held"))
+    # a signature of one set joins nothing, but has its place in the order
+    ranked = each.join(often, "sig").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("held", "sig")))
+    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / limit)) + F.lit(1e-9)).cast("int")
+    prefix = F.col("n") - F.ceil(F.col("n") * limit - 1e-9) + 1
+    index = ranked.where((F.col("rank") <= prefix) & (F.col("held") > 1)).select("doc_id", "n", part.alias("part"), "sig", F.col("rank").cast("int").alias("rank"))
+    left = index.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
+    right = index.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("rank").alias("rb"), "sig", "part")
+    # the shorter set, or of equal ones the smaller id, is on the left; lengths and places prune
+    shorter = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    needed = (F.col("na") + F.col("nb")) * (limit / (1 + limit)) - 1e-9
+    reach = F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb")) + 1
+    met = left.join(right, ["part", "sig"]).where(shorter & (F.col("na") >= limit * F.col("nb") - 1e-9))
+    # of the signatures that a pair shares the first has most behind it
+    pairs = met.groupBy("a", "b").agg(F.max(reach - needed).alias("room")).where("room >= 0").select("a", "b")
     full = pairs.join(reps.select(F.col("doc_id").alias("a"), F.col("signatures").alias("sa")), "a").join(reps.select(F.col("doc_id").alias("b"), F.col("signatures").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     likeness = both / (F.size("sa") + F.size("sb") - both)
     return full.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness.alias("likeness")).where(F.col("likeness") >= limit)
 
 
+def near_classes(docs: DataFrame, limit: float = 0.8) -> DataFrame:
+    """A row per document: doc_id, fingerprint, class_id (the smallest id of the fingerprint) and n_links, the classes that are near its own."""
+    scratch = Scratch(docs.sparkSession, "spotsigs")
+    prints = scratch.keep(fingerprints(docs), "prints")
+    pairs = near_pairs(prints, limit)
+    count = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).join(count, "class_id", "left")
+    return prints.select("doc_id", "fingerprint").join(least, "fingerprint").select("doc_id", "fingerprint", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures long"
 
 
@@ -195,11 +216,11 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     bounds = docs.agg(F.percentile_approx("doc_id", [k / cuts for k in range(1, cuts)], 20 * cuts)).first()[0] or []
     edges = np.array(sorted(set(bounds)), np.int64)
 
-    @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def part_of(ids: pa.Array) -> pa.Array:
         # ranges in descending order; null ids are last
-        known = ids.fillna(np.iinfo(np.int64).min).astype("int64").to_numpy()
-        return pd.Series(len(edges) - np.searchsorted(edges, known, "right")).astype("int32")
+        known = pc.fill_null(ids, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        return pa.array((len(edges) - np.searchsorted(edges, known, "right")).astype(np.int32))
 
     whole = docs.select("doc_id", F.coalesce(part_of("doc_id"), F.lit(0)).alias("part"))
     tops = sorted((r.part, r.top) for r in whole.groupBy("part").agg(F.max("doc_id").alias("top")).collect())

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,6 +173,45 @@ def test_edited_texts_and_likeness(docs, texts):
     assert all(len(v) == 1 for v in prints.values())
 
 
+def brute_spots(text):
+    """Signatures as tuples: an anchor with the next content words."""
+    words = re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", pc.utf8_lower(pa.scalar(text)).as_py())
+    anchors, out = set(spotsigs.ANCHORS), set()
+    for k, w in enumerate(words):
+        chain = [x for x in words[k + 1 :] if x not in anchors][: spotsigs.CHAIN] if w in anchors else []
+        if chain:
+            out.add((w, *chain))
+    return out or ({tuple(words)} if words else set())
+
+
+def test_near_edited_equals_brute_force(spark, texts):
+    big = 1 << 60
+    some = dict(sorted(texts.items())[:60]) | {big + 1: "the cat of a house", big + 2: "", big + 3: "no anchors here", big + 4: "The dog and the cat ran"}
+    got = {r.doc_id: r for r in spotsigs.edited_likeness(table(spark, [*some.items(), (None, "last of the all")])).collect()}
+    order = [*sorted(some, reverse=True), None]
+    text = some | {None: "last of the all"}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    assert len(got) == len(order)
+    for k, i in enumerate(order):
+        t, n = text[i], text[order[(k + 1) % len(order)]]
+        h = len(t) // 2
+        edited = t[: len(t) - h] + n[:h]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert math.isclose(got[i].near_edited, like(brute_spots(t), brute_spots(edited))), i
+        assert math.isclose(got[i].near_next, like(brute_spots(t), brute_spots(n))), i
+        assert (got[i].fingerprint == got[i].edited_fingerprint) == (brute_spots(t) == brute_spots(edited))
+
+
+def test_spotsig_classes_equal_brute_force(docs, texts):
+    rows = {r.doc_id: r for r in spotsigs.near_classes(docs).collect()}
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(frozenset(brute_spots(texts[i])), i)
+    sets = [(s, i) for s, i in first.items() if s]
+    links = Counter(i for (a, i), (b, j) in itertools.permutations(sets, 2) if len(a & b) >= 0.8 * len(a | b))
+    assert {i: (r.class_id, r.n_links) for i, r in rows.items()} == {i: (first[frozenset(brute_spots(t))], links[first[frozenset(brute_spots(t))]]) for i, t in texts.items()}
+
+
 def test_spotsig_pairs_equal_brute_force(docs):
     prints = spotsigs.fingerprints(docs)
     rows = prints.where("n_signatures > 0").collect()
