@@ -50,6 +50,12 @@ def order_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("pos", F.row_number().over(w) - 1)
 
 
+def order_lines(lines: DataFrame) -> DataFrame:
+    """``pos``: from the top down, equal heights by position."""
+    w = Window.partitionBy(*KEY).orderBy("y0", "line_index")
+    return lines.withColumn("pos", F.row_number().over(w) - 1)
+
+
 def word_parents(words: DataFrame, lines: DataFrame) -> DataFrame:
     """Words with the id of the line they name, null where there is none."""
     known = lines.select(*KEY, "line_index", F.col("node_id").alias("parent_id"))
@@ -78,6 +84,15 @@ def layout_tree(regions: DataFrame, blocks: DataFrame, lines: DataFrame, words:
     return out
 
 
+def tree_order(regions: DataFrame, blocks: DataFrame, lines: DataFrame, words: DataFrame) -> DataFrame:
+    """``tree_pos`` of each node on its page: regions by area, blocks by reading order, lines by height, words by line and place."""
+    word = words.withColumn("pos", F.row_number().over(Window.partitionBy(*KEY).orderBy("line_index", "k")) - 1)
+    parts = [d.select(*KEY, "node_id", F.lit(k).alias("level_index"), "pos") for k, d in enumerate((order_regions(regions), order_blocks(blocks), order_lines(lines), word))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    place = F.row_number().over(Window.partitionBy(*KEY).orderBy("level_index", "pos")) - 1
+    return every.select(*KEY, "node_id", place.alias("tree_pos"))
+
+
 def at_level(tree: DataFrame, *names: str) -> DataFrame:
     """Nodes of the named levels."""
     return tree.where(F.col("level_name").isin(*names))

@@ -79,6 +79,16 @@ def blocks_by_order(p):
     return layout.order_blocks(p.blocks).select("doc_id", "node_id", "pos")
 
 
+@query("SELECT doc_id, node_id, row_number() OVER (PARTITION BY doc_id ORDER BY y0, line_index) - 1 AS pos FROM lines")
+def lines_by_y0(p):
+    return layout.order_lines(p.lines).select("doc_id", "node_id", "pos")
+
+
+@query("SELECT doc_id, node_id, row_number() OVER (PARTITION BY doc_id ORDER BY l, a, b) - 1 AS tree_pos FROM (SELECT doc_id, node_id, 0 AS l, rpos AS a, 0 AS b FROM regioned UNION ALL SELECT doc_id, node_id, 1, bpos, 0 FROM ordered UNION ALL SELECT doc_id, node_id, 2, y0, line_index FROM lines UNION ALL SELECT doc_id, node_id, 3, line_index, k FROM words)")
+def tree_order(p):
+    return layout.tree_order(p.regions, p.blocks, p.lines, p.words).select("doc_id", "node_id", "tree_pos")
+
+
 @query("SELECT doc_id, node_id, level_index, level_name, parent_id, x0, y0, x1, y1, label, content FROM tree")
 def layout_tree(p):
     return p.tree.drop("page_id")
@@ -225,8 +235,20 @@ def distinct_counts(p):
 
 @query("WITH t AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents WHERE text IS NOT NULL)), k AS (SELECT DISTINCT CAST(round_even(i * (n - 1) / 5.0, 0) AS BIGINT) AS rn FROM t, (SELECT unnest(range(6)) AS i)) SELECT source AS tag FROM t WHERE n <= 6 OR rn IN (SELECT rn FROM k)", model=False)
 def tag_subsample(p):
-    tags = sorted(r.document for r in p.pages.select("document").distinct().collect())
-    return p.spark.createDataFrame([(tags[i],) for i in scores.even_positions(len(tags))], "tag string")
+    tags = p.pages.select(F.col("document").alias("tag")).distinct()
+    at = p.spark.createDataFrame([(i,) for i in scores.even_positions(tags.count())], "at int")
+    # tags are a handful; one task ranks them
+    return tags.withColumn("at", F.row_number().over(Window.orderBy("tag")) - 1).join(F.broadcast(at), "at", "left_semi").select("tag")
+
+
+@query("SELECT document, '_' || array_to_string(list_sort(list(DISTINCT block_label)), '+') AS suffix FROM scored GROUP BY document")
+def label_suffix(p):
+    return p.scored_lines.groupBy("document").agg(T.label_suffix(F.collect_set("block_label")).alias("suffix"))
+
+
+@query("SELECT unnest(['0', '0.05', '0.2']) AS tag", model=False)
+def resolved_tags(p):
+    return p.spark.createDataFrame([(t,) for t in T.resolved_tags("20, 0.05,5", set())], "tag string")
 
 
 # Precision and recall
@@ -416,6 +438,14 @@ def first_selection_hit(p):
     return intervals.first_hit(hits, tree, ["line"]).select("doc_id", "node_id")
 
 
+@query("SELECT doc_id, ast_index AS ast_index_start, doc_id % 5 AS char_start, ast_index + 1 AS ast_index_end, doc_id % 3 - 1 AS char_end FROM nodes WHERE ast_index % 2 = 0")
+def selection_ranges(p):
+    n = p.nodes.select("doc_id", "ast_index", (F.col("doc_id") % 5).alias("a"), (F.col("doc_id") % 3).alias("b"), F.explode(F.array(F.lit(0), F.lit(1))).alias("step"))
+    at = T.selection_range(F.col("ast_index"), F.col("a"), F.col("ast_index") + F.col("step"), F.when(F.col("step") == 1, F.col("b")).otherwise(F.col("a")))
+    # a selection that ends where it begins is none
+    return n.where("ast_index % 2 = 0").select("doc_id", at.alias("r")).where("r is not null").select("doc_id", "r.*")
+
+
 _MI = "WITH i AS (SELECT user_id, value, event_id % 50 AS s, event_id % 50 + event_id % 7 AS e FROM events), o AS (SELECT user_id, s, e, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM i), g AS (SELECT user_id, s, e, sum(CASE WHEN m IS NULL OR s > m THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(s) AS start, max(e) AS \"end\" FROM g GROUP BY user_id, k"
 
 
@@ -583,19 +613,19 @@ def sequence_align(p):
 
 @query()
 def string_align(p):
+    """Every other word of a line, found in it again in order."""
+
     def run(pdf):
         import pandas as pd
 
         rows = []
-        for d, t in zip(pdf["doc_id"], pdf["markdown"], strict=True):
-            y, words = _coded(t)
-            # one code more for a pattern that no text has
-            sim = sequences.EqualWords([*map(len, words), len("absent")])
-            none = words.index("absent") if "absent" in words else len(words)
-            rows += [(d, k, j) for k, j in enumerate(sequences.match_strings([none, *y[::5]], y, sim))]
-        return pd.DataFrame({"doc_id": [r[0] for r in rows], "k": [r[1] for r in rows], "j": pd.array([r[2] for r in rows], "Int32")})
+        for d, n, t in zip(pdf["doc_id"], pdf["line_index"], pdf["content"], strict=True):
+            for k, hit in enumerate(sequences.match_strings(t.split()[::2], t, sequences.Equal())):
+                rows.append((d, n, k, *(hit or (None, None))))
+        out = pd.DataFrame(rows, columns=["doc_id", "line_index", "k", "start", "end"])
+        return out.astype({"start": "Int32", "end": "Int32"})
 
-    return p.pages.select("doc_id", "markdown").mapInPandas(lambda it: map(run, it), "doc_id long, k int, j int")
+    return p.lines.select("doc_id", "line_index", "content").mapInPandas(lambda it: map(run, it), "doc_id long, line_index int, k int, start int, end int")
 
 
 @query()
@@ -668,6 +698,122 @@ def layout_boxes(p):
     return S.parsed_boxes(page, "block").drop("page_id", "score")
 
 
+@query("SELECT doc_id, 'block_' || block_index AS index, x0 + 0.5::DOUBLE AS x0, y0 + 0.5::DOUBLE AS y0, x1 + 0.5::DOUBLE AS x1, y1 + 0.5::DOUBLE AS y1, label, ord AS \"order\", '' AS content, block_index FROM blocks")
+def parsed_blocks(p):
+    from .sources import pages as S
+
+    box = F.struct("block_index", F.array(*[F.col(c) + F.lit(0.5).cast("double") for c in ("x0", "y0", "x1", "y1")]).alias("box"), "label", "order", "content", F.col("block_index").alias("index"))
+    page = p.blocks.groupBy(*KEY).agg(F.sort_array(F.collect_list(box)).alias("blocks"))
+    return S.parsed_blocks(page).drop("page_id")
+
+
+@query("SELECT doc_id, 'formula_' || (row_number() OVER (PARTITION BY doc_id ORDER BY block_index) - 1) AS index, x0, CASE WHEN block_index % 2 = 0 THEN y0 ELSE least(y0, y1) END AS y0, x1, CASE WHEN block_index % 2 = 0 THEN y1 ELSE greatest(y0, y1) END AS y1, label AS text, block_index AS formula_region_id FROM blocks WHERE label = 'formula'")
+def parsed_formulas(p):
+    from .sources import pages as S
+
+    # a box on even blocks, the corners of a quadrangle on others
+    c = {n: F.col(n) + F.lit(0.25).cast("double") for n in ("x0", "y0", "x1", "y1")}
+    poly = F.when(F.col("block_index") % 2 == 0, F.array(c["x0"], c["y0"], c["x1"], c["y1"])).otherwise(F.array(c["x0"], c["y1"], c["x1"], c["y1"], c["x1"], c["y0"], c["x0"], c["y0"]))
+    page = p.blocks.where("label = 'formula'").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("block_index", poly.alias("poly"), F.col("label").alias("text"), F.col("block_index").alias("id")))).alias("formulas"))
+    return S.parsed_formulas(page).drop("page_id")
+
+
+# Jobs over a written store
+
+
+def _shared(p) -> str:
+    """The session's shared folder; a local session without one takes a temporary folder."""
+    at = p.spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        import tempfile
+
+        if not p.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        at = "file://" + tempfile.mkdtemp(prefix="quire-")
+    return at.rstrip("/")
+
+
+def _store(p, *tables: str):
+    """A store of the derived pages with the named tables, deleted when the driver ends."""
+    import uuid
+
+    from .jobs import Store
+
+    store = Store(p.spark, f"{_shared(p)}/store-{uuid.uuid4().hex}")
+    at = p.spark._jvm.org.apache.hadoop.fs.Path(store.root)
+    fs = at.getFileSystem(p.spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    made = {
+        "text": lambda: p.pages,
+        "nodes": lambda: p.nodes,
+        "regions": lambda: p.regions,
+        "blocks": lambda: p.blocks,
+        "line_tokens": lambda: p.lines,
+        "word_tokens": lambda: p.words,
+        "line_alignments": lambda: p.noise_lines,
+        "block_alignments": lambda: p.noise_blocks,
+    }
+    for name in tables:
+        store.write(name, made[name]())
+    return store
+
+
+@query("SELECT level_name, count(*) AS n, count(parent_id) AS with_parent FROM tree GROUP BY level_name")
+def job_layout_trees(p):
+    from . import jobs
+
+    store = _store(p, "regions", "blocks", "line_tokens", "word_tokens")
+    jobs.build_layout_trees(store)
+    # a second run finds every page there
+    jobs.build_layout_trees(store)
+    return store.read("tree").groupBy("level_name").agg(F.count(F.lit(1)).alias("n"), F.count("parent_id").alias("with_parent"))
+
+
+def _scored_store(p):
+    from . import jobs
+
+    store = _store(p, "text", "nodes", "regions", "blocks", "line_tokens", "word_tokens", "line_alignments", "block_alignments")
+    jobs.build_layout_trees(store)
+    return store
+
+
+@query(f"SELECT document, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std, count(*) AS count FROM ({_LS}) JOIN pages USING (doc_id) GROUP BY document")
+def job_benchmark(p):
+    from . import jobs
+
+    store = _scored_store(p)
+    jobs.benchmark(store)
+    return jobs.summary(store)["line_scores_by_document"].withColumns(r6("mean", "std"))
+
+
+@query("SELECT t.noise, round(avg(coalesce(n.score, 0)), 6) AS mean, count(*) AS count FROM lines l CROSS JOIN (SELECT t.noise AS noise FROM tags) t LEFT JOIN noise_lines n ON n.doc_id = l.doc_id AND n.node_id = l.node_id AND n.noise = t.noise GROUP BY t.noise")
+def job_noise_benchmark(p):
+    from . import jobs
+
+    store = _scored_store(p)
+    jobs.noise_benchmark(store)
+    return jobs.summary(store)["noise"].select("noise", "mean", "count").withColumns(r6("mean"))
+
+
+@query("SELECT noise_level, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(f1), 6) AS f1, round(avg(block_error), 6) AS block_error, count(*) AS n FROM prf GROUP BY noise_level")
+def job_precision_recall(p):
+    from . import jobs
+
+    store = _scored_store(p)
+    jobs.precision_recall_benchmark(store)
+    return jobs.summary(store)["precision_recall"].withColumns(r6("precision", "recall", "f1", "block_error"))
+
+
+@query()
+def job_corrupt(p):
+    from . import jobs
+
+    store = _store(p, "text", "nodes", "line_alignments")
+    jobs.build_corruption(store, "5,20", seed=7)
+    return store.read("corrupted").select("doc_id", "noise", F.length("markdown").alias("n"), F.md5("markdown").alias("digest"))
+
+
 @query("SELECT DISTINCT document FROM pages")
 def doc_list(p):
     return p.pages.select("document").distinct().orderBy("document")

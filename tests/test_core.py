@@ -1,5 +1,6 @@
 """Hand-worked cases, properties, and a sample of queries against their SQL."""
 
+import hashlib
 import itertools
 import math
 import re
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from quire import queries as Q
 from quire.functions import text as T
 from quire.operators import align, corrupt, intervals, layout, scores, sequences
+from quire.operators.layout import KEY
 from quire.sources import pages as S
 
 D = "/root/testdata/sf0.001"
@@ -144,7 +146,34 @@ def test_markdown_and_words():
 def test_sequences():
     sim = lambda x, y: 1.0 if list(y) == [x] else 0.0
     assert sequences.greedy("ab", ["a", "b"], sim) == [(0, 1), (1, 2)] == sequences.optimal("ab", ["a", "b"], sim)
-    assert sequences.match_strings(["a", "z", "b"], ["a", "q", "b"], lambda x, y: float(x == y)) == [0, None, 2]
+    # an empty part may score best, and is scored like others
+    assert sequences.greedy(["x", "y"], "ab", lambda x, y: -len(y)) == [(0, 0), (0, 2)]
+    assert sequences.optimal(["x", "y"], "ab", lambda x, y: 5.0 if not len(y) and x == "x" else -len(y) ** 2)[0] == (0, 0)
+    assert sequences.match_strings(["ab"], "xaby", lambda p, t: float(p == t)) == [(1, 3)]
+    assert sequences.match_strings(["ab", "zz", "y"], "xaby", sequences.Equal()) == slow_match(["ab", "zz", "y"], "xaby", sequences.Equal())
+
+
+def slow_match(patterns, text, sim):
+    """The best ordered parts, cell by cell."""
+    rows = [[(0.0, None)] * (len(text) + 1)]
+    for p in patterns:
+        row = [(0.0, None)]
+        for r in range(1, len(text) + 1):
+            top, start = row[-1][0], None
+            for left in range(r + 1):
+                if rows[-1][left][0] + sim(p, text[left:r]) > top:
+                    top, start = rows[-1][left][0] + sim(p, text[left:r]), left
+            row.append((top, start))
+        rows.append(row)
+    out, r = [None] * len(patterns), len(text)
+    for k in range(len(patterns), 0, -1):
+        while r >= 0 and rows[k][r][1] is None:
+            r -= 1
+        if r < 0:
+            break
+        out[k - 1] = (rows[k][r][1], r)
+        r = out[k - 1][0]
+    return out
 
 
 def test_sequences_by_arrays():
@@ -154,15 +183,11 @@ def test_sequences_by_arrays():
         y = r.integers(0, 5, r.integers(0, 20))
         for f in (sequences.greedy, sequences.optimal):
             assert f(y[::3], y, sequences.WordCount()) == f(list(y[::3]), list(y), words)
-        x = [5, *y[::2]]
-        got = sequences.match_strings(x, y, sequences.EqualWords([1, 1, 2, 3, 4, 6]))
-        # the longest common subsequence by words' lengths
-        best = np.zeros((len(x) + 1, len(y) + 1))
-        for i, j in itertools.product(range(len(x)), range(len(y))):
-            best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + [1, 1, 2, 3, 4, 6][x[i]] * (x[i] == y[j]))
-        found = [(i, j) for i, j in enumerate(got) if j is not None]
-        assert [j for _, j in found] == sorted({j for _, j in found}) and all(x[i] == y[j] for i, j in found)
-        assert sum([1, 1, 2, 3, 4, 6][x[i]] for i, _ in found) == best[-1, -1]
+    for _ in range(80):
+        text = "".join(r.choice(list("abc"), r.integers(0, 14)))
+        patterns = ["".join(r.choice(list("abc"), r.integers(1, 4))) for _ in range(r.integers(1, 4))]
+        for sim in (sequences.Equal(), lambda p, t: len(set(p) & set(t)) - 0.4 * abs(len(p) - len(t))):
+            assert sequences.match_strings(patterns, text, sim) == slow_match(patterns, text, sim)
 
 
 def test_whole_texts_are_aligned(spark):
@@ -170,9 +195,120 @@ def test_whole_texts_are_aligned(spark):
     assert max(words.values()) > 100
     ends = {r.doc_id: (r.k, r.b) for r in Q.QUERIES["sequence_align"](spark, D).groupBy("doc_id").agg(F.max("k").alias("k"), F.max("b").alias("b")).collect()}
     assert ends == {d: ((n - 1) // 6, n) for d, n in words.items() if n}
-    rows = {r.doc_id: (r.n, r.j) for r in Q.QUERIES["string_align"](spark, D).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("j").alias("j")).collect()}
-    assert rows.keys() == words.keys() and all(rows[d][0] == 1 + -(-n // 5) for d, n in words.items())
-    assert all(rows[d][1] >= (n - 1) // 5 * 5 for d, n in words.items() if n)
+    text = {r.doc_id: r.text.split("\n") for r in spark.read.parquet(f"{D}/documents.parquet").where("text is not null").collect()}
+    rows = Q.QUERIES["string_align"](spark, D).collect()
+    assert len(rows) == sum(-(-len(line.split()) // 2) for lines in text.values() for line in lines)
+    assert all(text[r.doc_id][r.line_index][r.start : r.end] == text[r.doc_id][r.line_index].split()[::2][r.k] for r in rows)
+
+
+def test_corruption_draws_as_published():
+    """Equal seeds give the texts that the published order of draws gives."""
+    import random
+    import string
+
+    pool, text, spans = string.ascii_letters + string.digits + string.punctuation + " ", "The quick brown fox jumps over the lazy dog. " * 4, [(0, 40), (30, 90), (100, 170)]
+    for seed in range(5):
+        rng, chars, done = random.Random(seed), list(text), set()
+        for a, b in spans:
+            places = [i for i in range(a, b) if i not in done]
+            for i in rng.sample(places, int(round(len(places) * 0.2))):
+                c = rng.choice(pool)
+                while c == chars[i]:
+                    c = rng.choice(pool)
+                chars[i] = c
+                done.add(i)
+        assert corrupt.corrupt_text(text, spans, 0.2, seed) == "".join(chars)
+    assert corrupt.corrupt_text(text, spans, 0.0, 1) == text
+
+
+def test_overlapping_spans_share_no_character(spark):
+
+    text = spark.createDataFrame([(1, 0, "abcdefghij" * 5), (2, 0, "klmnopqrst" * 5)], "doc_id long, page_id int, markdown string")
+    spans = [(1, 0, 0, 0, 20), (1, 0, 1, 10, 30), (1, 0, 2, 40, 40), (2, 0, 0, 0, 20), (2, 0, 1, 20, 50)]
+    got = corrupt.corrupt_relational(text, spark.createDataFrame(spans, "doc_id long, page_id int, pos int, start int, end int"), 0.5, 3).collect()
+    owner = {}
+    for d, _, pos, a, b in spans:
+        for i in range(a, b):
+            owner.setdefault((d, i), pos)
+    want = set()
+    for d, _, pos, _, _ in spans:
+        own = sorted((hashlib.md5(f"3:{d}:0:{i}".encode()).hexdigest(), i) for (e, i), q in owner.items() if (e, q) == (d, pos))
+        want |= {(d, pos, i) for _, i in own[: round(len(own) * 0.5)]}
+    assert {(r.doc_id, r.pos, r.char_index) for r in got} == want and len(got) == len(want)
+
+
+def test_spans_of_a_pretrained_tokenizer(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path, md = public.path("byte_bpe_50k.json"), "# Title\n\nSome words, naïve ones.\n"
+    own = Tokenizer.from_file(path)
+    rows = T.parse_pages(spark.createDataFrame([(1, 0, md)], "doc_id long, page_id int, markdown string"), T.pretrained_spans(path)).collect()
+    assert [[(w.start, w.end) for w in r.words] for r in rows] == [own.encode(md[r.start : r.end], add_special_tokens=False).offsets for r in rows]
+
+
+def test_places_by_all_line_breaks():
+    md = "one\x0ctwo\n\nthree\n"
+    assert [(a, b) for _, a, b in T.markdown_nodes(md)] == [(0, 8), (9, 15)]
+    assert [(a, b) for _, a, b in T.markdown_nodes(md, all_breaks=True)] == [(0, 4), (8, 9)]
+
+
+def test_files_are_written_once(spark, tmp_path):
+
+    text = spark.createDataFrame([("a b", 0, "# one"), ("a b", 1, None), ("c", 0, "three")], "doc_id string, page_id int, markdown string")
+    files = S.markdown_files(text)
+    assert {r.status for r in S.write_files(files, str(tmp_path)).collect()} == {"written"}
+    assert {r.status for r in S.write_files(files, str(tmp_path)).collect()} == {"kept"}
+    assert {(r.doc_id, r.page_id, r.markdown) for r in S.read_markdown(spark, str(tmp_path)).collect()} >= {("a b", 0, "# one"), ("c", 0, "three")}
+    figures = spark.createDataFrame([("c", 0, "x.png", bytearray(b"\x89PNG"))], "doc_id string, page_id int, name string, content binary")
+    S.write_files(S.figure_files(figures), f"file://{tmp_path}").collect()
+    assert [(r.doc_id, r.name, bytes(r.content)) for r in S.read_figures(spark, str(tmp_path)).collect()] == [("c", "x.png", b"\x89PNG")]
+    S.write_files(S.page_images(figures), str(tmp_path)).collect()
+    S.write_files(S.alignment_files(spark.createDataFrame([("c", 0, "block_0", 0, 1, 0.5)], "doc_id string, page_id int, node_id string, ast_start int, ast_end int, score double"), spark.createDataFrame([], "doc_id string, page_id int, node_id string, ast_index_start int, char_start int, ast_index_end int, char_end int, score double")), str(tmp_path)).collect()
+    assert (tmp_path / "c" / "0" / "page.png").read_bytes() == b"\x89PNG" and S.read_alignments(spark, str(tmp_path)).first().alignment.block_alignments["block_0"].ast_end == 1
+    assert not list(tmp_path.rglob("*.part"))
+
+
+def test_jobs_from_pages_to_reports(spark, tmp_path):
+    from quire import jobs
+    from quire.plans.model import Pages
+
+    p = Pages(spark, D)
+    few = p.documents.where("length(text) between 30 and 700").orderBy("doc_id").limit(8).select("doc_id")
+    store = jobs.Store(spark, f"file://{tmp_path}/s")
+    made = {"text": p.pages, "nodes": p.nodes, "regions": p.regions, "blocks": p.blocks, "line_tokens": p.lines, "word_tokens": p.words}
+    start = p.nodes.join(p.text, KEY)
+    words = T.parse_pages(p.text, "whitespace").select(*KEY, "ast_index", "start", F.posexplode("words").alias("k", "w"))
+    made["nodes"] = T.parse_pages(p.text, "whitespace").select(*KEY, "ast_index", "start", "end")
+    made["words"] = words.select(*KEY, "ast_index", (F.col("ast_index") * 100000 + F.col("k")).alias("word_index"), (F.col("start") + F.col("w.start")).alias("start"), (F.col("start") + F.col("w.end")).alias("end"))
+    for name, df in made.items():
+        store.write(name, df.join(few, "doc_id", "left_semi"))
+    jobs.build_layout_trees(store)
+    with pytest.raises(ValueError):
+        jobs.build_alignments(store, blocks_only=True, lines_only=True)
+    jobs.build_alignments(store, blocks_only=True)
+    jobs.build_alignments(store, lines_only=True)
+    with pytest.raises(ValueError, match="only the clean"):
+        jobs.precision_recall(store)
+    n = store.read("line_alignments").count()
+    jobs.build_alignments(store)  # keeps what is there
+    assert store.read("line_alignments").count() == n > 0
+    jobs.build_corruption(store, "20", seed=1)
+    clean = {r.doc_id: r.markdown for r in store.read("text").collect()}
+    for r in store.read("corrupted").collect():
+        assert r.noise == "0.2" and len(r.markdown) == len(clean[r.doc_id]) and r.markdown != clean[r.doc_id]
+    jobs.build_alignments(store, "0.2")
+    jobs.benchmark(store)
+    assert jobs.noise_benchmark(store, min_docs=1) == ["0", "0.2"] == jobs.comparable_tags(store, "20")
+    jobs.precision_recall_benchmark(store)
+    report = jobs.summary(store)
+    assert {"line_scores_by_document", "noise_by_document", "precision_recall", "block_error_by_document"} <= set(report)
+    pr = {r.noise_level: r for r in report["precision_recall"].collect()}
+    assert pr["0"].block_error == 0 and pr["0"].recall >= pr["0.2"].recall
+    labelled = jobs.Store(spark, store.root, pages="0", labels="text")
+    assert {r.block_label for r in jobs.score_tables(labelled)[1].collect()} <= {"text"}
+    page = jobs.load_pages(store).collect()
+    assert [r.doc_id for r in page] == sorted(clean) and all(r.tree for r in page)
 
 
 def test_search_meets_every_vector(spark):
