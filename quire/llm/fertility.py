@@ -26,6 +26,8 @@ from .tokens import UnitEncoder, tokenizer_path
 #: Bytes of `[#*$%&|<>]`.
 SYMBOLS = kernel.table(b"#*$%&|<>")
 LEAST_WORDS = 50
+#: Words whose pieces a worker keeps.
+CACHE = 150_000
 #: Bands (lowest, highest) of a language or script.  Prose has 2 to 3.5 tokens a word in the languages
 #: listed; words dressed with symbols have more.  No token of prose takes over an eighth of the whole, and
 #: fifty words of it have more than 16 tokens' worth of entropy.
@@ -55,7 +57,7 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model)
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
         self.starts = np.array([self.model.id_to_piece(i).startswith("\u2581") for i in range(self.model.get_piece_size())])
-        self.known: dict[int, tuple[int, int]] = {}
+        self.known: dict[int, int] = {}  # pieces, and byte pieces in the low bits
 
     @classmethod
     def shared(cls, model: str) -> Pieces:
@@ -65,7 +67,7 @@ class Pieces:
 
     def counts(self, h: np.ndarray, words: list[bytes]) -> np.ndarray:
         """Pieces and byte pieces of each distinct word; ``h`` are the words' hashes."""
-        if len(self.known) > 200_000:
+        if len(self.known) > CACHE:
             self.known.clear()
         keys = h.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.known]
@@ -79,8 +81,9 @@ class Pieces:
             else:
                 each = [np.array(x, np.int64) for x in self.model.encode(found, num_threads=1)]
                 made = np.array([len(x) for x in each]), np.array([int(self.is_byte[x].sum()) for x in each])
-            self.known.update(zip((keys[i] for i in new), zip(made[0].tolist(), made[1].tolist(), strict=True), strict=True))
-        return np.array([self.known[k] for k in keys], np.int64).reshape(-1, 2)
+            self.known.update(zip((keys[i] for i in new), ((made[0].astype(np.int64) << 32) + made[1]).tolist(), strict=True))
+        both = np.array([self.known[k] for k in keys], np.int64)
+        return np.stack([both >> 32, both & 0xFFFFFFFF], axis=1)
 
 
 def _per_doc(values: np.ndarray, first: np.ndarray) -> np.ndarray:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from . import kernel
 
 #: Distinct units a worker keeps.
-CACHE = 400_000
+CACHE = 250_000
 _ENCODERS: dict = {}
 _BLANK = frozenset(b" \t\n\v\f\r")
 

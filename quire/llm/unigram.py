@@ -10,8 +10,10 @@ side by side in arrays and cached.  Vocabularies whose pieces cross words are se
 Where a model has merge ranks in place of log scores (a BPE file), the piece of rank r has the
 Zipfian probability proportional to 1 / (r + ``ZIPF``).
 
-Null and empty texts have no ids and decode to an empty text.  Byte pieces that are no UTF-8 decode
-to U+FFFD.  Repeated rows are encoded each; other columns are ignored.
+Null and empty texts have no ids and decode to an empty text; very long texts are encoded whole; an empty
+table gives no rows.  Byte pieces that are no UTF-8 decode to U+FFFD.  Of paths of equal score the one
+whose last piece is longest counts.  Repeated rows are encoded each; columns other than doc_id and text are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
