@@ -14,7 +14,8 @@ token.  Null and empty texts are the single id 1.  Repeated rows are packed each
 order of the route, equal routes that of doc_id and a hash of the ids.  A very long text fills whole
 windows and may be a shard by itself.  An empty table gives no rows.  Columns other than doc_id and text
 are ignored, whatever their names.  Sequence ids are unique, not consecutive: the number of the task in
-the high bits.
+the high bits.  Where a task's range ends is drawn from a sample by Spark, so two runs may cut and pack
+differently; a task that is run again within a run does not.
 """
 
 from __future__ import annotations
