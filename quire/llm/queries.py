@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crossparse, fertility, packing, pii, spotsigs, tagpaths, toxicity, unigram, warc
+from . import crossparse, fertility, packing, pii, runs, spotsigs, tagpaths, toxicity, unigram, warc, wordbpe
 from .minhash import near_duplicates
 
 
@@ -67,6 +67,14 @@ def op10_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagpaths.main_text(pages(spark, sf_dir))
 
 
+def op11_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordbpe.encoded(documents(spark, sf_dir))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.collapsed(documents(spark, sf_dir), planted=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "spotsigs_classes": spotsigs_classes,
@@ -79,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_disclosure": op9_disclosure,
     "op10_tag_paths": op10_tag_paths,
+    "op11_tree_bpe": op11_tree_bpe,
+    "op12_runs": op12_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
