@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import crossparse, fertility, packing, pii, runs, spotsigs, tagpaths, toxicity, unigram, warc, wordbpe
+from . import crossparse, fertility, packing, pii, resample, runs, spotsigs, tagpaths, toxicity, unigram, warc, wordbpe
 from .minhash import near_duplicates
 
 
@@ -75,6 +75,10 @@ def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.collapsed(documents(spark, sf_dir), planted=True)
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_spotsigs": op1_spotsigs,
     "spotsigs_classes": spotsigs_classes,
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tag_paths": op10_tag_paths,
     "op11_tree_bpe": op11_tree_bpe,
     "op12_runs": op12_runs,
+    "op13_resample": op13_resample,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -142,4 +147,20 @@ rows AS (SELECT doc_id, count(*) FILTER (k = 1) AS n_email, count(*) FILTER (k =
   string_agg(kind || ':' || a || ':' || z, ',' ORDER BY k, a) FILTER (k < 5) AS b, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY k, a) AS s FROM spans GROUP BY doc_id)
 SELECT x.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(s, '') AS spans
 FROM documents x JOIN d ON coalesce(x.text, '') = d.t LEFT JOIN rows ON rows.doc_id = d.doc_id""",
+    "op13_resample": r"""
+WITH texts AS (SELECT 0 AS side, doc_id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT side, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+f AS (SELECT side, doc_id, unnest(w) AS f FROM w UNION ALL SELECT side, doc_id, w[i] || ' ' || w[i + 1] FROM (SELECT side, doc_id, w, unnest(range(1, len(w))) AS i FROM w)),
+n AS (SELECT side, doc_id, f, count(*) AS n FROM f GROUP BY ALL),
+crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS tab FROM (SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b))),
+known AS (SELECT f, hex(encode(f)) AS h FROM n GROUP BY f),
+hashed AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i : i + 1] AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM known, crc),
+sums AS (SELECT bucket, sum(n) FILTER (side = 0) AS s, sum(n) FILTER (side = 1) AS t FROM n JOIN hashed USING (f) GROUP BY bucket),
+totals AS (SELECT coalesce(sum(s), 0)::BIGINT AS s, coalesce(sum(t), 0)::BIGINT AS t FROM sums),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(b.t, 0)::DOUBLE + 1) * (a.s + 10000)::DOUBLE / ((coalesce(b.s, 0)::DOUBLE + 1) * (a.t + 10000)::DOUBLE)))::BIGINT AS gain FROM sums b, totals a),
+sizes AS (SELECT doc_id, sum(n)::BIGINT AS n_features, floor(sum(n * gain)::DOUBLE / sum(n)::DOUBLE)::BIGINT AS weight FROM n JOIN hashed USING (f) JOIN gains USING (bucket) WHERE side = 0 GROUP BY doc_id),
+scored AS (SELECT w.doc_id, len(w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || left(sha256('7:' || w.doc_id), 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM w LEFT JOIN sizes USING (doc_id) WHERE side = 0),
+able AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE words >= 20)
+SELECT scored.doc_id, n_features, weight, score, CASE WHEN rank <= 25 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN able USING (doc_id)""",
 }

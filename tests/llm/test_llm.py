@@ -985,7 +985,7 @@ def test_pipeline_edge_rows(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     df = queries.QUERIES[name](spark, D)
     cur = con.execute(queries.ORACLE_SQL[name])

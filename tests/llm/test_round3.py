@@ -1,14 +1,17 @@
 """Tree concatenation, periodic runs and importance resampling against the library and brute force."""
 
 import hashlib
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import runs, wordbpe
+from quire.llm import resample, runs, wordbpe
 
 from .test_llm import EDGE, D, table
 
@@ -184,3 +187,74 @@ def test_runs_of_edge_rows(spark):
     plain = {r.doc_id: (r.runs, r.collapsed) for r in runs.collapsed(table(spark, rows), with_text=True).collect()}
     assert plain[20] == ([[0, 9, 1]], "x") and plain[21] == ([], "x x x x x") and plain[22] == ([[0, 12, 3]], "a b c z")
     assert runs.collapsed(table(spark, []), planted=True).count() == 0 == wordbpe.encoded(table(spark, [])).count()
+
+
+# importance resampling
+
+
+def features(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in text or ""))
+    return len(w), Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)])
+
+
+def brute_resample(docs, target, share=25, least=20, n_buckets=10_000):
+    s, t, own = Counter(), Counter(), []
+    bucket = lambda f: zlib.crc32(f.encode()) % n_buckets
+    for side, rows in ((s, docs), (t, target)):
+        for d, text in rows:
+            n, f = features(text)
+            for x, k in f.items():
+                side[bucket(x)] += k
+            if side is s:
+                own.append((d, n, f))
+    total_s, total_t = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (total_s + n_buckets) / ((s[b] + 1) * (total_t + n_buckets))))
+    out = []
+    for d, n, f in own:
+        size = sum(f.values())
+        weight = sum(k * gain(bucket(x)) for x, k in f.items()) // size if size else 0
+        h = int(hashlib.sha256(f"7:{'' if d is None else d}".encode()).hexdigest()[:8], 16)
+        out.append([d, size, weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), n])
+    able = sorted((r for r in out if r[4] >= least), key=lambda r: (-r[3], r[0] is None, r[0] or 0, -r[1]))
+    drawn = {id(r): k + 1 for k, r in enumerate(able[: share * len(able) // 100])}
+    return sorted(((*r[:4], drawn.get(id(r))) for r in out), key=str)
+
+
+@pytest.mark.parametrize(("block", "part"), [(8 << 20, 16 << 20), (5000, 20_000)])
+def test_draw_equals_brute_force(spark, docs, monkeypatch, block, part):
+    """In one block and part, then in many of each."""
+    monkeypatch.setattr(resample, "BLOCK", block)
+    monkeypatch.setattr(resample, "PART", part)
+    target = spark.read.parquet(f"{D}/benchmark.parquet")
+    got = sorted((tuple(r) for r in resample.resampled(docs, target).collect()), key=str)
+    assert got == brute_resample([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in target.collect()])
+    assert sum(r[4] is not None for r in got) > 20
+
+
+def test_draw_of_edge_rows(spark):
+    rows = [*EDGE, (12, "Ünïcode 中文 a1 B2 c3 " * 9), (13, "x " * 40), (13, "x " * 40), (14, "same words " * 30), (15, "same words " * 30)]
+    target = [(1, "same words here"), (2, None), (None, "x y")]
+    out = resample.resampled(table(spark, rows), table(spark, target), share=60)
+    assert out.dtypes == [("doc_id", "bigint"), ("n_features", "bigint"), ("weight", "bigint"), ("score", "bigint"), ("rank", "bigint")]
+    assert sorted(map(tuple, out.collect()), key=str) == brute_resample(rows, target, share=60)
+    assert resample.resampled(table(spark, []), table(spark, target)).count() == 0
+    alone = resample.resampled(table(spark, rows), table(spark, []))
+    assert sorted(map(tuple, alone.collect()), key=str) == brute_resample(rows, [])
+
+
+def test_a_string_is_hashed_once(spark, docs, monkeypatch):
+    """A part has each of its strings once for each block, and no string is in two parts."""
+    monkeypatch.setattr(resample, "BLOCK", 20_000)
+    rows = [r for r in resample.blocks(docs, 5, 0, True).collect() if r.kind]
+    strings = {(r.block, r.part): resample._raw(r.features).decode().split("\n") for r in rows}
+    assert all(len(set(v)) == len(v) for v in strings.values()) and len({b for b, _ in strings}) > 3
+    where = {}
+    assert all(where.setdefault(f, p) == p for (_, p), v in strings.items() for f in v)
+    total = Counter()
+    for r in rows:
+        for f, n in zip(strings[r.block, r.part], resample._unpack(r.counts, np.int64).tolist(), strict=True):
+            total[f] += n
+    want = Counter()
+    for r in docs.collect():
+        want += features(r.text)[1]
+    assert total == want
