@@ -6,7 +6,7 @@ that the stage keeps, in the columns of ``docs``; the last returns the pieces of
 leave behind is deleted once the next stage is written.
 
 All stages take null and empty texts (quality rules reject them), texts of any length, repeated rows
-(each judged alike; copies of one id stay together), null ids (never near-duplicates of others), empty
+(each judged alike), null ids (never near-duplicates of others), empty
 tables (no rows) and any further columns, which pass through; names that begin with ``__`` are reserved.
 """
 
@@ -34,11 +34,17 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest id: five-word shingles, similarity of 0.8 or more.
 
-    Only the ids of dropped documents are joined; rows without an id, and texts without a word, stay.
-    Rows of one id go together: all of them where any is dropped.
+    A document is an id with a text, so texts that share an id are judged each for itself, and rows that repeat both
+    go together.  Only hashes of dropped documents are joined; rows without an id, and texts without a word, stay.
     """
-    dropped = minhash.near_duplicates(docs, shingle=5, limit=(4, 5)).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped.hint("merge"), F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
+    of = F.col("doc_id").cast("long")
+    node = F.when(of.isNotNull(), F.xxhash64(of, "text"))
+    found = minhash.near_duplicates(docs.select(node.alias("doc_id"), "text"), shingle=5, limit=(4, 5)).where("doc_id is not null")
+    found = found.select(F.col("doc_id").alias("__node"), "component_id").distinct()
+    ids = docs.where(of.isNotNull()).select(node.alias("__node"), of.alias("__id")).distinct()
+    first = found.join(ids.hint("merge"), "__node").groupBy("component_id").agg(F.min_by("__node", F.struct("__id", "__node")).alias("__node"))
+    dropped = found.select("__node").join(first.select("__node").hint("merge"), "__node", "left_anti").withColumnRenamed("__node", "__dropped")
+    return docs.join(dropped.hint("merge"), node == F.col("__dropped"), "left_anti")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,6 +55,7 @@ SIGMA, REACH, TEXT_WEIGHT, PUNCT_WEIGHT, LEAST_PUNCT = 2.0, 4, 1.0, 1.0, 0.2
 LAMBDA, SPREAD = 0.05, (12.0, 1000.0)
 #: Priors of paths below an element that its markup names as no part of the article, of paths outside those articles and mains, and of headings; share of linked text that counts against a path inside them.
 NAMED, OUTSIDE, HEADING, LINKED = 1e-5, 1e-4, 8.0, 0.9999
+RAW_END = {t: re.compile(f"</{t}", re.I | re.A) for t in RAW}
 PUNCT = re.compile(r"[.,;:!?…。、，؛؟।]")
 
 
@@ -119,7 +120,7 @@ def nodes(page: str) -> list[Node]:
             if state["link"]:
                 state["linked"] += len(text.strip())
 
-    at, low = 0, None
+    at = 0
     while True:
         m = TOKEN.search(page, at)
         if m is None:
@@ -150,10 +151,9 @@ def nodes(page: str) -> list[Node]:
         if tag in VOID:
             continue
         if tag in RAW and not (m[3] or m[6] or "").endswith("/"):
-            low = page.lower() if low is None else low
-            to = low.find(f"</{tag}", at)
-            to = len(page) if to < 0 else to
-            close = page.find(">", to)
+            # lower-casing a page can change its length
+            end = RAW_END[tag].search(page, at)
+            close = page.find(">", end.start()) if end else -1
             at = len(page) if close < 0 else close + 1
             continue
         end_block()

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import resample, runs, wordbpe
+import corpus_pipeline
+from quire.llm import resample, runs, tagpaths, wordbpe
 
 from .test_llm import EDGE, D, table
 
@@ -258,3 +259,24 @@ def test_a_string_is_hashed_once(spark, docs, monkeypatch):
     for r in docs.collect():
         want += features(r.text)[1]
     assert total == want
+
+
+# what earlier rounds lost
+
+
+def test_letters_whose_lower_case_is_longer(spark):
+    body = "Before the script stands a sentence, and another one. " * 4
+    page = f"<html><body><article><p>{'İ' * 300} {body}</p><SCRIPT>var x = '</p>';</ScRiPt><p>After the script: {body}</p></article></body></html>"
+    text = tagpaths.main_text(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first().text
+    assert text == f"{'İ' * 300} {body.strip()}\nAfter the script: {body.strip()}"
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    text = lambda seed: " ".join(random.Random(seed).choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(random.Random(seed * 1000 + k).randint(0, 99)) for k in range(80))
+    near = lambda t: t.replace(t.split()[40], "changed", 1)
+    a, b, c, x = text(1), text(2), text(3), text(4)
+    rows = [(1, a), (5, a), (5, b), (7, c), (3, x), (8, near(x)), (8, text(5)), (8, text(5)), (9, near(text(5))), (None, a), (2, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, D).collect()]
+    want = [(1, a), (5, b), (7, c), (3, x), (8, text(5)), (8, text(5)), (None, a), (2, None), (4, ""), (4, "")]
+    assert sorted(got, key=str) == sorted(want, key=str)
