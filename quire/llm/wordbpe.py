@@ -36,8 +36,8 @@ from .tokens import tokenizer_path
 LEAF = 1 << 16
 #: Symbols whose merges are found in one go; longer words are encoded by halves.
 HALF = 24
-#: Distinct units a worker keeps.
-CACHE = 250_000
+#: Distinct units, and distinct words, that a worker keeps at least once it has seen as many, and bytes of the longest unit that is kept.
+CACHE, LONG = 250_000, 64
 _CODECS: dict = {}
 
 
@@ -59,8 +59,9 @@ class Codec:
         model, end = spec["model"], spec["model"]["end_of_word_suffix"]
         vocab = dict(model["vocab"])
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        #: rank and token of each pair of tokens that merges
-        self.merge = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        #: the rank of each pair of tokens that merges, and the token of each rank
+        pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+        self.rank, self.made = {a << 20 | b: r for r, (a, b, _) in enumerate(pairs)}, [c for _, _, c in pairs]
         chars = byte_chars()
         self.inner, self.last = [vocab[c] for c in chars], [vocab[c + end] for c in chars]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -75,7 +76,10 @@ class Codec:
         self.ends = [n.endswith(end) for n in self.names]
         self.bytes = [n.encode() if n in self.special else bytes(byte[c] for c in n.removesuffix(end)) for n in self.names]
         self.shown = [n.encode() for n in self.names]
+        # what was found since the cache was last full, and in the time before
         self.known: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.before: dict[bytes, tuple[int, bytes, bytes]] = {}
+        self.word_ids: dict[bytes, list[int]] = {}
 
     @classmethod
     def shared(cls, path: str | None = None) -> Codec:
@@ -94,21 +98,18 @@ class Codec:
 
     def merged(self, tokens: list[int]) -> list[int]:
         """Merges neighbours by rank, the leftmost of a rank first, until none merge."""
-        merge = self.merge
-        while len(tokens) > 1:
-            best = min((merge[p] for p in zip(tokens, tokens[1:], strict=False) if p in merge), default=None)
-            if best is None:
-                break
-            out, i = [], 0
-            while i < len(tokens):
-                if i + 1 < len(tokens) and merge.get((tokens[i], tokens[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(tokens[i])
-                    i += 1
-            tokens = out
-        return tokens
+        rank, made, none = self.rank.get, self.made, len(self.made)
+        out = list(tokens)
+        ranks = [rank(a << 20 | b, none) for a, b in zip(out, out[1:], strict=False)]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            out[i : i + 2] = [made[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(out[i - 1] << 20 | out[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(out[i] << 20 | out[i + 1], none)
+        return out
 
     def unfold(self, tokens: list[int]) -> list[int]:
         """The symbols that tokens were merged from."""
@@ -142,10 +143,21 @@ class Codec:
 
     def words(self, text: str) -> list[bytes]:
         """The words of a text without special tokens, normalised: composed, and lower case character by character."""
-        return [w.encode() for w in self.word.findall("".join(map(str.lower, unicodedata.normalize("NFC", text))))]
+        lower = text.lower() if text.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+        return [w.encode() for w in self.word.findall(lower)]
 
     def encode_words(self, words: list[bytes]) -> list[int]:
-        return [i for w in words for i in self.encode_symbols(self.symbols(w))]
+        out, known = [], self.word_ids
+        for w in words:
+            ids = known.get(w)
+            if ids is None:
+                ids = self.encode_symbols(self.symbols(w))
+                if len(w) <= HALF:
+                    if len(known) >= CACHE:
+                        known.clear()
+                    known[w] = ids
+            out += ids
+        return out
 
     def parts(self, unit: str) -> list[str]:
         """A unit cut at its special tokens, which stay as parts of their own."""
@@ -156,10 +168,14 @@ class Codec:
 
     def of(self, unit: bytes) -> tuple[int, bytes, bytes]:
         """Of a unit: its number of ids, these in decimal, and their tokens, both joined by blanks."""
-        ids = self.encode_unit(unit.decode())
         if len(self.known) >= CACHE:
-            self.known.clear()
-        out = self.known[unit] = (len(ids), *self.written(ids))
+            self.known, self.before = {}, self.known
+        out = self.before.get(unit)
+        if out is None:
+            ids = self.encode_unit(unit.decode())
+            out = (len(ids), *self.written(ids))
+        if len(unit) <= LONG:
+            self.known[unit] = out
         return out
 
     def written(self, ids: list[int]) -> tuple[bytes, bytes]:
@@ -167,8 +183,8 @@ class Codec:
 
     def digest(self, text: str) -> tuple[int, bytes, bytes]:
         """Of a text: its number of ids, these in decimal, and the library's decoding of them."""
-        get, of = self.known.get, self.of
-        found = [get(u) or of(u) for u in text.encode().split()]
+        # the cache may be replaced on the way
+        found = [self.known.get(u) or self.of(u) for u in text.encode().split()]
         found = [f for f in found if f[0]]
         return sum(f[0] for f in found), b" ".join([f[1] for f in found]), b" ".join([f[2] for f in found])
 
