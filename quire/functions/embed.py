@@ -12,19 +12,68 @@ class EmbeddingProvider(Protocol):
 
 
 class HashedNgrams:
-    """Counts of hashed character n-grams, unit length; needs no model and is the same everywhere."""
+    """Counts of hashed character n-grams, unit length; needs no model and is the same everywhere.
+
+    A text is in lower case character by character, with a blank before and behind it.  Counts of ranges of a
+    text are sums over places, so they need no texts of their own.
+    """
 
     def __init__(self, width: int = 256, n: int = 3):
         self.width, self.n = width, n
 
-    def embed(self, texts: list[str]) -> np.ndarray:
+    @staticmethod
+    def _codes(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+    def _buckets(self, codes: np.ndarray) -> np.ndarray:
+        """The bucket of the gram that begins at each place; of a shorter text one for all of it."""
+        gram = np.zeros(max(1, len(codes) - self.n + 1), np.uint64)
+        for k in range(min(self.n, len(codes))):
+            gram = (gram + codes[k : k + len(gram)] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return ((gram >> np.uint64(33)) % np.uint64(self.width)).astype(np.int64)
+
+    def counts(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.width))
         for row, t in zip(out, texts, strict=True):
-            codes = np.frombuffer(f" {t.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            gram = np.zeros(max(1, len(codes) - self.n + 1), np.uint64)
-            for k in range(min(self.n, len(codes))):
-                gram = (gram + codes[k : k + len(gram)] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-            row += np.bincount(((gram >> np.uint64(33)) % np.uint64(self.width)).astype(np.int64), minlength=self.width)
+            row += np.bincount(self._buckets(self._codes(f" {''.join(map(str.lower, t))} ")), minlength=self.width)
+        return out
+
+    def places(self, text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors of starts and ends: their sums count the grams of the text between, where it has n - 1 characters or more."""
+        lower = [c.lower() for c in text]
+        shift = np.concatenate([[0], np.cumsum([len(c) for c in lower])]) if len("".join(lower)) != len(text) else np.arange(len(text) + 1)
+        codes, a, z = self._codes("".join(lower)), shift[starts], shift[ends]
+        width, n = self.width, self.n
+        bucket = self._buckets(codes) if len(codes) >= n else np.zeros(0, np.int64)
+
+        def before(at: np.ndarray) -> np.ndarray:
+            """Counts of the grams that begin before each place."""
+            at = np.clip(at, 0, len(bucket))
+            order = np.argsort(at, kind="stable")
+            part = np.searchsorted(at[order], np.arange(len(bucket)), "right")
+            inside = part < len(at)
+            steps = np.bincount(part[inside] * width + bucket[inside], minlength=len(at) * width).reshape(len(at), width)
+            out = np.empty((len(at), width))
+            out[order] = np.cumsum(steps, 0)
+            return out
+
+        def edge(windows: np.ndarray) -> np.ndarray:
+            """A gram each: counts of one."""
+            out = np.zeros((len(windows), width))
+            gram = np.zeros(len(windows), np.uint64)
+            for k in range(n):
+                gram = (gram + windows[:, k] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            out[np.arange(len(windows)), ((gram >> np.uint64(33)) % np.uint64(width)).astype(np.int64)] = 1
+            return out
+
+        blank = np.full(1, 32, np.uint64)
+        wide = np.concatenate([np.full(n, 32, np.uint64), codes, np.full(n, 32, np.uint64)])
+        head = np.stack([np.concatenate([blank, wide[n + x : n + x + n - 1]]) for x in a.tolist()]) if len(a) else np.zeros((0, n), np.uint64)
+        tail = np.stack([np.concatenate([wide[x + 1 : x + n], blank]) for x in z.tolist()]) if len(z) else np.zeros((0, n), np.uint64)
+        return edge(head) - before(a), edge(tail) + before(z - n + 1)
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        out = self.counts(texts)
         size = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(size > 0, size, 1)
 

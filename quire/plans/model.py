@@ -18,6 +18,22 @@ TAGS = ["0", "0.01", "0.05", "0.2"]
 LABELS = ["text", "paragraph_title", "table", "formula", ""]
 
 
+#: Kinds of blocks that lines are written as in turn, what goes before and behind the line, and the blank lines that count as the block's.
+MARKS = [
+    ("heading", "# x ", "", 0),
+    ("code_block", "    x ", "\n\n    y", 0),
+    ("paragraph", "x ", "\nsecond \"quoted\" line, isn't it? (We cannot) say: they'll wanna go -- 'tis $5.30... the end.", 0),
+    ("bullet_list", "- x ", "\n  more\n\n  again", 1),
+    ("blockquote", "> x ", "\nlazy", 0),
+    ("fence", "```\nx ", "\n\n- z\n```", 0),
+    ("ordered_list", "1. x ", "\n2. y", 1),
+    ("html_block", "<div>\nx ", "\n</div>", 0),
+    ("table", "| a | b |\n|---|---|\n| x ", " |", 0),
+    ("heading", "x ", "\n===", 0),
+    ("", "[r]: /u 'x ", "'", 0),
+]
+
+
 class Pages:
     """The derived tables of one ``sf_dir``, each a DataFrame."""
 
@@ -48,6 +64,17 @@ class Pages:
             (F.col("line_index") * 12 + 10).alias("y1"),
         )
 
+    @property
+    def marked(self) -> DataFrame:
+        """The pages' lines written as markdown blocks in turn, a blank line behind each."""
+        each = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(z).alias("z")) for _, a, z, _ in MARKS])
+        mark = F.element_at(each, (F.col("line_index") % len(MARKS) + 1).cast("int"))
+        # a quote would end a definition's title
+        bare = F.translate("content", "\r'", "  ")
+        body = F.concat(mark["a"], bare, mark["z"], F.lit("\n\n"))
+        page = self.lines.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("line_index", body.alias("body")))).alias("b"))
+        return page.select(*KEY, F.array_join("b.body", "").alias("markdown"))
+
     @property
     def blocks(self) -> DataFrame:
         g = self.lines.groupBy(*KEY, "block_index").agg(F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min("char_start").alias("start"), F.max(F.col("char_start") + F.length("content")).alias("end"))
@@ -137,6 +164,18 @@ class Pages:
         return n.join(self.pages.select(*KEY, "document"), KEY)
 
 
+def _text(value: str) -> str:
+    """A SQL string, with line feeds by their code."""
+    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+#: The marked lines and the nodes that they must give, by how they are put together.
+MARKED = f"""
+, marks AS (SELECT unnest([{", ".join(f"{{'kind': {_text(k)}, 'a': {_text(a)}, 'z': {_text(z)}, 'more': {n}}}" for k, a, z, n in MARKS)}]) AS m, unnest(range({len(MARKS)})) AS i),
+marked AS (SELECT doc_id, line_index, m.kind AS kind, m.a || translate(content, chr(13) || chr(39), '  ') || m.z AS body, m.more AS more FROM lines JOIN marks ON i = line_index % {len(MARKS)}),
+placed AS (SELECT *, coalesce(sum(length(body) + 2) OVER (PARTITION BY doc_id ORDER BY line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INTEGER AS start FROM marked),
+ast AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line_index) - 1)::INTEGER AS ast_index, kind AS type, start, (start + length(body) + 1 + more)::INTEGER AS "end", body || repeat(chr(10), 1 + more) AS t FROM placed WHERE kind <> '')"""
+
 SQL = """
 WITH pages AS (SELECT doc_id, 0 AS page_id, source AS document, text AS markdown FROM documents WHERE text IS NOT NULL),
 split AS (SELECT doc_id, page_id, string_split(markdown, chr(10)) AS l FROM pages),

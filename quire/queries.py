@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import text as T
+from .functions import treebank
 from .operators import align, corrupt, intervals, layout, scores, sequences
 from .operators.layout import KEY
-from .plans.model import SQL, TAGS, Pages
+from .plans.model import MARKED, SQL, TAGS, Pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -517,19 +518,45 @@ def corrupt_compat(p):
     return out.select("doc_id", "level", F.length("markdown").alias("n"), F.md5("markdown").alias("digest"))
 
 
-@query()
+@query(MARKED + ' SELECT doc_id, ast_index, type, start, "end" FROM ast')
 def markdown_ast(p):
-    return T.parse_pages(p.text).select("doc_id", "ast_index", "type", "start", "end", F.size("words").alias("words"))
+    return T.parse_pages(p.marked, "whitespace").drop("page_id", "words")
 
 
-@query()
+def _cascade(text: str) -> str:
+    """SQL of the Treebank rules on a text; a line feed may stand behind its end, and the one look-ahead is a group."""
+
+    def by(value: str, rules) -> str:
+        for pattern, parts in rules:
+            put = "".join(x if isinstance(x, str) else f"\\{x}" if isinstance(x, int) else x[0] for x in parts)
+            if pattern == r"([:,])$":
+                pattern, put = r"([:,])(\n?)$", put + r"\2"
+            if "(?=" in pattern:
+                pattern, put = pattern.replace(r"(?=\s))", r")(\s)"), put + r"\3"
+            value = "regexp_replace({}, '{}', '{}', 'g')".format(value, pattern.replace("'", "''"), put.replace("'", "''"))
+        return value
+
+    return by(f"' ' || {by(text, treebank.OPENING + treebank.PUNCTUATION)} || ' '", treebank.CLOSING + treebank.CONTRACTIONS)
+
+
+# words are found by their widths among the characters that are not blank; a quote has the width that it had in the text
+_TB = rf"""{MARKED}, tb AS (SELECT doc_id, ast_index, t, list_filter(regexp_split_to_array({_cascade("t")}, '\s+'), lambda x: x <> '') AS w, regexp_extract_all(t, '``|''''|"') AS q FROM ast),
+word AS (SELECT doc_id, ast_index, q, unnest(w) AS w, unnest(range(len(w))) AS k FROM tb),
+quoted AS (SELECT *, w IN ('``', chr(39) || chr(39), '"') AS is_quote, count(*) FILTER (w IN ('``', chr(39) || chr(39), '"')) OVER (PARTITION BY doc_id, ast_index ORDER BY k) AS nth FROM word),
+wide AS (SELECT *, CASE WHEN is_quote THEN length(q[nth]) ELSE length(w) END AS n FROM quoted),
+ends AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, ast_index ORDER BY k) AS z FROM wide),
+dark AS (SELECT doc_id, ast_index, list_filter(range(length(t)), lambda i: NOT regexp_matches(substr(t, i + 1, 1), '\s')) AS p FROM ast)
+SELECT a.doc_id, a.ast_index, p[(z - n + 1)::BIGINT]::INTEGER AS start, p[z::BIGINT]::INTEGER + 1 AS "end" FROM ends a JOIN dark f ON a.doc_id = f.doc_id AND a.ast_index = f.ast_index"""
+
+
+@query(_TB)
 def treebank_spans(p):
-    return T.parse_pages(p.text).select("doc_id", "ast_index", F.explode("words").alias("w")).select("doc_id", "ast_index", "w.start", "w.end")
+    return T.parse_pages(p.marked).select("doc_id", "ast_index", F.explode("words").alias("w")).select("doc_id", "ast_index", "w.start", "w.end")
 
 
-@query()
+@query(MARKED + " SELECT doc_id, ast_index, type, t AS markdown FROM ast")
 def ast_listing(p):
-    return T.parse_pages(p.text, "whitespace").join(p.text, KEY).select("doc_id", "ast_index", "type", T.slice_of("markdown", F.col("start"), F.col("end")).alias("markdown"))
+    return T.parse_pages(p.marked, "whitespace").join(p.marked, KEY).select("doc_id", "ast_index", "type", T.slice_of("markdown", F.col("start"), F.col("end")).alias("markdown"))
 
 
 _IMG = "'![f](fig_' || doc_id || '.png) <img alt=\"x\" src=\"a/b.png\"> ![g](https://e.org/x.png) ![h](/r.png)'"
@@ -628,23 +655,71 @@ def string_align(p):
     return p.lines.select("doc_id", "line_index", "content").mapInPandas(lambda it: map(run, it), "doc_id long, line_index int, k int, start int, end int")
 
 
-@query()
+def _located(p):
+    """The words of the lines with their places on the page."""
+    d = p.lines.select(*KEY, "line_index", "block_index", "char_start", F.split("content", "[^ \t]+", -1).alias("gaps"), F.posexplode(F.regexp_extract_all("content", F.lit("[^ \t]+"), F.lit(0))).alias("k", "w"))
+    to = F.sum(F.length("w") + F.length(F.get("gaps", F.col("k")))).over(Window.partitionBy(*KEY, "line_index").orderBy("k"))
+    end = (F.col("char_start") + to).cast("int")
+    return d.select(*KEY, "line_index", "block_index", (F.col("line_index").cast("long") * 1000000 + F.col("k")).alias("word_index"), (end - F.length("w")).alias("start"), end.alias("end"))
+
+
+_LOC = r""", wg AS (SELECT doc_id, line_index, block_index, char_start, regexp_extract_all(content, '[^ \t]+') AS w, string_split_regex(content, '[^ \t]+') AS g FROM lines),
+wk AS (SELECT *, unnest(range(len(w))) AS k FROM wg),
+loc AS (SELECT doc_id, line_index, block_index, line_index::BIGINT * 1000000 + k AS wi, length(w[k + 1]) AS n, char_start + sum(length(w[k + 1]) + length(g[k + 1])) OVER (PARTITION BY doc_id, line_index ORDER BY k) AS e FROM wk)"""
+
+
+@query(_LOC + """, rg AS (SELECT doc_id, block_index AS b, min(length(content)) // 2 AS least, max(length(content)) * 2 AS most FROM lines GROUP BY 1, 2),
+rw AS (SELECT r.doc_id, b, least, most, wi, e - n AS s, e, row_number() OVER (PARTITION BY r.doc_id, b ORDER BY wi) - 1 AS i FROM rg r JOIN loc w ON w.doc_id = r.doc_id AND w.block_index BETWEEN b AND b + 1)
+SELECT a.doc_id, 'block_' || a.b AS parent_id, a.wi AS word_index, greatest(f.i, a.i)::INTEGER AS first, l.i::INTEGER AS last
+FROM rw a ASOF JOIN rw f ON a.doc_id = f.doc_id AND a.b = f.b AND a.s + a.least <= f.e ASOF JOIN rw l ON a.doc_id = l.doc_id AND a.b = l.b AND a.s + a.most >= l.e WHERE greatest(f.i, a.i) <= l.i""")
+def word_bands(p):
+    """The window of candidate ends of each word, within the nodes of its block and the next, by the lengths of the block's lines."""
+    b = F.concat(F.lit("block_"), F.col("block_index").cast("string"))
+    window = align.length_window(p.lines.select(*KEY, b.alias("parent_id"), "content"))
+    at = p.lines.select(*KEY, b.alias("parent_id"), F.col("block_index").alias("ast_start"), (F.col("block_index") + 1).alias("ast_end")).distinct()
+    words = _located(p).withColumn("ast_index", F.col("block_index"))
+    return align.word_bands(words, window.join(at, [*KEY, "parent_id"])).select("doc_id", "parent_id", "word_index", "first", "last")
+
+
+def _line_nodes(p):
+    """A node for each line that is not empty, and blocks of four lines with the text that they span."""
+    full = p.lines.where("length(content) > 0")
+    nodes = full.select(*KEY, F.col("line_index").alias("ast_index"), F.col("char_start").alias("start"), (F.col("char_start") + F.length("content")).alias("end"))
+    b = F.concat(F.lit("block_"), F.col("block_index").cast("string"))
+    span = full.groupBy(*KEY, b.alias("node_id")).agg(F.min("char_start").alias("s"), F.max(F.col("char_start") + F.length("content")).alias("e"))
+    blocks = span.join(p.text, KEY).select(*KEY, "node_id", F.lit("block").alias("level_name"), F.lit(None).cast("string").alias("parent_id"), T.slice_of("markdown", F.col("s"), F.col("e")).alias("content"))
+    lines = full.select(*KEY, "node_id", F.lit("line").alias("level_name"), b.alias("parent_id"), "content")
+    return nodes, blocks.unionByName(lines)
+
+
+# each block is the text of four nodes; among blocks or ranges of equal text any may be matched, so texts are told
+@query(", sp AS (SELECT doc_id, block_index, min(char_start) AS s, max(char_start + length(content)) AS e FROM lines WHERE length(content) > 0 GROUP BY 1, 2) SELECT sp.doc_id, 'block_' || block_index AS node_id, substr(markdown, s + 1, e - s) AS markdown, 1.0::DOUBLE AS score FROM sp JOIN pages p ON sp.doc_id = p.doc_id")
 def block_alignment(p):
-    text = p.lines.groupBy(*KEY, F.concat(F.lit("block_"), F.col("block_index").cast("string")).alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("line_index", "content"))).getField("content"), "\n").alias("t"))
-    tree = layout.at_level(p.tree, "block").join(text, [*KEY, "node_id"]).withColumn("content", F.col("t")).drop("t")
-    return align.align_blocks(tree, p.nodes, p.text).select("doc_id", "node_id", "ast_start", "ast_end", F.round("score", 6).alias("score"))
+    nodes, tree = _line_nodes(p)
+    out = align.align_blocks(tree, nodes, p.text)
+    a, z = nodes.select(*KEY, F.col("ast_index").alias("ast_start"), "start"), nodes.select(*KEY, F.col("ast_index").alias("ast_end"), "end")
+    out = out.join(a, [*KEY, "ast_start"]).join(z, [*KEY, "ast_end"]).join(p.text, KEY)
+    return out.select("doc_id", "node_id", T.slice_of("markdown", F.col("start"), F.col("end")).alias("markdown"), F.round("score", 6).alias("score"))
 
 
-@query()
+# vectors are blind to case, and so is the result
+@query(" SELECT l.doc_id, l.node_id, lower(trim(content, ' ' || chr(9))) AS markdown, true AS whole FROM lines l WHERE regexp_matches(content, '[^ \\t]')")
 def tree_alignment(p):
-    text, s, words = _items(p)
-    block = F.concat(F.lit("block_"), F.expr("i div 2").cast("string"))
-    lines = s.select(*KEY, F.concat(F.lit("line_"), F.col("i").cast("string")).alias("node_id"), F.lit("line").alias("level_name"), block.alias("parent_id"), "content")
-    body = F.array_join(F.array_sort(F.collect_list(F.struct("i", "content"))).getField("content"), ". ")
-    blocks = s.groupBy(*KEY, block.alias("node_id")).agg(body.alias("content")).select(*KEY, "node_id", F.lit("block").alias("level_name"), F.lit(None).cast("string").alias("parent_id"), "content")
-    nodes = s.select(*KEY, F.col("i").alias("ast_index"), "start", "end")
-    _, out = align.align_tree(blocks.unionByName(lines), nodes, words, text)
-    return out.drop("page_id").withColumns(r6("score"))
+    """Lines matched within their matched blocks: the words that each line has, of score 1 where it has no blanks around them."""
+    nodes, tree = _line_nodes(p)
+    words = _located(p).withColumn("ast_index", F.col("line_index"))
+    _, out = align.align_tree(tree, nodes, words, p.text)
+    a, z = nodes.select(*KEY, F.col("ast_index").alias("ast_index_start"), F.col("start").alias("a")), nodes.select(*KEY, F.col("ast_index").alias("ast_index_end"), F.col("start").alias("z"))
+    out = out.join(a, [*KEY, "ast_index_start"]).join(z, [*KEY, "ast_index_end"]).join(p.text, KEY)
+    found = T.slice_of("markdown", F.col("a") + F.col("char_start"), F.col("z") + F.col("char_end") + 1)
+    return out.select("doc_id", "node_id", F.lower(found).alias("markdown"), (F.col("score") > 0.9).alias("whole"))
+
+
+@query(", parts AS (SELECT doc_id, noise, node_id, c0, c1, score, CASE noise WHEN '0' THEN 0 WHEN '0.01' THEN 3 WHEN '0.05' THEN 1 ELSE 2 END AS part FROM noise_lines) SELECT doc_id, node_id, arg_max(c0, part)::INTEGER AS char_start, arg_max(c1, part)::INTEGER AS char_end, arg_max(noise, part) AS noise FROM parts GROUP BY doc_id, node_id")
+def alignment_union(p):
+    """The alignment maps of four tags laid over each other in the order 0, 0.05, 0.2, 0.01."""
+    part = F.when(F.col("noise") == "0", 0).when(F.col("noise") == "0.01", 3).when(F.col("noise") == "0.05", 1).otherwise(2)
+    return align.merged_alignments(p.noise_lines.withColumn("part", part), "part").select("doc_id", "node_id", "char_start", "char_end", "noise")
 
 
 # Storage shapes and lookups
