@@ -797,14 +797,8 @@ def parsed_formulas(p):
 
 
 def _shared(p) -> str:
-    """The session's shared folder; a local session without one takes a temporary folder."""
-    at = p.spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        import tempfile
-
-        if not p.spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        at = "file://" + tempfile.mkdtemp(prefix="quire-")
+    """The session's shared folder; a local session without one takes a folder of its warehouse."""
+    at = p.spark.conf.get("spark.checkpoint.dir", None) or p.spark.conf.get("spark.sql.warehouse.dir")
     return at.rstrip("/")
 
 
@@ -830,7 +824,7 @@ def _store(p, *tables: str):
         "block_alignments": lambda: p.noise_blocks,
     }
     for name in tables:
-        store.write(name, made[name]())
+        store.write(name, made[name](), by=("noise",) if name in ("line_alignments", "block_alignments") else ())
     return store
 
 
@@ -880,6 +874,16 @@ def job_precision_recall(p):
     return jobs.summary(store)["precision_recall"].withColumns(r6("precision", "recall", "f1", "block_error"))
 
 
+@query("SELECT noise, count(*) AS n, round(sum(CASE WHEN noise = '0.2' AND doc_id % 3 = 0 THEN 1 - score ELSE score END), 6) AS score FROM noise_lines WHERE noise <> '0.2' OR doc_id % 3 <> 0 OR line_index % 2 = 0 GROUP BY noise")
+def job_replace(p):
+    """A store in which the pages of every third document are written anew under one tag, with half of their lines."""
+    store = _store(p, "text", "line_alignments")
+    pages = store.documents().where("doc_id % 3 = 0").select(*KEY, F.lit("0.2").alias("noise"))
+    new = store.read("line_alignments").where("noise = '0.2' and doc_id % 3 = 0 and line_index % 2 = 0").withColumn("score", 1 - F.col("score"))
+    store.write("line_alignments", new, True, ("noise",), pages)
+    return store.read("line_alignments").groupBy("noise").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("score"))
+
+
 @query()
 def job_corrupt(p):
     from . import jobs
