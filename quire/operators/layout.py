@@ -115,3 +115,11 @@ def largest_region(regions: DataFrame) -> DataFrame:
     """The region of largest area on each page, of equal ones the first."""
     best = F.max(F.struct(area().alias("area"), (-F.col("region_index")).alias("neg"), "node_id")).alias("m")
     return regions.groupBy(*KEY).agg(best).select(*KEY, F.col("m.node_id").alias("node_id"), F.col("m.area").alias("area"))
+
+
+def page_percent(boxes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Boxes in percent of their page: left, top, width, height; ``sizes`` has width and height of each page, one without extent gives nulls."""
+    part = lambda v, whole: F.when(F.col(whole) > 0, 100.0 * v / F.col(whole))
+    b = boxes.join(sizes.select(*KEY, F.col("width").alias("_w"), F.col("height").alias("_h")), KEY)
+    x, y = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    return b.withColumns({"left": part(F.col("x0"), "_w"), "top": part(F.col("y0"), "_h"), "width": part(x, "_w"), "height": part(y, "_h")}).drop("_w", "_h")

@@ -120,6 +120,12 @@ def box_scaling(p):
     return layout.at_level(p.tree, "line").select("doc_id", "node_id", F.round(100.0 * F.col("x0") / 1600, 6).alias("left_pct"), F.round(100.0 * F.col("x1") / 1600, 6).alias("right_pct"))
 
 
+@query(", sz AS (SELECT doc_id, max(x1) AS w, max(y1) AS h FROM regions GROUP BY doc_id) SELECT t.doc_id, node_id, round(100.0 * x0 / w, 6) AS \"left\", round(100.0 * y0 / h, 6) AS top, round(100.0 * (x1 - x0) / w, 6) AS width, round(100.0 * (y1 - y0) / h, 6) AS height FROM tree t JOIN sz ON t.doc_id = sz.doc_id WHERE level_name = 'block'")
+def box_percent(p):
+    sizes = p.regions.groupBy(*KEY).agg(F.max("x1").alias("width"), F.max("y1").alias("height"))
+    return layout.page_percent(layout.at_level(p.tree, "block"), sizes).select("doc_id", "node_id", *[F.round(c, 6).alias(c) for c in ("left", "top", "width", "height")])
+
+
 # Scores
 
 _BS = "SELECT b.doc_id, b.node_id AS block_id, CASE WHEN b.label = '' THEN 'unknown' ELSE b.label END AS block_label, coalesce(a.score, 0.0) AS score FROM blocks b LEFT JOIN block_alignments a ON b.doc_id = a.doc_id AND b.node_id = a.node_id"
@@ -247,9 +253,26 @@ def label_suffix(p):
     return p.scored_lines.groupBy("document").agg(T.label_suffix(F.collect_set("block_label")).alias("suffix"))
 
 
-@query("SELECT unnest(['0', '0.05', '0.2']) AS tag", model=False)
+@query("SELECT d.document, t.tag, t.tag IN (SELECT noise FROM scored s WHERE s.document = d.document) AS found FROM (SELECT DISTINCT document FROM scored) d, (SELECT unnest(['0', '0.05', '0.2', '0.3']) AS tag) t")
 def resolved_tags(p):
-    return p.spark.createDataFrame([(t,) for t in T.resolved_tags("20, 0.05,5", set())], "tag string")
+    """The tags that a list of levels asks for, and which of them each document has alignments of."""
+    found = p.scored_lines.groupBy("document").agg(F.collect_set("noise").alias("held"))
+    asked = F.explode(F.array(*[F.lit(t) for t in T.resolved_tags("20, 0.05,5,30", set())])).alias("tag")
+    return found.select("document", "held", asked).select("document", "tag", F.array_contains("held", F.col("tag")).alias("found"))
+
+
+@query("SELECT document, (row_number() OVER (PARTITION BY document ORDER BY noise::DOUBLE) - 1)::INTEGER AS pos, noise AS tag FROM (SELECT DISTINCT document, noise FROM scored)")
+def document_tags(p):
+    """The tags that each document has alignments of, in numeric order."""
+    tags = F.sort_array(F.collect_set(F.struct(F.col("noise").cast("double").alias("at"), "noise")))
+    return p.scored_lines.groupBy("document").agg(tags.alias("t")).select("document", F.posexplode("t.noise").alias("pos", "tag"))
+
+
+@query("SELECT document, inline, CASE WHEN len(t) <= inline THEN 'noise levels: ' || array_to_string(t, ', ') ELSE len(t) || ' noise levels (' || t[1] || '–' || t[-1] || ')' END AS subtitle FROM (SELECT document, list(noise ORDER BY noise::DOUBLE) AS t FROM (SELECT DISTINCT document, noise FROM scored) GROUP BY document), (SELECT unnest([3, 8]) AS inline)")
+def noise_subtitles(p):
+    tags = F.sort_array(F.collect_set(F.struct(F.col("noise").cast("double").alias("at"), "noise")))
+    held = p.scored_lines.groupBy("document").agg(tags.alias("t")).select("document", F.col("t.noise").alias("t"), F.explode(F.array(F.lit(3), F.lit(8))).alias("inline"))
+    return held.select("document", "inline", F.when(F.col("inline") == 3, T.noise_subtitle(F.col("t"), 3)).otherwise(T.noise_subtitle(F.col("t"))).alias("subtitle"))
 
 
 # Precision and recall
@@ -374,7 +397,7 @@ def embedding_topk(p):
 
 
 # embedding_topk ranks the pairs of its SQL only: one label, larger ids
-@query()
+@query("SELECT a, b, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM (SELECT x.vec_id AS a, y.vec_id AS b, round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 9) AS score FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE x.vec_id % 100 = 0)) WHERE rank <= 3", model=False)
 def embedding_search(p):
     """The three nearest of all other vectors for each vec_id divisible by 100."""
     return align.nearest(_vectors(p), F.col("vec_id") % 100 == 0, 3).withColumns(r6("score"))
@@ -582,25 +605,29 @@ def dollar_spacing(p):
     return p.pages.select("doc_id", T.dollar_spacing(F.concat(F.lit("a$x$ b $y "), F.col("document"))).alias("markdown"))
 
 
-# the rewrites over whole texts, each with cases of its own behind; RE2 has no look-around
+# the rewrites over whole texts, each with cases of its own behind
 _CASES = '\n![f](fig.png) <img alt="x" src=\'a/b.png\'> ![g](https://e.org/x.png) ![h](/r.png) a$x$ b $y \\$z'
 
 
+_MD = "(SELECT doc_id, markdown || chr(10) || '![f](fig.png) <img alt=\"x\" src=''a/b.png''> ![g](https://e.org/x.png) ![h](/r.png) a$x$ b $y \\$z' AS md FROM pages)"
+
+
 def _with_cases(p):
     return p.pages.select("doc_id", F.concat("markdown", F.lit(_CASES)).alias("md"))
 
 
-@query()
+# every target gets a mark, those with an address or a rooted path lose it, and the mark becomes the base
+@query(f" SELECT doc_id, replace(regexp_replace(regexp_replace(regexp_replace(md, '(!\\[[^\\]]*\\]\\()([^)]+\\))', '\\1' || chr(1) || '\\2', 'g'), '(<img\\s[^>]*src=[\"''])([^\"'']+[\"''])', '\\1' || chr(1) || '\\2', 'gi'), chr(1) || '(https?://|/)', '\\1', 'g'), chr(1), '/api/p/0/') AS markdown FROM {_MD}")
 def page_image_urls(p):
     return _with_cases(p).select("doc_id", T.image_urls(F.col("md"), "/api/p/0/").alias("markdown"))
 
 
-@query()
+@query(f" SELECT doc_id, regexp_replace(md, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', '<img src=\"\\2\" alt=\"\\1\">', 'g') AS markdown FROM {_MD}")
 def page_image_tags(p):
     return _with_cases(p).select("doc_id", T.image_tags(F.col("md")).alias("markdown"))
 
 
-@query()
+@query(f" SELECT doc_id, regexp_replace(md, '([^$\\s\\x0B\\\\])\\$', '\\1 $', 'g') AS markdown FROM {_MD}")
 def page_dollar_spacing(p):
     return _with_cases(p).select("doc_id", T.dollar_spacing(F.col("md")).alias("markdown"))
 
