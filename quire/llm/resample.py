@@ -8,7 +8,9 @@ weighted draw without replacement.
 
 Texts are taken in blocks of about ``BLOCK`` bytes, so what is shuffled are the distinct strings of a block with their
 counts, sorted and compressed, dealt to parts by a hash: a string that is in every document costs a part one entry a block.
-A part is the dictionary of its strings; parts grow in number with the text.  The buckets of a part's
+A part is the dictionary of its strings; parts grow in number with the text.  Pairs go by their first word, whose pairs
+then compress together, and those of words that a sample finds frequent by both words; where a string goes
+decides nothing but the plan.  The buckets of a part's
 strings return to the blocks that hold them in the order in which they came.  Only the ``BUCKETS`` gains go through the
 driver.  Tables that cut lineage are written to the shared folder.
 
@@ -38,15 +40,18 @@ SEED = 7
 #: Percent of the documents of at least ``LEAST`` words that are drawn.
 SHARE, LEAST = 25, 20
 #: Bytes of text in a block, and characters of text for each part of the dictionary.
-BLOCK, PART = 8 << 20, 16 << 20
+BLOCK, PART = 16 << 20, 8 << 20
+#: Characters of the sample that frequent words are taken from; a word is frequent that has a quarter of a part's share of it.
+SAMPLE = 4 << 20
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return _zip(np.ascontiguousarray(a).tobytes())
+    """Numbers compressed byte by byte: all lowest bytes first."""
+    return _zip(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes())
 
 
-def _zip(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+def _zip(raw: bytes, level: int = 3) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def _raw(blob: bytes) -> bytes:
@@ -54,7 +59,7 @@ def _raw(blob: bytes) -> bytes:
 
 
 def _unpack(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(_raw(blob), kind)
+    return np.ascontiguousarray(np.frombuffer(_raw(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -65,67 +70,96 @@ def _numbered(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
 class Counted:
     """The features of a block of texts: strings by part, and counts of each document by place in that order."""
 
-    def __init__(self, texts: pa.Array, parts: int):
-        whole = next(kernel.blocks(texts, 1 << 62))
-        inside = kernel.WORDY[whole.data]
-        w = kernel.runs(inside, whole.offsets)
-        self.words = np.diff(w.first)
-        doc = np.repeat(np.arange(len(self.words)), self.words)
-        to = np.concatenate([[0], np.cumsum(w.end - w.start)])
-        letters = kernel.LOWER[whole.data[inside]]
-        codes, known = _numbered(pa.LargeStringArray.from_buffers(len(w.start), pa.py_buffer(to.astype(np.int64)), pa.py_buffer(letters)))
-        # codes in the order of the words, so that strings of features come sorted
-        order = pc.sort_indices(known).to_numpy()
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        known, codes, base = known.take(pa.array(order)), rank[codes], len(order) + 1
+    def __init__(self, texts: pa.Array, parts: int, frequent: pa.Array):
+        doc, codes, known = self._words(texts)
         pair = np.flatnonzero(doc[1:] == doc[:-1])
-        keys = np.concatenate([codes * base, codes[pair] * base + codes[pair + 1] + 1])
-        at, kinds = _numbered(pa.array(keys))
-        kinds = kinds.to_numpy(zero_copy_only=False)
-        a, b = kinds // base, kinds % base - 1
-        part = self._parts(known, a, b, parts)
+        base = len(known) + 1
+        keys = np.empty(len(codes) + len(pair), np.int64)
+        np.multiply(codes, base, out=keys[: len(codes)], dtype=np.int64)
+        keys[len(codes) :] = keys[pair] + codes[pair + 1] + 1
+        coded = pa.array(keys).dictionary_encode()
+        at, kinds = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        del keys, codes, coded
+        part = self._parts(known, (kinds // base).astype(np.int32), (kinds % base).astype(np.int32) - 1, parts, frequent)
         order = np.lexsort((kinds, part))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        kinds, part, distinct = kinds[order], part[order], max(1, len(kinds))
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
         at = place[at]
-        second = pa.array(np.maximum(b[order], 0), mask=b[order] < 0)
-        strings = pc.binary_join_element_wise(known.take(pa.array(a[order])), known.take(second), pa.scalar(" ", pa.large_string()), null_handling="skip")
-        count = np.bincount(at, minlength=len(order)) if len(at) else np.zeros(0, np.int64)
-        self.part, first = np.unique(part[order], return_index=True)
-        edge = np.concatenate([first, [len(order)]]).astype(np.int64)
-        joined = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(edge), strings), pa.scalar("\n", pa.large_string()))
-        self.rows = [(int(p), _zip(s.as_py().encode()), _pack(count[x:y].astype(np.int64))) for p, s, x, y in zip(self.part, joined, edge, edge[1:], strict=False)]
+        del order, place
+        count = np.bincount(at, minlength=len(kinds)).astype(np.int32)
+        edge = np.searchsorted(part, np.arange(parts + 1))
+        self.rows = []
+        for p in np.flatnonzero(edge[1:] > edge[:-1]).tolist():
+            own = kinds[edge[p] : edge[p + 1]]
+            second = own % base - 1
+            strings = pc.binary_join_element_wise(known.take(pa.array(own // base)), known.take(pa.array(np.maximum(second, 0), mask=second < 0)), pa.scalar(" ", pa.large_string()), null_handling="skip")
+            text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(own)], pa.int64()), strings), pa.scalar("\n", pa.large_string()))[0].as_py()
+            self.rows.append((p, _zip(text.encode(), 9), _pack(count[edge[p] : edge[p + 1]])))
+        del kinds, part
         # places of each document in order, with how often each is there
-        both = np.sort(np.concatenate([doc, doc[pair]]) * max(1, len(order)) + at)
-        new = np.concatenate([[True], both[1:] != both[:-1]]) if len(both) else np.zeros(0, bool)
-        start = np.flatnonzero(new)
-        times = np.diff(np.concatenate([start, [len(both)]]))
-        held = both[start]
-        of, held = held // max(1, len(order)), held % max(1, len(order))
+        both = np.concatenate([doc, doc[pair]]).astype(np.int64)
+        del doc, pair
+        both *= distinct
+        both += at
+        del at
+        both.sort()
+        start = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+        times = np.diff(np.append(start, len(both))).astype(np.int32)
+        both = both[start]
+        of, held = (both // distinct).astype(np.int32), (both % distinct).astype(np.int32)
         self.size = np.bincount(of, minlength=len(self.words))
-        fresh = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else new
-        self.counts = _pack(np.where(fresh, held, np.diff(held, prepend=0)).astype(np.int32)), _pack(times.astype(np.int32))
+        gap = np.diff(held, prepend=np.int32(0))
+        fresh = np.concatenate([[True], of[1:] != of[:-1]]) if len(of) else np.zeros(0, bool)
+        gap[fresh] = held[fresh]
+        self.counts = _pack(gap), _pack(times)
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Document and number of each word, and the words by number, in order."""
+        whole = next(kernel.blocks(texts, 1 << 62))
+        inside = kernel.WORDY[whole.data]
+        w = kernel.runs(inside, whole.offsets)
+        self.words = np.diff(w.first)
+        to = np.zeros(len(w.start) + 1, np.int64)
+        np.cumsum(w.end - w.start, out=to[1:])
+        letters = kernel.LOWER[whole.data[inside]]
+        coded = pa.LargeStringArray.from_buffers(len(w.start), pa.py_buffer(to), pa.py_buffer(letters)).dictionary_encode()
+        # numbers in the order of the words, so that strings of features come sorted
+        order = pc.sort_indices(coded.dictionary)
+        rank = np.empty(len(order), np.int32)
+        rank[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+        doc = np.repeat(np.arange(len(self.words), dtype=np.int32), self.words)
+        return doc, rank[coded.indices.to_numpy()], coded.dictionary.take(order)
 
     @staticmethod
-    def _parts(known: pa.Array, a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
-        """The part of each feature, by hashes of its words."""
+    def _parts(known: pa.Array, a: np.ndarray, b: np.ndarray, parts: int, frequent: pa.Array) -> np.ndarray:
+        """The part of each feature, by the hash of its first word, and of its second word where the first is frequent."""
         if not len(a):
             return np.zeros(0, np.int64)
         off = np.frombuffer(known.buffers()[1], np.int64)[known.offset : known.offset + len(known) + 1]
         raw = known.buffers()[2]
         data = np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8)
         h = np.concatenate([kernel.hashes(data, off[:-1], off[1:]), np.zeros(1, np.uint64)])
-        return (kernel.mix(h[a] * np.uint64(kernel.BASE) + h[b]) % np.uint64(parts)).astype(np.int64)
+        both = np.array(pc.is_in(known, frequent), bool)[a]
+        return (kernel.mix(h[a] * np.uint64(kernel.BASE) + np.where(both, h[b], np.uint64(0))) % np.uint64(parts)).astype(np.int64)
 
 
 BLOCKS = "kind int, block string, side int, part int, features binary, counts binary, ids binary, words binary, size binary, held binary, times binary"
 
 
-def blocks(docs: DataFrame, parts: int, side: int, with_documents: bool) -> DataFrame:
+def frequent_words(docs: DataFrame, chars: int, parts: int) -> list[str]:
+    """Words of at least a quarter of a part's share of a sample: at most four for each part."""
+    part = docs.sample(min(1.0, SAMPLE / max(1, chars)), SEED)
+    lower = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = part.select(F.explode(F.regexp_extract_all(lower, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    return [r.w for r in words.where(F.col("n") * 4 * parts >= total).collect()]
+
+
+def blocks(docs: DataFrame, parts: int, side: int, with_documents: bool, frequent: list[str] | None = None) -> DataFrame:
     """Rows of kind 1, the strings of a block and part with their counts, and if asked a row of kind 0 for each block: the counts of its documents."""
 
-    limit = BLOCK
+    limit, hot = BLOCK, list(frequent or [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -133,7 +167,7 @@ def blocks(docs: DataFrame, parts: int, side: int, with_documents: bool) -> Data
 
         def flush() -> Iterator[pa.RecordBatch]:
             rows = pa.Table.from_batches(held).combine_chunks()
-            made, name = Counted(rows.column(1).chunk(0), parts), uuid.uuid4().hex
+            made, name = Counted(rows.column(1).chunk(0), parts, pa.array(hot, pa.large_string())), uuid.uuid4().hex
             for p, features, counts in made.rows:
                 yield _row(kind=1, block=name, side=side, part=p, features=features, counts=counts)
             if with_documents:
@@ -169,10 +203,10 @@ def dictionary(rows: DataFrame, n_buckets: int) -> DataFrame:
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         texts = [pc.split_pattern(pa.array([_raw(f).decode()], pa.large_string()), "\n").flatten() for f in pdf["features"]]
-        counts = [_unpack(c, np.int64) for c in pdf["counts"]]
+        counts = [_unpack(c, np.int32) for c in pdf["counts"]]
         codes, strings = _numbered(pa.chunked_array(texts).combine_chunks())
         # the one place where strings are hashed
-        bucket = np.fromiter((zlib.crc32(s.encode()) % n_buckets for s in strings.to_pylist()), np.int64, len(strings))
+        bucket = np.fromiter((zlib.crc32(s.as_py().encode()) % n_buckets for s in strings), np.int64, len(strings))
         totals, out, at = [np.zeros(n_buckets, np.int64), np.zeros(n_buckets, np.int64)], [], 0
         for block, side, count in zip(pdf["block"], pdf["side"], counts, strict=True):
             own = bucket[codes[at : at + len(count)]]
@@ -260,7 +294,8 @@ def resampled(docs: DataFrame, target: DataFrame, seed: int = SEED, share: int =
     docs, target = docs.select("doc_id", "text"), target.select(target.columns[0], "text")
     chars = sum(d.agg(F.coalesce(F.sum(F.length(F.col("text").cast("string"))), F.lit(0))).first()[0] for d in (docs, target))
     parts = 1 + chars // PART
-    made = blocks(docs, parts, 0, True).unionByName(blocks(target, parts, 1, False))
+    frequent = frequent_words(docs, chars, parts)
+    made = blocks(docs, parts, 0, True, frequent).unionByName(blocks(target, parts, 1, False, frequent))
     made.write.partitionBy("kind").option("compression", "zstd").parquet(scratch.path("blocks"))
     kinds = ", ".join(c for c in BLOCKS.split(", ") if c != "kind int")
     read = lambda kind: spark.read.schema(kinds).parquet(f"{scratch.path('blocks')}/kind={kind}") if _there(scratch, f"blocks/kind={kind}") else spark.createDataFrame([], kinds)
