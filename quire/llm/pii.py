@@ -23,6 +23,8 @@ exclusive.  Other columns are passed through or ignored, whatever their names; n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,10 +63,30 @@ def _valid(kind: str, m: Column) -> Column:
     return F.when(F.length(digits).between(16, 19), total % 10 == 0).otherwise(False)
 
 
-def _spans(kind: str, text: Column, found: Column, pattern: str) -> Column:
-    """Spans of the matches ``found`` in order: lengths of the pieces between them give their places."""
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+#: Spans that one array grows by; a longer list is worked out in runs of so many, each from where the one before ends.
+RUN = 128
+
+
+def _runs(n: Column) -> Column:
+    """The first places of the runs of n items."""
+    return F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1, F.lit(RUN))
+
+
+def _of_run(a: Column, n: Column) -> Column:
+    return F.sequence(a, F.least(a + RUN, n) - 1)
+
+
+def _carried(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What the values before each one come to, from 0 on; a value a run, so the array is short."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, start, lambda acc, v: F.struct(join(acc["at"], v).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def _spans(kind: str, gaps: Column, found: Column) -> Column:
+    """Spans of the matches ``found`` in order: lengths of the pieces between them, ``gaps``, give their places."""
+    n = F.size(found)
+    width = lambda i: F.length(F.get(gaps, i)) + F.length(F.get(found, i))
+    totals = F.transform(_runs(n), lambda a: F.aggregate(_of_run(a, n), F.lit(0), lambda t, i: t + width(i)))
 
     def step(acc: Column, i: Column) -> Column:
         m = F.get(found, i)
@@ -73,8 +95,11 @@ def _spans(kind: str, text: Column, found: Column, pattern: str) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), m.alias("value"))
         return F.struct(end.alias("at"), F.when(_valid(kind, m), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    every = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
-    return F.when(F.size(found) > 0, every).otherwise(F.array().cast(SPAN))
+    def run(x: Column) -> Column:
+        return F.aggregate(_of_run(x["a"], n), F.struct(x["at"].alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+
+    each = F.arrays_zip(_runs(n).alias("a"), _carried(totals, lambda at, v: at + v).alias("at"))
+    return F.when(n > 0, F.flatten(F.transform(each, run))).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -90,8 +115,11 @@ def base_spans(docs: DataFrame) -> DataFrame:
     # cards: only texts with a run of 16 digits are cut at their matches
     long_run = F.exists("m_card", lambda m: F.length(m) >= 16)
     d = d.withColumn("m_card", F.when(long_run, F.col("m_card")).otherwise(none))
+    # a text without matches is not cut; the pieces are a column, as a function of them would cut the text for each
     for kind, (pattern, _) in PATTERNS.items():
-        d = d.withColumn(f"s_{kind}", _spans(kind, F.col("text"), F.col(f"m_{kind}"), pattern))
+        d = d.withColumn(f"g_{kind}", F.when(F.size(f"m_{kind}") > 0, F.split("text", pattern, -1)).otherwise(none))
+    for kind in PATTERNS:
+        d = d.withColumn(f"s_{kind}", _spans(kind, F.col(f"g_{kind}"), F.col(f"m_{kind}")))
     return d.select("doc_id", "h", "given", "text", F.concat(*[F.col(f"s_{k}") for k in KINDS]).alias("spans"))
 
 
@@ -193,17 +221,34 @@ def personal_data(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.concat("base", "terms")).alias("spans"))
 
 
-def generalise(text: Column, spans: Column) -> Column:
-    """The text with each span, or overlapping group of spans, replaced by the kind of its first, in brackets."""
-    order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def generalised(docs: DataFrame, text: str, spans: str) -> DataFrame:
+    """The column ``text`` with each of its ``spans``, or overlapping group of them, replaced by the kind of its first, in brackets.
+
+    The text is taken apart as code points of four bytes, where a place is found without counting characters.
+    """
+    order, code, n = f"__{text}_order", f"__{text}_code", F.size(f"__{text}_order")
+    listed_ = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    d = docs.withColumns({order: listed_, code: F.when(F.size(spans) > 0, F.encode(text, "UTF-32"))})
+    at = lambda i: F.get(order, i)
+    furthest = F.transform(_runs(n), lambda a: F.aggregate(_of_run(a, n), F.lit(0), lambda t, i: F.greatest(t, at(i)["end"])))
+    kind = "array<struct<at:int,start:int,kind:string>>"
+
+    def step(acc: Column, i: Column) -> Column:
+        s = at(i)
+        mark = F.struct(acc["at"].alias("at"), s["start"].alias("start"), s["kind"].alias("kind"))
+        # a span that begins before the one before it ends goes with that
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(mark))).otherwise(acc["out"]).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
+    def run(x: Column) -> Column:
+        return F.aggregate(_of_run(x["a"], n), F.struct(x["at"].alias("at"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
 
-    rest = F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, rest).otherwise(text)
+    each = F.arrays_zip(_runs(n).alias("a"), _carried(furthest, F.greatest).alias("at"))
+    # a mark before the bytes, as a text may begin with the character that is one
+    cut = lambda a, many: F.decode(F.concat(F.lit(bytes([0, 0, 0xFE, 0xFF])), F.substring(code, 4 * a + 1, 4 * many)), "UTF-32")
+    pieces = F.transform(F.flatten(F.transform(each, run)), lambda m: F.concat(cut(m["at"], m["start"] - m["at"]), F.lit("["), F.upper(m["kind"]), F.lit("]")))
+    last = F.aggregate(F.col(order), F.lit(0), lambda t, s: F.greatest(t, s["end"]))
+    rest = cut(last, F.greatest(F.length(text) - last, F.lit(0)))
+    return d.withColumn(text, F.when(F.col(code).isNotNull(), F.concat(F.array_join(pieces, ""), rest)).otherwise(F.col(text))).drop(order, code)
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
@@ -212,7 +257,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     found = found.select(F.col("doc_id").alias("__pii_i"), F.col("h").alias("__pii_g"), F.concat("base", "terms").alias("__pii_spans"))
     keyed = docs.withColumns({"__pii_id": F.col("doc_id").cast("long"), "__pii_h": F.xxhash64(F.coalesce("text", F.lit("")))})
     out = keyed.join(found, F.col("__pii_id").eqNullSafe(F.col("__pii_i")) & (F.col("__pii_h") == F.col("__pii_g")), "left")
-    out = out.withColumn("text", F.when(F.col("__pii_spans").isNotNull(), generalise(F.col("text"), F.col("__pii_spans"))).otherwise(F.col("text")))
+    out = generalised(out, "text", "__pii_spans")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
     return out.drop("__pii_id", "__pii_h", "__pii_i", "__pii_g", "__pii_spans")
