@@ -749,6 +749,46 @@ def alignment_union(p):
     return align.merged_alignments(p.noise_lines.withColumn("part", part), "part").select("doc_id", "node_id", "char_start", "char_end", "noise")
 
 
+# Table functions in SQL
+
+
+def _views(p, **tables) -> dict[str, str]:
+    """The session with the table functions, and views of tables by names of their own."""
+    import uuid
+
+    from .functions import table_functions
+
+    table_functions.register(p.spark)
+    names = {}
+    for name, df in tables.items():
+        names[name] = f"{name}_{uuid.uuid4().hex}"
+        df.createOrReplaceTempView(names[name])
+    return names
+
+
+@query(MARKED + ' SELECT doc_id, ast_index, type, start, "end" FROM ast')
+def sql_markdown_blocks(p):
+    v = _views(p, pages=p.marked)
+    return p.spark.sql(f"SELECT p.doc_id, b.* FROM {v['pages']} p, LATERAL markdown_blocks(p.markdown) b")
+
+
+@query("SELECT a.doc_id, a.ast_index AS ast_start, b.ast_index AS ast_end, a.s AS start, b.e AS \"end\" FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND b.ast_index >= a.ast_index")
+def sql_node_ranges(p):
+    v = _views(p, nodes=p.nodes)
+    return p.spark.sql(f"SELECT doc_id, ast_start, ast_end, start, `end` FROM node_ranges(TABLE({v['nodes']}))")
+
+
+@query(ORACLE_SQL["word_bands"], model=False)
+def sql_word_windows(p):
+    """The rows of ``word_bands``, by the table function."""
+    b = F.concat(F.lit("block_"), F.col("block_index").cast("string"))
+    window = align.length_window(p.lines.select(*KEY, b.alias("parent_id"), "content"))
+    blocks = p.lines.select(*KEY, "block_index", b.alias("parent_id")).distinct().join(window, [*KEY, "parent_id"])
+    words = _located(p).withColumnRenamed("block_index", "own").join(blocks, KEY).where("own between block_index and block_index + 1")
+    v = _views(p, words=words.select(*KEY, "parent_id", "word_index", "start", "end", "least", "most"))
+    return p.spark.sql(f"SELECT doc_id, parent_id, word_index, first, last FROM word_windows(TABLE({v['words']}))")
+
+
 # Storage shapes and lookups
 
 
