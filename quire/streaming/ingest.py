@@ -1,7 +1,6 @@
 """Incremental ingest of page tables: a file-source stream into a partitioned store.
 
-The reference processing is batch with skip-if-exists; as a stream, files that were seen are never
-read again, and pages that the store already has are skipped unless ``overwrite``.
+Files that were seen are never read again, and pages that the store already has are skipped, or with ``overwrite`` replaced.
 """
 
 from __future__ import annotations
