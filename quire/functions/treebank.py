@@ -1,8 +1,7 @@
 """Treebank words of a text as spans: ordered rewrites that set words apart, with a map back to the source.
 
-Every rule puts blanks around parts of what it matches, and two write a double quote as a pair of other quotes.
-A rewritten text carries for each of its characters the place it came from, so that the spans of its words are
-places of the source.
+Every rule puts blanks around parts of what it matches, and some write a double quote, or a pair of quotes, as a pair of
+others.  Nothing else changes, so the words of the rewritten text are found in the source one behind the other.
 """
 
 from __future__ import annotations
@@ -37,46 +36,41 @@ PAIRS = [("can", r"not\b"), ("d", r"'ye\b"), ("gim", r"me\b"), ("gon", r"na\b"),
 CONTRACTIONS = [(rf"(?i)\b({a})({b})", [" ", 1, " ", 2, " "]) for a, b in PAIRS]
 CONTRACTIONS += [(rf"(?i) ('t)({b})\b", [" ", 1, " ", 2, " "]) for b in ("is", "was")]
 
-_BEFORE = [(re.compile(p), r) for p, r in OPENING + PUNCTUATION]
-_AFTER = [(re.compile(p), r) for p, r in CLOSING + CONTRACTIONS]
 
 
-def _rewritten(text: str, source: list[int], pattern: re.Pattern, parts: list) -> tuple[str, list[int]]:
-    """A text and its places after one rule."""
-    out: list[str] = []
-    places: list[int] = []
-    at = 0
-    for m in pattern.finditer(text):
-        out.append(text[at : m.start()])
-        places += source[at : m.start()]
-        for part in parts:
-            if part == " ":
-                out.append(" ")
-                places.append(-1)
-            elif isinstance(part, int):
-                a, b = m.span(part)
-                out.append(text[a:b])
-                places += source[a:b]
-            else:
-                # the first character of the new quote stands where the old one begins, the last where it ends
-                a, b = m.span(part[1])
-                out.append(part[0])
-                places += [source[a], source[b - 1]]
-        at = m.end()
-    if not out:
-        return text, source
-    out.append(text[at:])
-    places += source[at:]
-    return "".join(out), places
+def _rules(listed: list) -> list[tuple[re.Pattern, str]]:
+    put = lambda x: x if isinstance(x, str) else rf"\g<{x}>" if isinstance(x, int) else x[0]
+    return [(re.compile(pattern), "".join(map(put, parts))) for pattern, parts in listed]
+
+
+_BEFORE, _AFTER = _rules(OPENING + PUNCTUATION), _rules(CLOSING + CONTRACTIONS)
+
+
+def _end(text: str, at: int, word: str) -> int:
+    """Where a word that begins at a place of the source ends; a pair of quotes may stand for a double quote, or for another pair."""
+    i = 0
+    while i < len(word):
+        pair = word[i : i + 2] in ("``", "''")
+        i += 2 if pair else 1
+        at += 2 if pair and text[at] != '"' else 1
+    return at
 
 
 def treebank_spans(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of the Treebank words of a text, in order; null and empty texts have none."""
     text = text or ""
-    source = list(range(len(text)))
-    for pattern, parts in _BEFORE:
-        text, source = _rewritten(text, source, pattern, parts)
-    text, source = f" {text} ", [-1, *source, -1]
-    for pattern, parts in _AFTER:
-        text, source = _rewritten(text, source, pattern, parts)
-    return [(source[m.start()], source[m.end() - 1] + 1) for m in re.finditer(r"\S+", text)]
+    new = text
+    for pattern, put in _BEFORE:
+        new = pattern.sub(put, new)
+    new = f" {new} "
+    for pattern, put in _AFTER:
+        new = pattern.sub(put, new)
+    spans, at = [], 0
+    for word in new.split():
+        # words are the text's characters in order, less its white space
+        while text[at].isspace():
+            at += 1
+        end = at + len(word) if text.startswith(word, at) else _end(text, at, word)
+        spans.append((at, end))
+        at = end
+    return spans
