@@ -10,8 +10,12 @@ from .layout import KEY
 
 
 def merge_intervals(df: DataFrame, by: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Union of each group's intervals; touching ones merge."""
-    w = Window.partitionBy(*by).orderBy(start, end)
+    """Union of each group's intervals; touching ones merge.
+
+    Equal rows may come in any order: both windows are of one sort.  Rows without a start come last and open a range only
+    where the group has no other.
+    """
+    w = Window.partitionBy(*by).orderBy(F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last())
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("_new", F.when(before.isNull() | (F.col(start) > before), 1).otherwise(0))
     marked = marked.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

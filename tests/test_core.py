@@ -395,3 +395,16 @@ def test_entry_imports(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_merged_intervals_with_nulls_and_equal_rows(spark, tmp_path):
+    """Rows without an interval open no range beside others, as in SQL; of equal rows the SQL leaves the order open, the union does not."""
+    rows = [(1, None), (1, 3), (1, 28), (2, None), (2, None), (None, 7), (None, None)]
+    spark.createDataFrame(rows, "user_id long, event_id long").withColumn("value", F.lit(0.0)).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = Q.QUERIES["merge_intervals"](spark, str(tmp_path)).select("user_id", "start", "end").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(Q.ORACLE_SQL["merge_intervals"]).fetchall()))
+    many = spark.createDataFrame([(1, a, a + n) for a, n in [(0, 2), (4, 0), (6, 3), (9, 0)] for _ in range(500)], "k int, start int, end int")
+    assert sorted((r.start, r.end) for r in intervals.merge_intervals(many.repartition(8), ["k"]).collect()) == [(0, 2), (4, 4), (6, 9)]
