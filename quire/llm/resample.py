@@ -41,6 +41,8 @@ SEED = 7
 SHARE, LEAST = 25, 20
 #: Bytes of text in a block, and characters of text for each part of the dictionary.
 BLOCK, PART = 16 << 20, 8 << 20
+#: Parts in which the pairs of a block are told apart, and counts of features that are weighed together.
+SLICES, WEIGHED = 8, 1 << 19
 #: Characters of the sample that frequent words are taken from; a word is frequent that has a quarter of a part's share of it.
 SAMPLE = 4 << 20
 
@@ -74,12 +76,8 @@ class Counted:
         doc, codes, known = self._words(texts)
         pair = np.flatnonzero(doc[1:] == doc[:-1])
         base = len(known) + 1
-        keys = np.empty(len(codes) + len(pair), np.int64)
-        np.multiply(codes, base, out=keys[: len(codes)], dtype=np.int64)
-        keys[len(codes) :] = keys[pair] + codes[pair + 1] + 1
-        coded = pa.array(keys).dictionary_encode()
-        at, kinds = coded.indices.to_numpy(), coded.dictionary.to_numpy()
-        del keys, codes, coded
+        at, kinds = self._kinds(codes, pair, base)
+        del codes
         part = self._parts(known, (kinds // base).astype(np.int32), (kinds % base).astype(np.int32) - 1, parts, frequent)
         order = np.lexsort((kinds, part))
         kinds, part, distinct = kinds[order], part[order], max(1, len(kinds))
@@ -114,6 +112,25 @@ class Counted:
         gap[fresh] = held[fresh]
         self.counts = _pack(gap), _pack(times)
 
+    @staticmethod
+    def _kinds(codes: np.ndarray, pair: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+        """The kind of each word and of each pair, and the kinds: ``base`` times the first word, plus one more than the second if there is one.
+
+        Words are kinds as they are; pairs are told apart in slices, so that the table of one is small.
+        """
+        at = np.empty(len(codes) + len(pair), np.int32)
+        at[: len(codes)] = codes
+        kinds, n = [np.arange(base - 1, dtype=np.int64) * base], base - 1
+        slices = (codes[pair] + codes[pair + 1]) % SLICES
+        for k in range(SLICES):
+            own = np.flatnonzero(slices == k)
+            first = pair[own]
+            coded = pa.array(codes[first] * np.int64(base) + codes[first + 1] + 1).dictionary_encode()
+            at[len(codes) + own] = coded.indices.to_numpy() + n
+            kinds.append(coded.dictionary.to_numpy())
+            n += len(kinds[-1])
+        return at, np.concatenate(kinds)
+
     def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         """Document and number of each word, and the words by number, in order."""
         whole = next(kernel.blocks(texts, 1 << 62))
@@ -175,6 +192,9 @@ def blocks(docs: DataFrame, parts: int, side: int, with_documents: bool, frequen
                 known = np.array(ids.is_valid(), bool)
                 packed = _pack(np.stack([np.array(pc.fill_null(ids, 0), np.int64), known.astype(np.int64)]))
                 yield _row(kind=0, block=name, side=side, ids=packed, words=_pack(made.words.astype(np.int64)), size=_pack(made.size.astype(np.int64)), held=made.counts[0], times=made.counts[1])
+            del made, rows
+            # what Arrow holds in reserve would stay with the idle worker
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for k in range(0, len(batch), 16):
@@ -235,6 +255,23 @@ def gains(found: DataFrame, n_buckets: int) -> np.ndarray:
     return out
 
 
+def _sums(size: np.ndarray, held: np.ndarray, times: np.ndarray, bucket: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and floored mean gain of the features of each document, whose places are gaps; a few documents at a time."""
+    to = np.concatenate([[0], np.cumsum(size)])
+    n, weight = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    a = 0
+    while a < len(size):
+        z = max(a + 1, int(np.searchsorted(to, to[a] + WEIGHED, "right")) - 1)
+        own, at = slice(to[a], to[z]), to[a : z + 1] - to[a]
+        place = np.cumsum(held[own], dtype=np.int64)
+        place -= np.repeat(np.concatenate([[0], place])[at[:-1]], size[a:z])
+        total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v, dtype=np.int64)])[at])  # noqa: B023, E731
+        n[a:z] = total(times[own])
+        weight[a:z] = total(gain[bucket[place]] * times[own]) // np.maximum(n[a:z], 1)
+        a = z
+    return n, weight
+
+
 WEIGHTS = "doc_id long, n_words long, n_features long, weight long"
 
 
@@ -245,13 +282,7 @@ def weighed(rows: DataFrame, found: DataFrame, gain: np.ndarray) -> DataFrame:
         bucket = np.frombuffer(b"".join(parts.sort_values("part")["buckets"]), np.uint16)
         ids, known = _unpack(own["ids"].iloc[0], np.int64).reshape(2, -1)
         words, size, held, times = (_unpack(own[c].iloc[0], k) for c, k in (("words", np.int64), ("size", np.int64), ("held", np.int32), ("times", np.int32)))
-        to = np.concatenate([[0], np.cumsum(size)])
-        # places are gaps within a document
-        place = np.cumsum(held, dtype=np.int64)
-        place -= np.repeat(np.concatenate([[0], place])[to[:-1]], size)
-        total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v, dtype=np.int64)])[to])
-        n = total(times)
-        weight = total(gain[bucket[place]] * times) // np.maximum(n, 1)
+        n, weight = _sums(size, held, times, bucket, gain)
         return pd.DataFrame({"doc_id": pd.arrays.IntegerArray(ids.copy(), known == 0), "n_words": words, "n_features": n, "weight": weight})
 
     return rows.groupBy("block").cogroup(found.where("block is not null").select("block", "part", "buckets").groupBy("block")).applyInPandas(weigh, WEIGHTS)

@@ -1,6 +1,7 @@
 """Tree concatenation, periodic runs and importance resampling against the library and brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -8,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -343,3 +345,32 @@ def test_sanitising_a_long_list(spark):
     spans = [(s.start, s.end, s.kind) for s in (*found.base, *found.terms)]
     assert len(found.base) == 20_000
     assert out[1].text == by_hand(text, spans) and out[1].n_chars == len(out[1].text) and out[2].text == "plain"
+
+
+def test_a_block_of_features_takes_little_memory():
+    """Pairs are told apart in slices: Arrow's share of the peak stays below nine bytes for each byte of text, and kinds are those of all at once."""
+    r = np.random.default_rng(5)
+    texts = pa.array([" ".join(map(str, r.zipf(1.2, 4000) % 50_000)) for _ in range(150)])
+    own, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    try:
+        made = resample.Counted(texts, 3, pa.array([], pa.large_string()))
+    finally:
+        pa.set_memory_pool(own)
+    assert pool.max_memory() < 9 * texts.nbytes
+    features = Counter(f for t in texts.to_pylist() for w in [t.split(" ")] for f in [*w, *map(" ".join, itertools.pairwise(w))])
+    got = Counter()
+    for _, strings, counts in made.rows:
+        got.update(dict(zip(resample._raw(strings).decode().split("\n"), resample._unpack(counts, np.int32).tolist(), strict=True)))
+    assert got == features
+
+
+@pytest.mark.parametrize("weighed", [1, 7, 1 << 19])
+def test_weights_do_not_depend_on_how_many_are_weighed_together(monkeypatch, weighed):
+    monkeypatch.setattr(resample, "WEIGHED", weighed)
+    places, times = [[0, 3, 4], [], [2], [1, 2, 3, 4, 5, 6, 7, 8, 9], []], [[1, 2, 1], [], [7], [1] * 9, []]
+    bucket, gain = np.arange(10)[::-1].astype(np.uint16), np.arange(10) * 37 - 100
+    held = np.concatenate([np.diff(p, prepend=0) for p in places]).astype(np.int32)
+    n, weight = resample._sums(np.array([len(p) for p in places]), held, np.concatenate(times).astype(np.int32), bucket, gain)
+    assert n.tolist() == [sum(t) for t in times]
+    assert weight.tolist() == [sum(int(gain[bucket[p]]) * k for p, k in zip(ps, ts, strict=True)) // max(1, sum(ts)) for ps, ts in zip(places, times, strict=True)]
