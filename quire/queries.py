@@ -376,24 +376,17 @@ def _vectors(p):
     return p.spark.read.parquet(f"{p.sf_dir}/embeddings.parquet")
 
 
-def _vector_pairs(p):
-    v = _vectors(p)
-    a, b = v.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va"), "label"), v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"), "label")
-    return a.join(b, "label").where("a < b").select("a", "b", align.cosine("va", "vb").alias("score"))
-
-
 _VP = "SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS score FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id"
 
 
 @query(f"SELECT a, b, round(score, 6) AS score FROM ({_VP})", model=False)
 def embedding_cosine(p):
-    return _vector_pairs(p).withColumns(r6("score"))
+    return align.cosine_pairs(_vectors(p), "label", 6)
 
 
 @query(f"SELECT a, b, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM (SELECT a, b, round(score, 9) AS score FROM ({_VP}))) WHERE rank <= 3", model=False)
 def embedding_topk(p):
-    pairs = _vector_pairs(p).withColumn("score", F.round("score", 9))
-    return align.top_k(pairs, "a", "b", "score", 3).withColumns(r6("score"))
+    return align.top_k(align.cosine_pairs(_vectors(p), "label", 9), "a", "b", "score", 3).withColumns(r6("score"))
 
 
 # embedding_topk ranks the pairs of its SQL only: one label, larger ids

@@ -172,3 +172,23 @@ def test_alignment_equals_sql(spark, name):
     cur = con.execute(Q.ORACLE_SQL[name])
     names = [c[0] for c in cur.description]
     assert sorted(map(str, cur.fetchall())) == sorted(str(tuple(r[c] for c in names)) for r in df.select([F.col(c) for c in names]).collect())
+
+
+def test_pairs_of_vectors_by_blocks_equal_sql(spark, tmp_path, monkeypatch):
+    """Groups of many blocks, copies, vectors of zeros and nulls; no pair is made by a join."""
+    monkeypatch.setattr(align, "MEET", 7)
+    r = random.Random(2)
+    vectors = [[float(r.randint(-3, 3)) for _ in range(4)] for _ in range(12)] + [[0.0] * 4, None]
+    rows = [(k, vectors[r.randrange(14)], r.choice([1, 1, 1, 2, 3, None])) for k in r.sample(range(1000), 80)] + [(None, vectors[0], 1), (2000, vectors[1], 4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("embedding_cosine", "embedding_topk"):
+        df = Q.QUERIES[name](spark, str(tmp_path))
+        cur = con.execute(Q.ORACLE_SQL[name])
+        names = [c[0] for c in cur.description]
+        want = sorted(map(str, cur.fetchall()))
+        assert sorted(str(tuple(r[c] for c in names)) for r in df.select(names).collect()) == want and len(want) > 100
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "SortMergeJoin" not in plan
