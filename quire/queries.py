@@ -386,7 +386,7 @@ def embedding_cosine(p):
 
 @query(f"SELECT a, b, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY score DESC, b) AS rank FROM (SELECT a, b, round(score, 9) AS score FROM ({_VP}))) WHERE rank <= 3", model=False)
 def embedding_topk(p):
-    return align.top_k(align.cosine_pairs(_vectors(p), "label", 9), "a", "b", "score", 3).withColumns(r6("score"))
+    return align.cosine_top(_vectors(p), "label", 3, 9).withColumns(r6("score"))
 
 
 # embedding_topk ranks the pairs of its SQL only: one label, larger ids
