@@ -1,11 +1,12 @@
 """Table functions for SQL: the blocks of a text, the ranges of a page's nodes, and the windows of a block's words.
 
-``register`` gives them to a session.  The first is lateral, the others take a table and say themselves how it is
-partitioned and ordered::
+``register`` gives them to a session.  The first is lateral, the next two take a table of rows and say themselves how it is
+partitioned and ordered, the last takes a row for each block and reads many of them as Arrow arrays at once::
 
     SELECT p.doc_id, b.* FROM pages p, LATERAL markdown_blocks(p.markdown) b
     SELECT * FROM node_ranges(TABLE(nodes))
     SELECT * FROM word_windows(TABLE(words))
+    SELECT * FROM block_windows(TABLE(blocks))
 
 A partition is a page (or a block of one); what is held of it is its nodes' places, or the words of one window.
 """
@@ -15,8 +16,10 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Row, SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf, udtf
 from pyspark.sql.types import IntegerType, LongType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
@@ -110,7 +113,36 @@ class WordWindows:
             yield from self._closed(start)
 
 
-FUNCTIONS = {"markdown_blocks": MarkdownBlocks, "node_ranges": NodeRanges, "word_windows": WordWindows}
+#: Blocks whose windows are worked out together.
+TOGETHER = 1000
+
+
+@arrow_udtf(returnType="doc_id bigint, page_id int, parent_id string, word_index bigint, first int, last int")
+class BlockWindows:
+    """The rows of ``word_windows`` from a row for each block.
+
+    Takes doc_id, page_id, parent_id, words (array of word_index, start and end, in order and apart), least and most; blocks are independent of each other.
+    """
+
+    def eval(self, blocks: pa.RecordBatch) -> Iterator[pa.Table]:
+        for k in range(0, len(blocks), TOGETHER):
+            some = blocks.slice(k, TOGETHER)
+            words = some.column("words")
+            size = np.array(words.value_lengths().fill_null(0), np.int64)
+            index, start, end = (np.array(c, np.int64) for c in words.flatten().flatten())
+            of = np.repeat(np.arange(len(some)), size)
+            before = np.repeat(np.cumsum(size) - size, size)
+            # places of one block lie beyond all of the one before it
+            shift = of << 40
+            least, most = (np.array(some.column(c), np.int64)[of] for c in ("least", "most"))
+            first = np.maximum(np.searchsorted(shift + end, shift + start + least, "left"), np.arange(len(of))) - before
+            last = np.searchsorted(shift + end, shift + start + most, "right") - 1 - before
+            keep = np.flatnonzero(first <= last)
+            keys = some.select(["doc_id", "page_id", "parent_id"]).take(pa.array(of[keep]))
+            yield pa.table([*keys.columns, pa.array(index[keep]), pa.array(first[keep], pa.int32()), pa.array(last[keep], pa.int32())], names=[*keys.schema.names, "word_index", "first", "last"])
+
+
+FUNCTIONS = {"markdown_blocks": MarkdownBlocks, "node_ranges": NodeRanges, "word_windows": WordWindows, "block_windows": BlockWindows}
 
 
 def register(spark: SparkSession) -> None:

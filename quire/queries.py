@@ -676,11 +676,14 @@ def string_align(p):
 
 
 def _located(p):
-    """The words of the lines with their places on the page."""
-    d = p.lines.select(*KEY, "line_index", "block_index", "char_start", F.split("content", "[^ \t]+", -1).alias("gaps"), F.posexplode(F.regexp_extract_all("content", F.lit("[^ \t]+"), F.lit(0))).alias("k", "w"))
-    to = F.sum(F.length("w") + F.length(F.get("gaps", F.col("k")))).over(Window.partitionBy(*KEY, "line_index").orderBy("k"))
+    """The words of the lines with their places on the page; a word's row has its own gap only, so that long lines cost no more."""
+    each = F.arrays_zip(F.regexp_extract_all("content", F.lit("[^ \t]+"), F.lit(0)).alias("w"), F.split("content", "[^ \t]+", -1).alias("gap"))
+    # the gap behind the last word has no word
+    sizes = F.transform(F.slice(each, 1, F.size(each) - 1), lambda x: F.struct(F.length(x["w"]).alias("n"), F.length(x["gap"]).alias("gap")))
+    d = p.lines.select(*KEY, "line_index", "block_index", "char_start", F.posexplode(sizes).alias("k", "x")).select("*", "x.*")
+    to = F.sum(F.col("n") + F.col("gap")).over(Window.partitionBy(*KEY, "line_index").orderBy("k"))
     end = (F.col("char_start") + to).cast("int")
-    return d.select(*KEY, "line_index", "block_index", (F.col("line_index").cast("long") * 1000000 + F.col("k")).alias("word_index"), (end - F.length("w")).alias("start"), end.alias("end"))
+    return d.select(*KEY, "line_index", "block_index", (F.col("line_index").cast("long") * 1000000 + F.col("k")).alias("word_index"), (end - F.col("n")).alias("start"), end.alias("end"))
 
 
 _LOC = r""", wg AS (SELECT doc_id, line_index, block_index, char_start, regexp_extract_all(content, '[^ \t]+') AS w, string_split_regex(content, '[^ \t]+') AS g FROM lines),
@@ -773,13 +776,15 @@ def sql_node_ranges(p):
 
 @query(ORACLE_SQL["word_bands"], model=False)
 def sql_word_windows(p):
-    """The rows of ``word_bands``, by the table function."""
+    """The rows of ``word_bands``, by the table function over a row for each block."""
     b = F.concat(F.lit("block_"), F.col("block_index").cast("string"))
     window = align.length_window(p.lines.select(*KEY, b.alias("parent_id"), "content"))
-    blocks = p.lines.select(*KEY, "block_index", b.alias("parent_id")).distinct().join(window, [*KEY, "parent_id"])
-    words = _located(p).withColumnRenamed("block_index", "own").join(blocks, KEY).where("own between block_index and block_index + 1")
-    v = _views(p, words=words.select(*KEY, "parent_id", "word_index", "start", "end", "least", "most"))
-    return p.spark.sql(f"SELECT doc_id, parent_id, word_index, first, last FROM word_windows(TABLE({v['words']}))")
+    own = _located(p).groupBy(*KEY, "block_index").agg(F.sort_array(F.collect_list(F.struct("word_index", "start", "end"))).alias("own"))
+    # a block has its own words and those of the next
+    both = own.select(*KEY, F.explode(F.array("block_index", F.col("block_index") - 1)).alias("b"), "block_index", "own").where("b >= 0").withColumn("parts", F.struct("block_index", "own"))
+    blocks = both.groupBy(*KEY, F.concat(F.lit("block_"), F.col("b").cast("string")).alias("parent_id")).agg(F.flatten(F.sort_array(F.collect_list("parts"))["own"]).alias("words"))
+    v = _views(p, blocks=blocks.join(window, [*KEY, "parent_id"]))
+    return p.spark.sql(f"SELECT doc_id, parent_id, word_index, first, last FROM block_windows(TABLE({v['blocks']}))")
 
 
 # Storage shapes and lookups

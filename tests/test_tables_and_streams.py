@@ -2,12 +2,15 @@
 
 import json
 import random
+import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quire import queries as Q
 from quire.functions import table_functions
+from quire.plans.model import Pages
 
 D = "/root/testdata/sf0.001"
 
@@ -81,3 +84,37 @@ def test_pages_wait_for_their_tables(spark, tmp_path):
     assert {(r.doc_id, r.x) for r in C.rows_of(pages, "blocks", "x:int").collect()} == {("a", 1), ("b", 6), ("c", 11)}
     lines = spark.createDataFrame([("a", 0, 5, None)], "doc_id string, page_id int, x int, y string")
     assert json.loads(C.parts(lines, "line_tokens").first().rows) == [{"x": 5, "y": None}]
+
+
+def test_block_windows_equal_word_windows(spark, monkeypatch):
+    """A row for each block gives what a row for each word does, in slices of any size; a block may be empty."""
+    r = random.Random(4)
+    words, blocks = [], [("e", 0, "b0", [], 0, 9)]
+    for k in range(40):
+        at, own, least, most = 0, [], r.randint(0, 12), r.randint(5, 30)
+        for n in range(r.randint(0, 30)):
+            at += r.randint(1, 3)
+            own.append((10 * n, at, at + r.randint(1, 14)))
+            at = own[-1][2]
+        blocks.append((f"{k % 3}", 0, f"b{k}", own, least, most))
+        words += [(f"{k % 3}", 0, f"b{k}", *w, least, most) for w in own]
+    table_functions.register(spark)
+    spark.createDataFrame(words, "doc_id string, page_id int, parent_id string, word_index long, start int, end int, least int, most int").createOrReplaceTempView("bw_words")
+    frame = spark.createDataFrame(blocks, "doc_id string, page_id int, parent_id string, words array<struct<word_index:long,start:int,end:int>>, least int, most int")
+    frame.withColumn("doc_id", F.col("doc_id").try_cast("long")).repartition(3).createOrReplaceTempView("bw_blocks")
+    got = sorted(map(str, map(tuple, spark.sql("SELECT parent_id, word_index, first, last FROM block_windows(TABLE(bw_blocks))").collect())))
+    assert got == sorted(map(str, map(tuple, spark.sql("SELECT parent_id, word_index, first, last FROM word_windows(TABLE(bw_words))").collect()))) and len(got) > 100
+    batch = frame.coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    handler = table_functions.BlockWindows.func()
+    whole = sorted(map(str, (x for t in handler.eval(batch) for x in t.to_pylist())))
+    monkeypatch.setattr(table_functions, "TOGETHER", 3)
+    assert sorted(map(str, (x for t in handler.eval(batch) for x in t.to_pylist()))) == whole
+
+
+def test_a_word_carries_no_other_words_of_its_line(spark, tmp_path):
+    """A line of n words made n rows with n gaps each."""
+    spark.createDataFrame([(1, " a  bb\t c \n\n" + "x " * 5000, "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = Q._located(Pages(spark, str(tmp_path)))
+    assert "gaps" not in df._jdf.queryExecution().optimizedPlan().toString()
+    text = " a  bb\t c \n\n" + "x " * 5000
+    assert sorted((r.start, r.end) for r in df.collect()) == [m.span() for m in re.finditer(r"[^ \t\n]+", text)]
