@@ -730,8 +730,7 @@ def block_alignment(p):
 def tree_alignment(p):
     """Lines matched within their matched blocks: the words that each line has, of score 1 where it has no blanks around them."""
     nodes, tree = _line_nodes(p)
-    words = _located(p).withColumn("ast_index", F.col("line_index"))
-    _, out = align.align_tree(tree, nodes, words, p.text)
+    _, out = align.align_tree(tree, nodes, None, p.text)
     a, z = nodes.select(*KEY, F.col("ast_index").alias("ast_index_start"), F.col("start").alias("a")), nodes.select(*KEY, F.col("ast_index").alias("ast_index_end"), F.col("start").alias("z"))
     out = out.join(a, [*KEY, "ast_index_start"]).join(z, [*KEY, "ast_index_end"]).join(p.text, KEY)
     found = T.slice_of("markdown", F.col("a") + F.col("char_start"), F.col("z") + F.col("char_end") + 1)

@@ -1,6 +1,7 @@
 """Range vectors, sparse matching, bands and alignment against brute force."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -107,6 +108,53 @@ def test_a_page_of_many_nodes():
     assert sum(page[s[i] : e[j]] == texts[t] for t, i, j, _ in found) == 60 and Counting.seen < 70
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_matching_of_equal_ranges_equals_brute_force(monkeypatch, seed):
+    """Rows that are ranges, copies of them, single characters and others beside them."""
+    monkeypatch.setattr(ranges, "CHUNK", [1, 1 << 21][seed % 2])
+    r = random.Random(seed)
+    page = " ".join(r.choice([*WORDS, "a", "İ", "x"]) for _ in range(r.randint(2, 14)))
+    at = [(m.start(), m.end()) for m in re.finditer(r"\S+", page)]
+    s, e = np.array(at).T
+    n = len(s)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    chosen = [page[s[i] : e[j]] for i, j in (r.choice(pairs) for _ in range(r.randint(1, 4)))]
+    texts = chosen + r.choices(chosen, k=r.randint(0, 2)) + ["x"] * r.randint(0, 1) + [" ".join(r.choices(WORDS, k=3)) for _ in range(r.randint(0, 2))]
+    w = cosines(texts, page, s, e, pairs)
+    found = ranges.match_ranges(texts, page, s, e, np.arange(n), np.full(n, n - 1), H, -2)
+    assert [f[0] for f in found] == list(range(len(texts)))[: len(pairs)] or len(texts) > len(pairs)
+    assert len(found) == min(len(texts), len(pairs)) == len({f[1:3] for f in found})
+    assert all(abs(w[t, pairs.index((i, j))] - score) < 1e-9 for t, i, j, score in found)
+    assert np.isclose(sum(f[3] for f in found), sum(w[i, j] for i, j in assignment(w)))
+
+
+def test_rows_that_are_ranges_are_not_scored():
+    """Lines of thousands of words, each twice, and a character, found without a vector of any place."""
+
+    class Unscored(HashedNgrams):
+        def places(self, *args):
+            raise AssertionError("places have no vectors here")
+
+    r = random.Random(5)
+    long = " ".join(r.choice(WORDS) for _ in range(6000))
+    texts = [long, "k İ Σtaς", long.upper().replace("ΣTAΣ", "ΣTAς"), "}", "k İ Σtaς", "nobody else says this"]
+    page = "\n".join(texts)
+    s, e = np.array([(m.start(), m.end()) for m in re.finditer(r"\S+", page)]).T
+    low, high = np.arange(len(s)), np.searchsorted(e, s + 2 * len(long), "right") - 1
+    found = ranges.match_ranges(texts, page, s, e, low, high, Unscored(), 0.2)
+    assert [f[0] for f in found] == list(range(6)) and {f[3] for f in found} == {1.0}
+    assert [page[s[i] : e[j]].lower() for _, i, j, _ in found] == [t.lower() for t in texts] and len({f[1:3] for f in found}) == 6
+
+
+def test_words_of_nodes_are_found_in_the_text(spark):
+    tree, nodes, words, text, _ = small(spark)
+    key = lambda df: sorted(map(tuple, df.collect()))
+    blocks, lines = align.align_tree(tree, nodes, words, text)
+    assert key(align.align_lines(tree, nodes, None, text, blocks)) == key(lines) and lines.count() == 3
+    found = align._words_of("ab\tc  de f\n", {k: np.array(v) for k, v in {"ast_index": [3, 4, 5, 7], "start": [0, 1, 1, 6], "end": [1, 1, 4, 9]}.items()})
+    assert {k: v.tolist() for k, v in found.items()} == {"ast_index": [3, 5, 5, 7], "start": [0, 1, 3, 6], "end": [1, 2, 4, 8]}
+
+
 class Texts:
     """A provider whose vectors do not add up, as far as the operators know."""
 
