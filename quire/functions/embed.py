@@ -30,8 +30,12 @@ class HashedNgrams:
         """The bucket of the gram that begins at each place; of a shorter text one for all of it."""
         gram = np.zeros(max(1, len(codes) - self.n + 1), np.uint64)
         for k in range(min(self.n, len(codes))):
-            gram = (gram + codes[k : k + len(gram)] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        return ((gram >> np.uint64(33)) % np.uint64(self.width)).astype(np.int64)
+            gram += codes[k : k + len(gram)]
+            gram += np.uint64(1)
+            gram *= np.uint64(0x9E3779B97F4A7C15)
+        gram >>= np.uint64(33)
+        gram %= np.uint64(self.width)
+        return gram.view(np.int64)
 
     @staticmethod
     def _lower(text: str) -> str:
@@ -48,7 +52,9 @@ class HashedNgrams:
         """The buckets of a text's grams, how many of them begin before each start's and each end's, and the buckets of the edges."""
         lower, n = self._lower(text), self.n
         if len(lower) != len(text):
-            shift = np.concatenate([[0], np.cumsum([len(self._lower(c)) for c in text])])
+            before = self._codes(text)
+            more = sum((before == ord(c)) * (len(c.lower()) - 1) for c in set(text) if len(c.lower()) > 1)
+            shift = np.concatenate([[0], np.cumsum(more + 1)])
             starts, ends = shift[starts], shift[ends]
         codes = self._codes(lower)
         bucket = self._buckets(codes) if len(codes) >= n else np.zeros(0, np.int64)

@@ -151,8 +151,8 @@ def test_words_of_nodes_are_found_in_the_text(spark):
     key = lambda df: sorted(map(tuple, df.collect()))
     blocks, lines = align.align_tree(tree, nodes, words, text)
     assert key(align.align_lines(tree, nodes, None, text, blocks)) == key(lines) and lines.count() == 3
-    found = align._words_of("ab\tc  de f\n", {k: np.array(v) for k, v in {"ast_index": [3, 4, 5, 7], "start": [0, 1, 1, 6], "end": [1, 1, 4, 9]}.items()})
-    assert {k: v.tolist() for k, v in found.items()} == {"ast_index": [3, 5, 5, 7], "start": [0, 1, 3, 6], "end": [1, 2, 4, 8]}
+    at, found = align._words_of("ab\tc  de f\n", np.array([0, 2, 4]), {k: np.array(v) for k, v in {"ast_index": [3, 4, 5, 7], "start": [0, 1, 1, 6], "end": [1, 1, 4, 9]}.items()})
+    assert {k: v.tolist() for k, v in found.items()} == {"ast_index": [3, 5, 5, 7], "start": [0, 1, 3, 6], "end": [1, 2, 4, 8]} and at.tolist() == [0, 1, 4]
 
 
 class Texts:
