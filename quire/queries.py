@@ -729,6 +729,7 @@ def block_alignment(p):
 @query(" SELECT l.doc_id, l.node_id, lower(trim(content, ' ' || chr(9))) AS markdown, true AS whole FROM lines l WHERE regexp_matches(content, '[^ \\t]')")
 def tree_alignment(p):
     """Lines matched within their matched blocks: the words that each line has, of score 1 where it has no blanks around them."""
+    p = p.gathered()
     nodes, tree = _line_nodes(p)
     _, out = align.align_tree(tree, nodes, None, p.text)
     a, z = nodes.select(*KEY, F.col("ast_index").alias("ast_index_start"), F.col("start").alias("a")), nodes.select(*KEY, F.col("ast_index").alias("ast_index_end"), F.col("start").alias("z"))
