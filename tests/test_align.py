@@ -155,6 +155,14 @@ def test_words_of_nodes_are_found_in_the_text(spark):
     assert {k: v.tolist() for k, v in found.items()} == {"ast_index": [3, 5, 5, 7], "start": [0, 1, 3, 6], "end": [1, 2, 4, 8]} and at.tolist() == [0, 1, 4]
 
 
+def test_texts_of_tree_alignment_are_shuffled_once(spark):
+    """Lines are taken apart where their page's text lies; all uses read one exchange of texts."""
+    plan = Q.QUERIES["tree_alignment"](spark, D)._jdf.queryExecution().executedPlan().toString().split("\n")
+    apart = [k for k, x in enumerate(plan) if "Generate posexplode(split" in x]
+    assert apart and not any("Exchange" in x for k in apart for x in plan[k - 2 : k])
+    assert all(any("REPARTITION_BY_COL" in x for x in plan[k : k + 6]) for k in apart)
+
+
 class Texts:
     """A provider whose vectors do not add up, as far as the operators know."""
 
