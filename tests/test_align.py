@@ -230,6 +230,36 @@ def test_alignment_equals_sql(spark, name):
     assert sorted(map(str, cur.fetchall())) == sorted(str(tuple(r[c] for c in names)) for r in df.select([F.col(c) for c in names]).collect())
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_ranges_of_a_text_come_before_others_of_its_vector(copies):
+    """Vectors are blind to case and to the order of lines; of such ranges each text has its own, and what is left goes to texts without one."""
+    texts = ["x\ny\nx\nx", "x\nx\ny\nx", "Some line", "SOME line", "a", "A"]
+    assert np.array_equal(H.counts(texts)[::2], H.counts(texts)[1::2])
+    page = "\n".join(texts * copies)
+    s, e = np.array([(m.start(), m.end()) for m in re.finditer(r"[^\n]+", page)]).T
+    n = len(s)
+    wanted = (texts[::-1] + ["some LINE"]) * copies
+    page, e = page + "\nSOME Line" * copies, np.concatenate([e, e[-1] + 10 * np.arange(1, copies + 1)])
+    s = np.concatenate([s, e[n:] - 9])
+    n = len(s)
+    found = ranges.match_ranges(wanted, page, s, e, np.arange(n), np.full(n, n - 1), H, 0.2)
+    assert len(found) == len(wanted) == len({f[1:3] for f in found}) and {f[3] for f in found} == {1.0}
+    assert [page[s[i] : e[j]] for _, i, j, _ in found] == (texts[::-1] + ["SOME Line"]) * copies
+
+
+def test_blocks_of_equal_vectors_keep_their_text(spark, tmp_path):
+    """Pages whose blocks and ranges differ by case or by the order of lines alone."""
+    r = random.Random(1)
+    docs = ["x\ny\nx\nx\nx\nx\ny\nx", "Some line\nb\nc\nd\nSOME line\nb\nc\nd", "ΑΣ\nας\nΣ\nΑΣ\nΑσ\nας\nς", "", "\n\n", None]
+    docs += ["\n".join(r.choice(["x", "y", "X", "", " ", "x y x", "The line", "the line"]) for _ in range(r.randint(1, 60))) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    cur = con.execute(Q.ORACLE_SQL["block_alignment"])
+    names = [c[0] for c in cur.description]
+    assert sorted(map(str, cur.fetchall())) == sorted(str(tuple(q)) for q in Q.QUERIES["block_alignment"](spark, str(tmp_path)).select(names).collect())
+
+
 def test_pairs_of_vectors_by_blocks_equal_sql(spark, tmp_path, monkeypatch):
     """Groups of many blocks, copies, vectors of zeros and nulls; no pair is made by a join."""
     monkeypatch.setattr(align, "MEET", 7)
